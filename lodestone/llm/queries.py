@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from . import langid, mixing, packing, sharding, simhash, vptree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
+    "op3_simhash_bk_trees": simhash.query,
+    "op4_hypergeometric_shards": sharding.query,
+    "op8_minimum_bin_slack": packing.query,
+    "op9_vantage_point_trees": vptree.query,
+    "op10_entropy_balancing": mixing.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_vantage_point_trees": vptree.ORACLE,
+}
