@@ -56,7 +56,7 @@ def write_file(uri: str, data: bytes) -> None:
     """Write a file whole: under another name first, then renamed."""
     fs, path = locate(uri)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         out.write(data)
     fs.move(part, path)
 
