@@ -61,12 +61,13 @@ def top_k(scores: DataFrame, k: int, places: int = 6) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null for a zero vector."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    return dot / (norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * norm(b))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None, post_filter: bool = False) -> DataFrame:

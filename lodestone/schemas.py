@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def _table(columns: str) -> T.StructType:
+    """Columns as `name type`; parsed here, since Spark's parser needs a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split(" ") for c in columns.split(", "))])
 
 
 REPOS = _table("id int, url string, name string, default_branch string, head_sha string, ingested_at timestamp")
