@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events and distinct-free sums by window and type; on a stream, late rows are dropped after `late`."""
+    """Events by window and type; on a stream, late rows are dropped after `late`."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         timed = timed.withWatermark("ts", late)
