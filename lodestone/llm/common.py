@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Words as the contracts define them: runs of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: The same as a Java pattern.
+#: Words as the contracts define them, as a Java pattern: runs of anything but ASCII white space.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
-_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
-
-
-def lower_ascii(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+#: Bytes of an Arrow batch sent to a Python worker.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
     Only where the session names none (a local test) is a local temporary folder made and set.
+    Every operator comes here, so this is also where Arrow batches are bounded by their bytes: with
+    long texts, a batch of 10,000 rows may be larger than a worker.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -91,7 +87,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a slice's strings hold about `limit` bytes (or one row)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -106,5 +102,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
             yield batch.slice(a, b - a)
 
 
-def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+def release_memory() -> None:
+    """Give freed memory back: a Python worker stays when its task is over."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """The function of a mapInArrow, giving its memory back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 32
@@ -197,11 +197,11 @@ def fit(docs: DataFrame, *, train: str = "true", vocabulary: str | None = None,
                 if seen:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int32()), pa.array([w for _, w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
-    words = materialise(sample.mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    words = materialise(sample.mapInArrow(tidy(count), "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     prob = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     for _ in range(rounds):
         total = np.zeros_like(prob)
-        for r in words.mapInArrow(_expect(pieces, prob), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in words.mapInArrow(tidy(_expect(pieces, prob)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toLocalIterator():
             total[r["piece"], r["lang"]] = r["n"]
         total += smoothing
         prob = total / total.sum(0)
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 #: Rows held out of the fit by the query's contract.

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, materialise, new_dir, slices, write_file
+from .common import Ranges, materialise, new_dir, slices, tidy, write_file
 
 LENGTH = 100
 #: Bytes of an anchor's k-mer.
@@ -134,11 +134,11 @@ def runs(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def previous_smaller(x: np.ndarray) -> np.ndarray:
     """For each index, the nearest one before it with a smaller value, or -1."""
     out = np.arange(len(x)) - 1
-    open_ = np.flatnonzero((out >= 0) & (x[out] > x))
+    open_ = np.flatnonzero((out >= 0) & (x[out] >= x))
     while len(open_):
         out[open_] = out[out[open_]]
         p = out[open_]
-        open_ = open_[(p >= 0) & (x[p] > x[open_])]
+        open_ = open_[(p >= 0) & (x[p] >= x[open_])]
     return out
 
 
@@ -227,7 +227,7 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
         if rows:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, _FRAME_COLUMNS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), _FRAME_COLUMNS)
 
 
 _ENTRY = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<i8")]
@@ -423,14 +423,14 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     buckets = max(least, total * 2 // (length - anchor) * _BYTES // BUCKET_BYTES + 1)
     # frames are few, wide rows: dealt evenly, since files hold very different numbers of them
     spread = frames.repartition(max(least, total // (4 * FRAME) + 1), "frame")
-    settled = materialise(spread.mapInArrow(_anchor_rows(buckets, length, anchor), "bucket int, kind int, frame long, entries binary").groupBy("bucket").applyInArrow(_compare, "kind int, frame long, entries binary"), "lpf-settled")
+    settled = materialise(spread.mapInArrow(tidy(_anchor_rows(buckets, length, anchor)), "bucket int, kind int, frame long, entries binary").groupBy("bucket").applyInArrow(_compare, "kind int, frame long, entries binary"), "lpf-settled")
     wanted = settled.where(F.col("kind") == WANTED)
     asked = (wanted.agg(F.sum(F.octet_length("entries"))).first()[0] or 0) // 16
     groups = max(least, asked * (2 * length - anchor) // GROUP_BYTES + 1)
-    texts = frames.join(wanted.groupBy("frame").agg(F.collect_list("entries").alias("entries")), "frame").mapInArrow(_context_rows(groups, length, anchor), "bucket int, n long, entries binary")
+    texts = frames.join(wanted.groupBy("frame").agg(F.collect_list("entries").alias("entries")), "frame").mapInArrow(tidy(_context_rows(groups, length, anchor)), "bucket int, n long, entries binary")
     factors = texts.groupBy("bucket").applyInArrow(_factors(length), "kind int, frame long, entries binary")
     found = settled.where(F.col("kind") == REPEATS).unionByName(factors).groupBy("frame").agg(F.collect_list(F.struct("kind", "entries")).alias("found"))
-    return frames.join(found, "frame", "left").mapInArrow(_remove(length, anchor), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return frames.join(found, "frame", "left").mapInArrow(tidy(_remove(length, anchor)), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Ranges, locate, materialise, new_dir, slices
+from .common import Ranges, locate, materialise, new_dir, slices, tidy
 
 WIDTH = 192
 PAD = 32
@@ -166,7 +166,7 @@ def interleave(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(items, pa.list_(_ITEM_ARROW))], names=["id", "items"])
 
     schema = T.StructType([pages.schema["id"], T.StructField("items", T.ArrayType(ITEM))])
-    return pages.select("id", "html").mapInArrow(run, schema)
+    return pages.select("id", "html").mapInArrow(tidy(run), schema)
 
 
 _STORED = "id long, digest string, n_bytes long, caption string, file string, offset long, length long"
@@ -204,7 +204,7 @@ def store_media(payloads: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return payloads.select("id", "payload", "caption").mapInArrow(run, _STORED)
+    return payloads.select("id", "payload", "caption").mapInArrow(tidy(run), _STORED)
 
 
 def media_table(stored: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def read_features(media: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(fields)], names=[n for n, _ in fields])
         files.close()
 
-    return places.mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return places.mapInArrow(tidy(run), "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def sequences_of(resolved: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ follows only the edges that the radius allows. The corpus's fingerprints have no
 trees are not broadcast: a shard's tree is built and searched in the task that owns the shard.
 With `blocks` set, the bits are cut into radius + 2 blocks and there is a shard for each value of
 each pair of blocks: two fingerprints within the radius agree on at least two blocks, so no link is
-lost. Without, shards come from random bit samples (a stated chance to miss a link).
+lost. Without, shards come from random bit samples, with a stated chance to miss a link.
 A shard's task emits a spanning forest of its links, never all pairs.
 
 Defined results: null or empty text has fingerprint zero; a row with null doc_id is fingerprinted
@@ -17,6 +17,7 @@ doc_id and text are not looked at.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,34 +27,43 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, release_memory, slices, tidy
 from .components import components
 
 SEED = 42
+#: Random fingerprints that a shard should hold, where its keys are sampled bits.
+SHARD = 16
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What a SimHash run takes: shingle length, fingerprint bits, radius, and how it shards."""
+    """What a SimHash run takes: shingle length, fingerprint bits, radius, and how it shards.
+
+    Without blocks, a shard's key is a sample of the bits, as many as make shards of about SHARD
+    random fingerprints, and there are as many tables as find a pair that differs in `share` of its
+    bits with probability `recall`, whatever the input's size.
+    """
 
     words: int = 4
     bits: int = 64
     radius: int = 4
     distinct: bool = False
     blocks: bool = True
-    sample_bits: int = 16
-    tables: int = 32
+    share: float = 0.1515
+    recall: float = 0.98
 
-    def masks(self) -> np.ndarray:
-        """A row of 64-bit masks for each shard table."""
+    def masks(self, fingerprints: int = 0) -> np.ndarray:
+        """A row of 64-bit masks for each shard table, for so many fingerprints."""
         if self.blocks:
             n = self.radius + 2
             cut = [self.bits * i // n for i in range(n + 1)]
             chosen = [[*range(cut[a], cut[a + 1]), *range(cut[b], cut[b + 1])] for a, b in itertools.combinations(range(n), 2)]
         else:
             rng = np.random.default_rng(SEED)
-            chosen = [rng.choice(self.bits, self.sample_bits, replace=False).tolist() for _ in range(self.tables)]
+            size = min(28, max(10, math.ceil(math.log2(max(1, fingerprints) / SHARD))))
+            tables = math.ceil(math.log(1 - self.recall) / math.log(1 - (1 - self.share) ** size))
+            chosen = [rng.choice(self.bits, size, replace=False).tolist() for _ in range(tables)]
         out = np.zeros((len(chosen), self.bits // 64), dtype=np.uint64)
         for row, bits in zip(out, chosen, strict=True):
             for b in bits:
@@ -108,76 +118,91 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
                 fps = [fingerprint(t, plan) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, fp binary")
+
+
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union by smallest label; labels stay fully compressed."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
 
 
 class BKForest:
-    """BK-trees of many shards at once. key: an item's shard; equal items of a shard count once."""
+    """BK-trees of many shards at once, and the links found so far as smallest labels.
+
+    key: an item's shard. Building compares every item with its ancestors, which already gives
+    links; a search then leaves out subtrees that are linked to the item as a whole. So a large
+    group of near copies costs little more than its tree.
+    """
 
-    def __init__(self, key: np.ndarray, fp: np.ndarray):
-        self.fp, self.span = fp, fp.shape[1] * 64 + 1
+    def __init__(self, key: np.ndarray, fp: np.ndarray, radius: int):
+        n = len(key)
+        self.fp, self.radius, self.span, self.label = fp, radius, fp.shape[1] * 64 + 1, np.arange(n)
         order = np.argsort(key, kind="stable")
-        first = np.r_[True, key[order][1:] != key[order][:-1]] if len(key) else np.zeros(0, dtype=bool)
-        sizes = np.diff(np.r_[np.flatnonzero(first), len(key)])
-        self.root, self.size = np.empty(len(key), dtype=np.int64), np.empty(len(key), dtype=np.int64)
+        first = np.r_[True, key[order][1:] != key[order][:-1]] if n else np.zeros(0, dtype=bool)
+        sizes = np.diff(np.r_[np.flatnonzero(first), n])
+        self.root, self.size = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         self.root[order] = np.repeat(order[first], sizes)
         self.size[order] = np.repeat(sizes, sizes)
-        codes, children = [], []
-        active = np.flatnonzero(self.root != np.arange(len(key)))
+        codes, children, parents = [], [], []
+        active = np.flatnonzero(self.root != np.arange(n))
         at = self.root[active]
         while len(active):  # a level of all trees at a time
-            code = at * self.span + self._distance(active, at)
-            new, where, back = np.unique(code, return_index=True, return_inverse=True)
+            d = self._distance(active, at)
+            _unite(self.label, active[d <= radius], at[d <= radius])
+            new, where, back = np.unique(at * self.span + d, return_index=True, return_inverse=True)
             codes.append(new)
             children.append(active[where])
+            parents.append(at[where])
             down = active[where][back]
             keep = down != active
             active, at = active[keep], down[keep]
-        self.code = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
-        self.child = np.concatenate(children) if children else np.zeros(0, dtype=np.int64)
+        self.whole = np.ones(n, dtype=bool)  # does the subtree have one label?
+        for child, parent in zip(children[::-1], parents[::-1], strict=True):
+            odd = ~self.whole[child] | (self.label[child] != self.label[parent])
+            self.whole[parent[odd]] = False
+        self.code = np.concatenate([np.zeros(0, dtype=np.int64), *codes])
+        self.child = np.concatenate([np.zeros(0, dtype=np.int64), *children])
         order = np.argsort(self.code)
         self.code, self.child = self.code[order], self.child[order]
 
     def _distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(1, dtype=np.int64)
+        out = np.zeros(len(a), dtype=np.int64)
+        for w in range(self.fp.shape[1]):
+            out += np.bitwise_count(self.fp[a, w] ^ self.fp[b, w])
+        return out
 
-    def search(self, items: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (item, other) within the radius, in blocks."""
+    def search(self, items: np.ndarray) -> None:
+        """Link the items to all others of their shard within the radius."""
         q, node = items, self.root[items]
         while len(q):
+            todo = ~(self.whole[node] & (self.label[q] == self.label[node]))
+            q, node = q[todo], node[todo]
             d = self._distance(q, node)
-            hit = (d <= radius) & (q != node)
-            if hit.any():
-                yield q[hit], node[hit]
-            low = np.searchsorted(self.code, node * self.span + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.code, node * self.span + np.minimum(d + radius, self.span - 1), side="right") - low
+            hit = (d <= self.radius) & (q != node)
+            _unite(self.label, q[hit], node[hit])
+            low = np.searchsorted(self.code, node * self.span + np.maximum(d - self.radius, 0))
+            n = np.searchsorted(self.code, node * self.span + np.minimum(d + self.radius, self.span - 1), side="right") - low
             start = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n)
             q, node = np.repeat(q, n), self.child[start + np.arange(len(start))]
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union by smallest label; labels stay fully compressed."""
-    while True:
-        x, y = label[a], label[b]
-        open_ = x != y
-        if not open_.any():
-            return
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := label[label], label):
-            label[:] = up
-
-
-def forest_links(key: np.ndarray, fp: np.ndarray, radius: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def forest_links(key: np.ndarray, fp: np.ndarray, radius: int, block: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links inside shards: item and the smallest item it reaches."""
-    tree, label = BKForest(key, fp), np.arange(len(key))
-    items = np.flatnonzero(tree.size > 1)
+    tree = BKForest(key, fp, radius)
+    items = np.flatnonzero(~tree.whole[tree.root])  # of other shards, all is linked already
     part = np.cumsum(tree.size[items]) // block
     for own in np.split(items, np.flatnonzero(np.diff(part)) + 1) if len(items) else []:
-        for a, b in tree.search(own, radius):
-            _unite(label, a, b)
-    moved = np.flatnonzero(label != np.arange(len(key)))
-    return moved, label[moved]
+        tree.search(own)
+    moved = np.flatnonzero(tree.label != np.arange(len(key)))
+    return moved, tree.label[moved]
 
 
 #: Bytes of packed shard entries that one task's group should hold.
@@ -186,7 +211,7 @@ BUCKET_BYTES = 24 << 20
 
 def links(reps: DataFrame, plan: Plan, n: int) -> DataFrame:
     """Links (a, b) between representatives (fp, rep) of distinct fingerprints; n: their count."""
-    masks, words = plan.masks(), plan.bits // 64
+    masks, words = plan.masks(n), plan.bits // 64
     entry = np.dtype([("key", "<u8"), ("rep", "<i8"), ("fp", "<u8", (words,))])
     buckets = max(reps.sparkSession.sparkContext.defaultParallelism, n * len(masks) * entry.itemsize // BUCKET_BYTES + 1)
     packed = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
@@ -214,9 +239,11 @@ def links(reps: DataFrame, plan: Plan, n: int) -> DataFrame:
         e = np.frombuffer(b"".join(table.column("entries").to_pylist()), dtype=entry)
         a, b = forest_links(e["key"], np.ascontiguousarray(e["fp"]), plan.radius)
         pairs = np.unique(np.stack([e["rep"][a], e["rep"][b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        del e, a, b
+        release_memory()
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return reps.mapInArrow(deal, "bucket int, entries binary").groupBy("bucket").applyInArrow(search, "a long, b long")
+    return reps.mapInArrow(tidy(deal), "bucket int, entries binary").groupBy("bucket").applyInArrow(search, "a long, b long")
 
 
 def link_documents(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -237,9 +264,9 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
 #: The contract's fingerprints.
 CONTRACT = Plan()
 #: For filtering near copies: five-word shingles, Jaccard similarity 0.8. Two sets of equal size with
-#: that similarity have a cosine of 0.889 and so differ in 15 % of the bits (39 of 256, deviation 6);
-#: at 0.6 they differ in 59.
-NEAR_COPIES = Plan(words=5, bits=256, radius=45, distinct=True, blocks=False)
+#: that similarity have a cosine of 0.889 and so differ in 15 % of the bits, 39 of 256 with deviation
+#: 5.7; at 0.7 they differ in 49, at 0.6 in 57, unrelated ones in 128.
+NEAR_COPIES = Plan(words=5, bits=256, radius=48, distinct=True, blocks=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

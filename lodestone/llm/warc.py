@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, locate, materialise, new_dir, slices
+from .common import Ranges, locate, materialise, new_dir, slices, tidy
 
 #: Captures in an index block.
 BLOCK_LINES = 256
@@ -134,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return joined.mapInArrow(run, "key string, page_id long, file string, offset long, length long")
+    return joined.mapInArrow(tidy(run), "key string, page_id long, file string, offset long, length long")
 
 
 def _order(key: str, page_id: int | None) -> tuple:
@@ -173,7 +173,7 @@ def write_index(captures: DataFrame, folder: str, parts: int) -> DataFrame:
             first = directory[0]
             yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array([first[1]], pa.int64()), pa.array([uri]), pa.array([at]), pa.array([len(packed)])], names=["key", "page_id", "file", "offset", "length"])
 
-    return ordered.mapInArrow(run, "key string, page_id long, file string, offset long, length long")
+    return ordered.mapInArrow(tidy(run), "key string, page_id long, file string, offset long, length long")
 
 
 class CaptureIndex:
@@ -226,7 +226,7 @@ def look_up(index: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["file", "offset", "length"])
         reader.ranges.close()
 
-    return ordered.mapInArrow(run, "file string, offset long, length long")
+    return ordered.mapInArrow(tidy(run), "file string, offset long, length long")
 
 
 def wanted_keys(pages: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def wanted_keys(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column("url").to_pylist()], pa.string()), batch.column("page_id")], names=["key", "page_id"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(run, "key string, page_id long").distinct()
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string")).mapInArrow(tidy(run), "key string, page_id long").distinct()
 
 
 _READ = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -264,7 +264,7 @@ def read_records(places: DataFrame, parts: int, payload: bool = True) -> DataFra
                 i = j
         files.close()
 
-    return ordered.mapInArrow(run, _READ)
+    return ordered.mapInArrow(tidy(run), _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
