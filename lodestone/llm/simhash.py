@@ -42,7 +42,9 @@ class Plan:
 
     Without blocks, a shard's key is a sample of the bits, as many as make shards of about SHARD
     random fingerprints, and there are as many tables as find a pair that differs in `share` of its
-    bits with probability `recall`, whatever the input's size.
+    bits with probability `recall`, whatever the input's size. With a similarity, the groups that
+    the links make are split again: members stay together where their sketches' Jaccard similarity
+    reaches it, directly or through other members.
     """
 
     words: int = 4
@@ -52,6 +54,7 @@ class Plan:
     blocks: bool = True
     share: float = 0.1515
     recall: float = 0.98
+    similarity: float = 0.0
 
     def masks(self, fingerprints: int = 0) -> np.ndarray:
         """A row of 64-bit masks for each shard table, for so many fingerprints."""
@@ -89,9 +92,8 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.array([of(joined[a : b - 1], SEED) for a, b in zip(after, after[words:], strict=False)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, plan: Plan) -> bytes:
-    """The fingerprint's 64-bit words, little-endian."""
-    h = shingle_hashes(text, plan.words)
+def fingerprint(h: np.ndarray, plan: Plan) -> bytes:
+    """The 64-bit words, little-endian, of the fingerprint of a text's shingle hashes."""
     if not len(h):
         return bytes(plan.bits // 8)
     if plan.distinct:
@@ -108,17 +110,48 @@ def fingerprint(text: bytes | None, plan: Plan) -> bytes:
     return out
 
 
+#: Bins of a sketch, one byte each; members of a group that one task compares by their sketches.
+BINS = 512
+GROUP = 4096
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """One-permutation MinHash: by bin, a byte of the least hash in it (0: the bin is empty)."""
+    h = np.sort(_mix(h))[::-1]  # the least hash of a bin is written last
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[(h & np.uint64(BINS - 1)).astype(np.int64)] = ((h >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
+def similar_groups(sketches: np.ndarray, similarity: float) -> np.ndarray:
+    """For each member, the first member that it reaches over pairs of at least that similarity."""
+    first, left = np.full(len(sketches), -1), np.arange(len(sketches))
+    while len(left):
+        start, left = left[0], left[1:]
+        first[start], queue = start, [start]
+        while queue and len(left):
+            own = sketches[queue.pop()]
+            same = ((sketches[left] == own) & (own > 0)).sum(1)
+            either = ((sketches[left] > 0) | (own > 0)).sum(1)
+            hit = same >= similarity * np.maximum(either, 1)
+            first[left[hit]] = start
+            queue += left[hit].tolist()
+            left = left[~hit]
+    return first
+
+
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp binary) for every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
+    """(doc_id, fp binary, sketch binary) for every row; the sketch is null if the plan needs none."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                fps = [fingerprint(t, plan) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], schema=schema)
+                hashes = [shingle_hashes(t, plan.words) for t in batch.column("text").to_pylist()]
+                sketches = [sketch(h) if plan.similarity else None for h in hashes]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(h, plan) for h in hashes], pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, fp binary, sketch binary")
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -246,11 +279,37 @@ def links(reps: DataFrame, plan: Plan, n: int) -> DataFrame:
     return reps.mapInArrow(tidy(deal), "bucket int, entries binary").groupBy("bucket").applyInArrow(search, "a long, b long")
 
 
+def split_groups(roots: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
+    """roots(node, root) with each group split by its members' sketches(node, sketch).
+
+    A group of more than GROUP members is left as the fingerprints' links made it.
+    """
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    members = roots.join(sizes, "root").join(sketches, "node")
+    buckets = max(1, roots.count() * BINS // BUCKET_BYTES) + roots.sparkSession.sparkContext.defaultParallelism
+    dealt = members.where(F.col("size") <= GROUP).select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), "root", "node", "sketch")
+
+    def split(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("root", "ascending"), ("node", "ascending")])
+        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
+        all_ = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        out = np.empty_like(node)
+        cuts = np.r_[0, np.flatnonzero(np.diff(root)) + 1, len(root)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            out[a:b] = node[a:b][similar_groups(all_[a:b], plan.similarity)]
+        return pa.table({"node": node, "root": out})
+
+    return dealt.groupBy("bucket").applyInArrow(split, "node long, root long").unionByName(members.where(F.col("size") > GROUP).select("node", "root"))
+
+
 def link_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     """(doc_id, fp, component_id) for every row: the smallest doc_id that links reach."""
     fps = materialise(fingerprints(docs, plan), "simhash")
     reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     roots = components(links(reps, plan, reps.count()))
+    if plan.similarity:
+        own = reps.join(fps, "fp").where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.first("sketch").alias("sketch"))
+        roots = materialise(split_groups(roots, own, plan), "simhash-groups")
     of_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -265,8 +324,9 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
 CONTRACT = Plan()
 #: For filtering near copies: five-word shingles, Jaccard similarity 0.8. Two sets of equal size with
 #: that similarity have a cosine of 0.889 and so differ in 15 % of the bits, 39 of 256 with deviation
-#: 5.7; at 0.7 they differ in 49, at 0.6 in 57, unrelated ones in 128.
-NEAR_COPIES = Plan(words=5, bits=256, radius=48, distinct=True, blocks=False)
+#: 5.7; at 0.7 they differ in 49, unrelated ones in 128. The sketches' similarity deviates by 0.02 at
+#: most for long texts and by less for others, hence 0.79.
+NEAR_COPIES = Plan(words=5, bits=256, radius=50, distinct=True, blocks=False, similarity=0.79)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
