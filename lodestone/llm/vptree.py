@@ -26,7 +26,7 @@ from .common import locate, new_dir
 
 #: Vectors in a shard, points in a leaf, queries in a block.
 SHARD_ROWS = 20_000
-LEAF = 48
+LEAF = 512
 BLOCK = 512
 #: More than the rounding error of a distance between unit vectors.
 SLACK = 1e-7
