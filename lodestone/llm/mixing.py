@@ -27,7 +27,7 @@ from .common import WORD_JAVA, materialise
 MOST = 3.0
 OFFSETS = 64
 #: Documents of one source and size are ranked in parts of about this many.
-PART_ROWS = 100_000
+PART_ROWS = 10_000
 
 
 def code_points(source: str | None) -> tuple:
