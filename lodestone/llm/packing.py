@@ -14,6 +14,8 @@ at.
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 from .mixing import PART_ROWS, rank_in_parts
 
 WINDOW = 4096
@@ -53,23 +55,45 @@ class WordTokenizer:
     def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.library, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        self.library, self.remember = Tokenizer.from_file(path), remember
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode distinct words as one text; the library says which word each id belongs to."""
+        coded = self.library.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(coded.ids, dtype="<u4").tobytes(), np.array(coded.word_ids)
+        cuts = (4 * np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]).tolist()
+        parts = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.recent.update(zip(words, parts if len(parts) == len(words) else self._ids(words), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known = {}
+        if len(self.recent) > self.remember:  # of two generations, words still in use come back
+            self.recent, self.older = {}, self.recent
         split = [self.WORDS.findall(t.lower()) if self.PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        new = list({w for ws in split if ws is not None for w in ws} - self.known.keys())
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        get = self.known.__getitem__
+        recent, older, left = self.recent, self.older, []
+        for w in set().union(*[ws for ws in split if ws is not None]):
+            if w not in recent:
+                if w in older:
+                    recent[w] = older[w]
+                else:
+                    left.append(w)
+        for a in range(0, len(left), 2_000):
+            self._learn(left[a : a + 2_000])
+        get = recent.__getitem__
         return [b"".join(map(get, ws)) if ws is not None else self._ids([t])[0] for ws, t in zip(split, texts, strict=True)]
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker: its words stay known from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Whole windows and the rest of every document.
 
@@ -80,10 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordTokenizer(tokenizer)
+        encoder = worker_tokenizer(tokenizer)
         for whole in batches:
             for batch in slices(whole, "text"):
                 out: list[list[int]] = [[], [], [], [], []]
@@ -97,7 +118,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                             column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 @dataclass(frozen=True)
@@ -194,7 +215,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW,
                 sequence[own], offset[own] = base + i // k, at + i % k * x
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")] + [pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def sequences(docs: DataFrame, plan: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, pad: int = 0) -> DataFrame:
@@ -208,7 +229,7 @@ def sequences(docs: DataFrame, plan: DataFrame, *, tokenizer: str | None = None,
     end = np.array([END], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(path)
+        encoder = worker_tokenizer(path)
         for whole in batches:
             for batch in slices(whole, "text"):
                 coded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
@@ -221,7 +242,7 @@ def sequences(docs: DataFrame, plan: DataFrame, *, tokenizer: str | None = None,
         ids = np.concatenate([ids, np.full(window - len(ids), pad, dtype=np.uint32)]).astype(np.int32)
         return pa.table({"sequence_id": table.column("sequence_id")[:1], "ids": pa.array([ids.tolist()], pa.list_(pa.int32()))})
 
-    return joined.mapInArrow(cut, "sequence_id long, offset long, ids binary").groupBy("sequence_id").applyInArrow(join, "sequence_id long, ids array<int>")
+    return joined.mapInArrow(tidy(cut), "sequence_id long, offset long, ids binary").groupBy("sequence_id").applyInArrow(join, "sequence_id long, ids array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
