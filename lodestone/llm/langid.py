@@ -236,7 +236,7 @@ class Scorer:
         words = [words_of(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.rows = {}, self.rows[:0]
-        new = list({w for ws in words for w in ws} - self.known.keys())
+        new = [w for w in set().union(*words) if w not in self.known]
         if new and self.languages:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, log_probabilities(new, self.table, self.prob).astype(np.float32)])
