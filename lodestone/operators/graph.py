@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -140,8 +141,12 @@ def call_flow(edges: DataFrame, start: int, depth: int = 3, fanout: int = 8, max
     return sorted(nodes.items(), key=lambda x: (x[1], x[0])), [e for e in kept if e[0] in nodes and e[1] in nodes]
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, limit: int = 12) -> list[int] | None:
-    """One shortest undirected path, [start] for equal ends, None beyond `limit` steps."""
+def shortest_path(edges: DataFrame, start: int, end: int, limit: int | None = None) -> list[int] | None:
+    """One shortest undirected path, [start] for equal ends, None where no path (of at most `limit` steps) leads.
+
+    The walk ends at the target or where nothing is new; what was seen is cut with each step, so the
+    plan does not grow with the length of the path.
+    """
     if start == end:
         return [start]
     one_way = edges.select("src", "dst")
@@ -149,7 +154,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, limit: int = 12) -> li
     spark = edges.sparkSession
     frontier = spark.range(start, start + 1).select(F.col("id").alias("node"), F.array("id").alias("path"))
     seen = frontier.select("node")
-    for _ in range(limit):
+    for _ in range(limit) if limit is not None else itertools.count():
         new = frontier.join(both, frontier["node"] == both["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path")).join(seen, "node", "left_anti")
         new = cut(new)
         hit = new.where(F.col("node") == end).select("path").first()
@@ -157,7 +162,7 @@ def shortest_path(edges: DataFrame, start: int, end: int, limit: int = 12) -> li
             return list(hit["path"])
         if new.isEmpty():
             return None
-        frontier, seen = new, seen.unionByName(new.select("node"))
+        frontier, seen = new, cut(seen.unionByName(new.select("node")))
     return None
 
 

@@ -240,7 +240,7 @@ def _(spark, d):
 
 @register("i18_shortest_path", _recursive(*GRAPH, "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", f"walk AS (SELECT {START} AS node, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 12 AND w.depth < 6)") + f" SELECT {START} AS start, 19 AS stop, min(depth) AS steps FROM walk WHERE node = 19")
 def _(spark, d):
-    path = graph.shortest_path(S.edges(spark, d), START, 19, limit=6)
+    path = graph.shortest_path(S.edges(spark, d), START, 19)
     return spark.createDataFrame([(START, 19, None if path is None else len(path) - 1)], "start int, stop int, steps int")
 
 

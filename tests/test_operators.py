@@ -88,6 +88,12 @@ def test_shortest_path(spark):
     assert graph.shortest_path(e, 1, 9) is None
 
 
+def test_shortest_path_has_no_limit(spark):
+    e = edges(spark, *[(i, i + 1) for i in range(1, 15)])
+    assert graph.shortest_path(e, 1, 15) == list(range(1, 16))
+    assert graph.shortest_path(e, 1, 15, limit=13) is None
+
+
 def test_communities():
     clique = [(a, b, 1.0) for a in range(4) for b in range(a)]
     both = clique + [(a + 10, b + 10, 1.0) for a, b, _ in clique] + [(0, 10, 0.5)]
