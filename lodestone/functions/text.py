@@ -43,7 +43,7 @@ def line_of(text: Column, pattern: str) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
 
 
 def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:

@@ -468,6 +468,15 @@ def _(spark, d):
     return out.groupBy("stream").agg(F.count("*").alias("n"))
 
 
+# the whole job behind a query whose SQL cannot cut chunks
+@register("j14_evidence_streams_whole")
+def _(spark, d):
+    docs = S.read(spark, d, "documents")
+    files = docs.select(F.lit(1).alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("doc").alias("category"), F.col("text").alias("content"))
+    out = retrieval.evidence_documents(files, S.commits(spark, d), S.issues(spark, d).withColumn("body", F.lit(None).cast("string")))
+    return out.groupBy("stream").agg(F.count("*").alias("n"))
+
+
 SCAN = "fl AS (SELECT 'src/' || source || '_' || (doc_id % 9) || '.py' AS path, CAST(max(n_chars) AS BIGINT) AS loc FROM documents GROUP BY 1), ch AS (SELECT 'src/src' || (o_custkey % 20) || '_' || (o_orderkey % 9) || '.py' AS path, count(*) AS churn FROM orders GROUP BY 1)"
 
 
