@@ -7,6 +7,7 @@ import math
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,6 +85,56 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None
     return out.select("query_id", "id", "score", "rank")
 
 
+#: Vectors and queries in one packed row each: a pair of them is scored as one matrix product.
+VECTOR_ROWS, QUERY_ROWS = 2048, 256
+
+
+def _packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """(ids, m, dim): rows(id long, v array<double>) in packed unit vectors, NaN where the cosine is null."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in parts:
+            dims = whole["v"].map(lambda v: -1 if v is None else len(v))
+            for dim, same in whole.groupby(dims):
+                for a in range(0, len(same), rows):
+                    own = same.iloc[a : a + rows]
+                    m = np.array([[np.nan if x is None else x for x in v] for v in own["v"]] if dim >= 0 else [[np.nan]] * len(own), dtype=np.float64).reshape(len(own), -1)
+                    norm = np.sqrt((m * m).sum(1, keepdims=True))
+                    unit = np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+                    yield pd.DataFrame({"ids": [own["id"].to_numpy(dtype="<i8").tobytes()], "m": [unit.tobytes()], "dim": [dim]})
+
+    return vectors.mapInPandas(run, "ids binary, m binary, dim int")
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None = None, post_filter: bool = False) -> DataFrame:
+    """What knn gives, for query sets that grow with the table: blocks of queries against blocks of vectors.
+
+    ids are long. A pair of blocks gives at most k rows a query, so no pairs of rows are dealt out.
+    """
+    base = vectors if where is None or post_filter else vectors.where(where)
+    v = _packed(base.select(F.col("id").cast("long"), F.col("vector").cast("array<double>").alias("v")), VECTOR_ROWS)
+    q = _packed(queries.select(F.col("query_id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")), QUERY_ROWS)
+    pairs = v.crossJoin(q.select(F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.col("dim").alias("q_dim")))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
+                ids, q_ids = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.q_ids, "<i8")
+                if r.dim == r.q_dim and r.dim > 0:
+                    scores = np.frombuffer(r.q_m).reshape(len(q_ids), -1) @ np.frombuffer(r.m).reshape(len(ids), -1).T
+                else:
+                    scores = np.full((len(q_ids), len(ids)), np.nan)
+                for query, own in zip(q_ids.tolist(), scores, strict=True):
+                    best = np.lexsort((ids, -np.nan_to_num(np.round(own, 6), nan=-np.inf)))[:k]
+                    yield pd.DataFrame({"query_id": query, "id": ids[best], "score": own[best]})
+
+    found = pairs.mapInPandas(run, "query_id long, id long, score double")
+    out = top_k(found.withColumn("score", F.nanvl("score", F.lit(None).cast("double"))), k)
+    if where is not None and post_filter:
+        out = out.join(vectors.where(where).select("id"), "id", "left_semi")
+    return out.select("query_id", "id", "score", "rank")
+
+
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """(query_id, id, score) fused from lists(query_id, list, id, rank from 1)."""
     return lists.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"))

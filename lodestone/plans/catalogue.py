@@ -455,6 +455,47 @@ def _(spark, d):
     return retrieval.search_streams([words, near]).select("query_id", "source", "id", F.col("rank").cast("long").alias("rank"))
 
 
+def _all_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v, _q = _vectors(spark, d)
+    return v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+# the whole jobs behind queries whose SQL, all pairs of rows, is kept to ten queries: every hundredth
+# vector as a query, and every benchmark item
+@register("j03_knn_topk_whole")
+def _(spark, d):
+    v, q = _all_vectors(spark, d)
+    return retrieval.knn_blocks(v, q, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("j04_knn_prefiltered_whole")
+def _(spark, d):
+    v, q = _all_vectors(spark, d)
+    return retrieval.knn_blocks(v, q, 5, where=F.col("label") == 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("j04_knn_postfiltered_whole")
+def _(spark, d):
+    v, q = _all_vectors(spark, d)
+    return retrieval.knn_blocks(v, q, 20, where=F.col("label") == 3, post_filter=True).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("j06_rrf_whole")
+def _(spark, d):
+    v, q = _all_vectors(spark, d)
+    words = _bm25(spark, d, 20).select("query_id", F.lit("bm25").alias("list"), "id", "rank")
+    near = retrieval.knn_blocks(v, q, 20).select("query_id", F.lit("knn").alias("list"), "id", "rank")
+    return retrieval.top_k(retrieval.rrf(words.unionByName(near)), 5, places=12).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@register("j08_cross_stream_whole")
+def _(spark, d):
+    v, q = _all_vectors(spark, d)
+    words = _bm25(spark, d, 15).select("query_id", F.lit("doc").alias("source"), "id", "rank")
+    near = retrieval.knn_blocks(v, q, 15).select("query_id", F.lit("vector").alias("source"), "id", "rank")
+    return retrieval.search_streams([words, near]).select("query_id", "source", "id", F.col("rank").cast("long").alias("rank"))
+
+
 @register("j14_chunks")
 def _(spark, d):
     return S.read(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).select("doc_id", "i", F.length("chunk").alias("chars"), F.md5("chunk").alias("md5"))

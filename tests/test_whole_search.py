@@ -1,0 +1,59 @@
+"""The whole jobs of vector and fused search: every hundredth vector and every benchmark item."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.operators import retrieval
+from lodestone.plans import catalogue
+
+DIR = "/root/testdata/sf0.001"
+
+
+def run(spark, name):
+    return sorted(tuple(r) for r in catalogue.QUERIES[name](spark, DIR).collect())
+
+
+def nearest(spark, k, label=None):
+    rows = sorted((r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect())
+    unit = {i: np.array(v, dtype=float) / np.linalg.norm(np.array(v, dtype=float)) for i, v, _ in rows}
+    out = []
+    for q in [i for i in unit if i % 100 == 0]:
+        order = sorted((-round(float(unit[i] @ unit[q]), 6), i) for i, _, x in rows if label is None or x == label)
+        out += [(q, i, n) for n, (_, i) in enumerate(order[:k], 1)]
+    return sorted(out)
+
+
+def test_every_hundredth_vector_is_a_query(spark):
+    assert run(spark, "j03_knn_topk_whole") == nearest(spark, 5)
+    assert run(spark, "j04_knn_prefiltered_whole") == nearest(spark, 5, 3)
+    labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
+    assert run(spark, "j04_knn_postfiltered_whole") == [x for x in nearest(spark, 20) if labels[x[1]] == 3]
+
+
+@pytest.mark.parametrize(("name", "depth", "keep", "apart"), [("j06_rrf_whole", 20, 5, False), ("j08_cross_stream_whole", 15, 8, True)])
+def test_fusion_has_every_benchmark_item(spark, name, depth, keep, apart):
+    words = catalogue._bm25(spark, DIR, depth).select("query_id", "id", "rank").collect()
+    lists = [("doc" if apart else "", *r) for r in words] + [("vector" if apart else "", *r) for r in nearest(spark, depth)]
+    score = {}
+    for source, query, i, rank in lists:
+        own = score.setdefault(query, {})
+        own[source, i] = own.get((source, i), 0) + 1 / (60 + rank)
+    want = []
+    for query, own in score.items():
+        best = sorted((-round(s, 12), source, i) for (source, i), s in own.items())[:keep]
+        want += [(query, *((source,) if apart else ()), i, n) for n, (_, source, i) in enumerate(best, 1)]
+    assert run(spark, name) == sorted(want)
+    assert {r[0] for r in want} > set(range(10))
+
+
+def test_blocks_equal_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "VECTOR_ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None), (62, [1.0, None, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.where("id % 6 = 0").select(F.col("id").alias("query_id"), "vector")
+    for k in (5, 63):
+        a, b = (sorted((r["query_id"], r["id"], r["rank"]) for r in f(v, q, k).collect()) for f in (retrieval.knn, retrieval.knn_blocks))
+        assert a == b
