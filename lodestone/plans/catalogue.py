@@ -232,6 +232,23 @@ def _(spark, d):
     return graph.reach(back, _starts(spark, d), 2)
 
 
+def _callables(spark: SparkSession, d: str) -> DataFrame:
+    return S.symbols(spark, d).where("kind <> 'class'").select("id")
+
+
+# the whole jobs behind queries whose SQL, a plain recursion, is kept to a part of the starts and depth 2
+@register("i07_upstream_whole")
+def _(spark, d):
+    back = S.edges(spark, d).where("edge_type = 'call'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.reach(back, _callables(spark, d), 3)
+
+
+@register("k12_impact_whole")
+def _(spark, d):
+    starts = _callables(spark, d).withColumn("entrypoint", F.col("id") % 40 == 0)
+    return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts)
+
+
 @register("i05_call_flow")
 def _(spark, d):
     nodes, _edges = graph.call_flow(S.edges(spark, d), START)

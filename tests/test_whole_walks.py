@@ -1,0 +1,39 @@
+"""The whole jobs of the upstream walk and of impact: every callable, three steps."""
+
+from lodestone.plans import catalogue
+from lodestone.sources import tables as S
+
+DIR = "/root/testdata/sf0.001"
+
+
+def walks(spark):
+    callers = {}
+    for r in S.edges(spark, DIR).where("edge_type = 'call'").collect():
+        callers.setdefault(r["dst"], set()).add(r["src"])
+    for start in [r["id"] for r in S.symbols(spark, DIR).where("kind <> 'class'").collect()]:
+        depth, layer = {}, {start}
+        for d in (1, 2, 3):
+            layer = {x for y in layer for x in callers.get(y, ())} - set(depth)
+            depth |= dict.fromkeys(layer, d)
+        yield start, depth
+
+
+def test_upstream_has_every_callable_and_the_third_step(spark):
+    want = sorted((start, node, d) for start, depth in walks(spark) for node, d in depth.items())
+    assert sorted(tuple(r) for r in catalogue.QUERIES["i07_upstream_whole"](spark, DIR).collect()) == want
+    assert {d for _, _, d in want} == {1, 2, 3}
+
+
+def test_impact_has_every_callable_and_the_third_step(spark):
+    tests = {r["id"]: r["file_path"].startswith("tests/") for r in S.symbols(spark, DIR).collect()}
+    want = []
+    for start, depth in walks(spark):
+        direct, inside = sum(d == 1 for d in depth.values()), sum(tests[n] for n in depth)
+        if direct == 0 and start % 40:
+            risk = "low"
+        elif inside == 0:
+            risk = "high" if direct >= 3 else "medium"
+        else:
+            risk = "medium" if direct >= 6 else "low"
+        want.append((start, direct, len(depth), inside, risk))
+    assert sorted(tuple(r) for r in catalogue.QUERIES["k12_impact_whole"](spark, DIR).collect()) == sorted(want)
