@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words as the contracts define them, as a Java pattern: runs of anything but ASCII white space.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
@@ -87,6 +88,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, column: str, name: str) -> DataFrame:
+    """docs, written to the shared folder, with a number of its own for every row."""
+    return materialise(docs.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch so that a slice's strings hold about `limit` bytes (or one row)."""
     import numpy as np

@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release_memory, slices, tidy
+from .common import materialise, numbered, release_memory, slices, tidy
 from .components import components
 
 SEED = 42
@@ -43,8 +43,8 @@ class Plan:
     Without blocks, a shard's key is a sample of the bits, as many as make shards of about SHARD
     random fingerprints, and there are as many tables as find a pair that differs in `share` of its
     bits with probability `recall`, whatever the input's size. With a similarity, the groups that
-    the links make are split again: members stay together where their sketches' Jaccard similarity
-    reaches it, directly or through other members.
+    the links make are split again: members stay together where the exact Jaccard similarity of
+    their shingles reaches it, directly or through other members.
     """
 
     words: int = 4
@@ -110,48 +110,56 @@ def fingerprint(h: np.ndarray, plan: Plan) -> bytes:
     return out
 
 
-#: Bins of a sketch, one byte each; members of a group that one task compares by their sketches.
-BINS = 512
-GROUP = 4096
+#: What one block of a large group holds at most, about: members, and bytes of shingle hashes.
+BLOCK_ROWS, BLOCK_BYTES = 512, 4 << 20
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """One-permutation MinHash: by bin, a byte of the least hash in it (0: the bin is empty)."""
-    h = np.sort(_mix(h))[::-1]  # the least hash of a bin is written last
-    out = np.zeros(BINS, dtype=np.uint8)
-    out[(h & np.uint64(BINS - 1)).astype(np.int64)] = ((h >> np.uint64(20)) % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+def shingle_set(h: np.ndarray) -> bytes:
+    """The distinct hashes in order, little-endian."""
+    return np.unique(h).astype("<u8").tobytes()
 
 
-def similar_groups(sketches: np.ndarray, similarity: float) -> np.ndarray:
-    """For each member, the first member that it reaches over pairs of at least that similarity."""
-    first, left = np.full(len(sketches), -1), np.arange(len(sketches))
+def similar_pairs(sets: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose exact Jaccard similarity is at least that."""
+    sizes = np.array([len(x) // 8 for x in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    words, ids = np.unique(np.frombuffer(b"".join(sets), dtype="<u8"), return_inverse=True)
+    mark, below = np.zeros(len(words), dtype=bool), np.zeros(len(ids) + 1, dtype=np.int64)
+    a, b, left = [], [], np.arange(len(sets))
     while len(left):
-        start, left = left[0], left[1:]
-        first[start], queue = start, [start]
+        queue, left = [left[0]], left[1:]
         while queue and len(left):
-            own = sketches[queue.pop()]
-            same = ((sketches[left] == own) & (own > 0)).sum(1)
-            either = ((sketches[left] > 0) | (own > 0)).sum(1)
-            hit = same >= similarity * np.maximum(either, 1)
-            first[left[hit]] = start
+            at = queue.pop()
+            own = ids[starts[at] : ends[at]]
+            mark[own] = True
+            np.cumsum(mark[ids], out=below[1:])
+            mark[own] = False
+            both = below[ends[left]] - below[starts[left]]
+            hit = both + 1e-9 >= similarity * (sizes[at] + sizes[left] - both)
+            a.append(np.full(hit.sum(), at))
+            b.append(left[hit])
             queue += left[hit].tolist()
             left = left[~hit]
-    return first
+    return tuple(np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b))
 
 
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp binary, sketch binary) for every row; the sketch is null if the plan needs none."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
+    """(doc_id, row, fp binary, digest binary) for every row, with the digest of its shingle set.
+
+    row: that of docs, null if it has none; the digest is null if the plan needs none.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 hashes = [shingle_hashes(t, plan.words) for t in batch.column("text").to_pylist()]
-                sketches = [sketch(h) if plan.similarity else None for h in hashes]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(h, plan) for h in hashes], pa.binary()), pa.array(sketches, pa.binary())], schema=schema)
+                digests = [xxhash.xxh3_128_digest(shingle_set(h), SEED) if plan.similarity else None for h in hashes]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([fingerprint(h, plan) for h in hashes], pa.binary()), pa.array(digests, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, fp binary, sketch binary")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).alias("row")
+    return docs.select(F.col("doc_id").cast("long"), row.cast("long").alias("row"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), "doc_id long, row long, fp binary, digest binary")
 
 
 def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -279,54 +287,109 @@ def links(reps: DataFrame, plan: Plan, n: int) -> DataFrame:
     return reps.mapInArrow(tidy(deal), "bucket int, entries binary").groupBy("bucket").applyInArrow(search, "a long, b long")
 
 
-def split_groups(roots: DataFrame, sketches: DataFrame, plan: Plan) -> DataFrame:
-    """roots(node, root) with each group split by its members' sketches(node, sketch).
+def shingle_sets(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
+    """(group, node, shingles) of members(group, node), whose texts are those of docs(node, text)."""
+    schema = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [shingle_set(shingle_hashes(t, plan.words)) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), pa.array(sets, pa.binary())], schema=schema)
+
+    texts = docs.select("node", F.col("text").cast("binary").alias("text"))
+    return texts.join(members, "node").select("group", "node", "text").mapInArrow(tidy(run), "group long, node long, shingles binary")
 
-    A group of more than GROUP members is left as the fingerprints' links made it.
+
+def similar_links(sets: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) of sets(group, node, shingles): forests of the pairs in a group that are similar.
+
+    A group of one block meets in one task. The members of a larger one are first compared to its
+    smallest node, which links most of a group of near copies; each block of the others then meets
+    each block of the group, two blocks in a task, so every pair that could still join two parts is
+    compared. The broadcasts are of a row for each group of more than a block.
     """
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = roots.join(sizes, "root").join(sketches, "node")
-    buckets = max(1, roots.count() * BINS // BUCKET_BYTES) + roots.sparkSession.sparkContext.defaultParallelism
-    dealt = members.where(F.col("size") <= GROUP).select(F.pmod(F.xxhash64("root"), F.lit(buckets)).alias("bucket"), "root", "node", "sketch")
-
-    def split(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("root", "ascending"), ("node", "ascending")])
-        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
-        all_ = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
-        out = np.empty_like(node)
-        cuts = np.r_[0, np.flatnonzero(np.diff(root)) + 1, len(root)]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("lead_set").to_pylist(), batch.column("shingles").to_pylist(), strict=True)
+            close = [len(similar_pairs(list(pair), plan.similarity)[0]) > 0 for pair in pairs]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "node", "shingles", "lead")), pa.array(close, pa.bool_())], names=["group", "node", "shingles", "lead", "near"])
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES))
+
+    weight = F.length("shingles")
+    sizes = sets.groupBy("group").agg(F.count("*").alias("n"), F.sum(weight).alias("size"))
+    large = materialise(sizes.where(blocks(F.col("n"), F.col("size")) > 1).select("group"), "simhash-large")
+    inside = sets.join(F.broadcast(large), "group")
+    lead = inside.groupBy("group").agg(F.min("node").alias("lead"), F.min_by("shingles", "node").alias("lead_set"))
+    told = materialise(inside.join(F.broadcast(lead), "group").mapInArrow(tidy(near), "group long, node long, shingles binary, lead long, near boolean"), "simhash-near")
+    parts = told.groupBy("group").agg(blocks(F.count_if("near"), F.coalesce(F.sum(F.when(F.col("near"), weight)), F.lit(0))).alias("of_near"), blocks(F.count_if(~F.col("near")), F.coalesce(F.sum(F.when(~F.col("near"), weight)), F.lit(0))).alias("of_rest"))
+    own = F.when(F.col("near"), F.pmod(F.xxhash64("node"), F.greatest("of_near", F.lit(1)))).otherwise(F.col("of_near") + F.pmod(F.xxhash64("node"), F.greatest("of_rest", F.lit(1)))).alias("own")
+    placed = told.join(F.broadcast(parts.where("of_rest > 0")), "group").select("*", own)
+    first = F.when(F.col("near"), F.col("of_near")).otherwise(F.lit(0))
+    met = placed.withColumn("other", F.explode(F.sequence(first, F.col("of_near") + F.col("of_rest") - 1)))
+    of_large = met.select("group", F.greatest("own", "other").alias("x"), F.least("own", "other").alias("y"), "node", "shingles")
+    of_small = sets.join(F.broadcast(large), "group", "left_anti").select("group", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "node", "shingles")
+    every = of_small.unionByName(of_large)
+    total = every.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    buckets = total // BUCKET_BYTES + 8 * sets.sparkSession.sparkContext.defaultParallelism
+    dealt = every.select(F.pmod(F.xxhash64("group", "x", "y"), F.lit(buckets)).alias("bucket"), "*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("group", "x", "y", "node")])
+        node = table.column("node").to_numpy()
+        key = np.stack([table.column(c).to_numpy() for c in ("group", "x", "y")])
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0).any(0)) + 1).tolist(), len(node)]
+        out = [np.zeros((2, 0), dtype=np.int64)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            out[a:b] = node[a:b][similar_groups(all_[a:b], plan.similarity)]
-        return pa.table({"node": node, "root": out})
+            out.append(node[np.stack(similar_pairs(table.column("shingles").slice(a, b - a).to_pylist(), plan.similarity)) + a])
+        pairs = np.concatenate(out, axis=1)
+        del table, out
+        release_memory()
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return dealt.groupBy("bucket").applyInArrow(split, "node long, root long").unionByName(members.where(F.col("size") > GROUP).select("node", "root"))
+    stars = told.where("near and node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    return dealt.groupBy("bucket").applyInArrow(compare, "a long, b long").unionByName(stars)
 
 
 def link_documents(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id that links reach."""
-    fps = materialise(fingerprints(docs, plan), "simhash")
+    """(doc_id, fp, component_id) for every row: the smallest doc_id that the fingerprints' links reach."""
+    fps = materialise(fingerprints(docs, plan).select("doc_id", "fp"), "simhash")
     reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
     roots = components(links(reps, plan, reps.count()))
-    if plan.similarity:
-        own = reps.join(fps, "fp").where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.first("sketch").alias("sketch"))
-        roots = materialise(split_groups(roots, own, plan), "simhash-groups")
     of_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(of_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Keep the document with the smallest doc_id of each component, and rows without a doc_id."""
-    gone = link_documents(docs, plan).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component, that of the smallest doc_id (a row without one comes last).
+
+    Rows are told apart by a number of their own, not by doc_id. Rows of equal shingle sets are one
+    node. The fingerprints' links make groups of nodes; in a group, nodes of exact similarity belong
+    together, directly or through others.
+    """
+    rows = numbered(docs, "__row", "simhash-rows")
+    fps = materialise(fingerprints(rows.select("doc_id", F.col("__row").alias("row"), "text"), plan), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    nodes = materialise(fps.groupBy("fp", "digest").agg(best).withColumn("node", F.col("best.row")), "simhash-nodes")
+    reps = materialise(nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "simhash-reps")
+    roots = components(links(reps.select("fp", "rep"), plan, reps.count()))
+    grouped = reps.join(roots, reps["rep"] == roots["node"], "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "rep").alias("group"))
+    members = nodes.join(grouped, "fp").select("group", "node")
+    sets = materialise(shingle_sets(rows.withColumnRenamed("__row", "node"), members, plan), "simhash-sets")
+    similar = components(similar_links(sets, plan))
+    merged = nodes.join(similar, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("best").alias("best"))
+    return rows.join(merged.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 #: The contract's fingerprints.
 CONTRACT = Plan()
 #: For filtering near copies: five-word shingles, Jaccard similarity 0.8. Two sets of equal size with
 #: that similarity have a cosine of 0.889 and so differ in 15 % of the bits, 39 of 256 with deviation
-#: 5.7; at 0.7 they differ in 49, unrelated ones in 128. The sketches' similarity deviates by 0.02 at
-#: most for long texts and by less for others, hence 0.79.
-NEAR_COPIES = Plan(words=5, bits=256, radius=50, distinct=True, blocks=False, similarity=0.79)
+#: 5.7; at 0.7 they differ in 49, unrelated ones in 128.
+NEAR_COPIES = Plan(words=5, bits=256, radius=50, distinct=True, blocks=False, similarity=0.8)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

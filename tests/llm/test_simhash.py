@@ -111,3 +111,46 @@ def test_near_copies_go_and_others_stay(spark, documents, edits):
     docs = spark.read.parquet(documents(rows) + "/documents.parquet")
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs, simhash.NEAR_COPIES).collect()}
     assert kept == {2 * i for i in range(40)}
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def exact(rows):
+    label = list(range(len(rows)))
+    changed = True
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(label[i], label[j])
+            changed |= label[i] != label[j]
+            label[i] = label[j] = low
+    return {rows[i][0] for i in range(len(rows)) if label[i] == i}
+
+
+def kept_of(spark, documents, rows):
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet")
+    return sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs, simhash.NEAR_COPIES).collect())
+
+
+@pytest.mark.parametrize(("block", "lead"), [(4, 0), (5, 28), (4096, 0)])
+def test_a_group_of_any_size_is_split_exactly(spark, documents, monkeypatch, block, lead):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choice(words, 400).tolist()
+    rows = []
+    for i in range(40):  # copies of one template: some families are closer than 0.8, all of them about 0.7 to each other
+        if i % 4 == 0 and i >= lead:
+            text = base.copy()
+            for j in rng.choice(400, 8, replace=False):
+                text[j] = str(rng.choice(words))
+        own = text.copy() if i >= lead else base.copy()
+        own[int(rng.integers(400))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    want = exact(rows)
+    assert len(want) > 1
+    assert kept_of(spark, documents, rows) == sorted(want)
