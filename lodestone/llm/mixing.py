@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_JAVA, materialise
+from .common import WORD_JAVA, materialise, numbered
 
 MOST = 3.0
 OFFSETS = 64
@@ -102,21 +102,27 @@ def rank_in_parts(df: DataFrame, group: list[str], order: list[Column], counts:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of docs(doc_id, text, source)."""
+    """(doc_id, source, size, source_size, target, copies) for every row of docs(doc_id, text, source).
+
+    A column __row, if docs has it, numbers the rows: it is kept, stands for a missing doc_id and tells
+    rows of equal doc_id apart.
+    """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_JAVA)), F.lit(0)).cast("long")
-    slim = materialise(docs.select(F.col("doc_id"), F.col("source"), size.alias("size")), "mixing-sizes")
+    row = ["__row"] if "__row" in docs.columns else []
+    slim = materialise(docs.select(*row, F.col("doc_id"), F.col("source"), size.alias("size")), "mixing-sizes")
     by_source = slim.groupBy("source").agg(F.sum("size").alias("total"), F.sum((F.col("size") > 0).cast("long")).alias("n")).collect()
     sizes = {r["source"]: r["total"] for r in by_source}
     targets = water_fill(sizes, weights)
     code = {s: i for i, s in enumerate(sorted(sizes, key=code_points))}
     known = T.StructType([T.StructField("source", T.StringType()), T.StructField("code", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     sources = spark.createDataFrame([(s, code[s], sizes[s], targets[s]) for s in sizes], known)
-    coded = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select("doc_id", slim["source"], "size", "code", "source_size", "target")
+    coded = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select(*row, "doc_id", slim["source"], "size", "code", "source_size", "target")
 
     n = slim.count()
     parts = n // PART_ROWS + 1
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts)).cast("int")
+    own = F.coalesce(F.col("doc_id").cast("long"), *row)
+    part = F.pmod(F.xxhash64(F.lit(seed), own), F.lit(parts)).cast("int")
     counts = materialise(coded.where("size > 0").groupBy("code", "size", part.alias("part")).agg(F.count("*").alias("n")), "mixing-counts")
     table = counts.groupBy("code", "size").agg(F.sum("n").alias("n"))
     stats = {code[r["source"]]: (float(r["total"]), float(r["n"])) for r in by_source}
@@ -139,22 +145,20 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), seed: int = 42
     best = sums.join(want, "code").groupBy("code").agg(F.min_by("k", F.struct(F.abs(F.col("got") - F.col("target")), "k")).alias("k")).select("code", ((F.col("k") + 0.5) / OFFSETS).alias("offset"))
     scale = scale.join(best, "code").select("code", "size", "rate", F.col("below") + F.col("offset") + 1e-9).toDF("code", "size", "rate", "begin")
 
-    ranked = rank_in_parts(coded.where("size > 0").withColumn("part", part), ["code", "size"], [F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("doc_id")], counts, "part")
+    ranked = rank_in_parts(coded.where("size > 0").withColumn("part", part), ["code", "size"], [F.xxhash64(F.lit(seed + 1), own), F.col("doc_id"), *map(F.col, row)], counts, "part")
     copies = F.floor(F.col("begin") + (F.col("rank") + 1) * F.col("rate")) - F.floor(F.col("begin") + F.col("rank") * F.col("rate"))
     full = ranked.join(scale, ["code", "size"]).withColumn("copies", F.least(copies, F.lit(int(MOST))))
     empty = coded.where("size = 0").withColumn("copies", F.lit(0).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    columns = [*row, "doc_id", "source", "size", "source_size", "target", "copies"]
     return full.select(*columns).unionByName(empty.select(*columns))
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its document.
-
-    Rows that repeat a doc_id cannot be told apart: each is taken as often as the least of them.
-    """
-    plan = mix(docs.select("doc_id", "text", "source"), **options).groupBy("doc_id").agg(F.min("copies").cast("int").alias("__copies")).where("__copies > 0")
+    """The rows of docs, each as often as the mix takes it; rows are told apart by numbers of their own."""
+    rows = numbered(docs, "__row", "mixing-rows")
+    plan = mix(rows.select("__row", "doc_id", "text", "source"), **options).select("__row", F.col("copies").cast("int").alias("__copies")).where("__copies > 0")
     names = docs.columns
-    some = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in names], "__copies")
+    some = rows.join(plan, "__row").select(*names, "__copies")
     return some.select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*names)
 
 

@@ -67,6 +67,18 @@ def test_repeating_keeps_columns_and_counts(spark, documents):
     assert got == {i: n for i, n in plan.items() if n}
 
 
+def test_each_row_of_a_repeated_or_missing_id_gets_its_own_copies(spark, documents):
+    data = [(None, "w " * (1 + i * 7919 % 97), f"s{i % 5}") for i in range(400)] + [(None, "", "s1"), (5, "", "s0"), *[(5, "w " * 30, "s0")] * 9]
+    out = collect(mixing.repeat_documents(spark.read.parquet(documents(data) + "/documents.parquet")))
+    sizes, got = {}, {}
+    for _, text, source in data:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    for r in out:
+        got[r["source"]] = got.get(r["source"], 0) + len(r["text"].split())
+    for source, target in mixing.water_fill(sizes).items():
+        assert abs(got.get(source, 0) - target) <= max(100, 0.02 * target)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.one_of(st.none(), st.text(max_size=3)), st.integers(0, 1000), max_size=8))
 def test_water_filling(sizes):

@@ -167,3 +167,12 @@ def test_pairs_at_the_border_are_told_apart_exactly(spark, documents):
     want, kept = exact(rows), set(kept_of(spark, documents, rows))
     assert want <= kept and len(kept - want) <= 3  # none goes below 0.8; the fingerprints may miss a few
     assert len(want) == 60
+
+
+def test_one_row_stays_of_repeated_and_missing_ids(spark, documents):
+    rng = np.random.default_rng(5)
+    a, b, c = (" ".join(f"w{i}" for i in rng.integers(0, 3000, 200)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, b), (2, None), (None, None)]
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet")
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs, simhash.NEAR_COPIES).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (2, None)], key=str)
