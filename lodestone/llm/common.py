@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,25 +22,50 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session names none (a local test) is a local temporary folder made and set.
+    Only where the session names none and runs on this machine alone (a local test) is a temporary
+    folder made and set; on a cluster, which would not see it, that is an error.
     Every operator comes here, so this is also where Arrow batches are bounded by their bytes: with
     long texts, a batch of 10,000 rows may be larger than a worker.
     """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+#: Folders made since the last clean_up, by whoever called for them.
+_made: list[str] = []
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A new folder of that name below the shared one."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     make_dir(path)
+    _made.append(path)
     return path
 
 
+@contextlib.contextmanager
+def working_folders() -> Iterator[Callable[[], None]]:
+    """Within, folders are remembered; the function given removes those made so far.
+
+    Results that are not written yet may still read them: call it when they are.
+    """
+    before = len(_made)
+
+    def remove() -> None:
+        while len(_made) > before:
+            fs, path = locate(_made.pop())
+            if fs.get_file_info(path).type != pafs.FileType.NotFound:
+                fs.delete_dir(path)
+
+    yield remove
+
+
 def locate(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

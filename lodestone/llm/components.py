@@ -13,9 +13,12 @@ def _checksum(e: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node with an edge (a, b), root being its component's smallest node.
 
+    Rounds end when none changes an edge; their number grows with the logarithm of the longest path.
+    If `rounds` are not enough, that is an error, never an unfinished result.
+
     Each round is two key-wise minima and two joins on the same key; the edge list, never longer
     than at the start, is written to the shared folder after each.
     """
@@ -35,5 +38,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
