@@ -8,7 +8,11 @@ expected piece counts come from the forward and backward sums over a sample of l
 Defined results: a null text, or one without a letter, is `und` with score 0; a null label is never
 learned from; equal likelihoods go to the smallest label by code point; with no labelled row at all
 every text is `und`; other columns are kept as they are, and the added ones replace columns of the
-same names. Letter runs longer than BLOCK are scored in blocks of BLOCK letters.
+same names; rows that are repeated are predicted alike, and count each in the fit. Letter runs of any
+length, as in unspaced scripts, are one word: from LONG letters on, its forward and backward sums run
+in logarithms over blocks of BLOCK letters, each handing its last positions to the next, so memory
+does not grow with the word and no segmentation is lost at a block's end. More than MAX_LANGUAGES
+labels are an error: such a column holds no languages.
 """
 
 from __future__ import annotations
@@ -26,7 +30,10 @@ from pyspark.sql import functions as F
 from .common import materialise, slices, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
-BLOCK = 32
+#: Words of this many letters or more are summed one by one, in blocks of so many letters.
+LONG = 32
+BLOCK = 1024
+MAX_LANGUAGES = 256
 #: Each letter's share of the scaling that keeps the forward sums inside a double's range.
 SCALE = 256.0
 #: Letters of text that one unit of the reported score stands for.
@@ -46,7 +53,7 @@ def read_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size())}
-    keep = {p for p in pieces if (b := p.removeprefix(START)) == p.lower().removeprefix(START) and len(p) <= BLOCK and (not b or LETTERS.fullmatch(b))}
+    keep = {p for p in pieces if (b := p.removeprefix(START)) == p.lower().removeprefix(START) and (not b or LETTERS.fullmatch(b))}
     return sorted(keep | {START})
 
 
@@ -118,23 +125,113 @@ def _forward(lengths, ends, prob):
     return alpha
 
 
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis."""
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+class LongWord:
+    """The forward and backward sums of one word of any length, in logarithms.
+
+    Position p lies before letter p of the start mark and the word. A window is the sums of as many
+    positions as the longest piece has letters.
+    """
+
+    def __init__(self, word: str, pieces: Pieces, log_prob: np.ndarray):
+        self.codes = np.frombuffer((START + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        self.pieces, self.log_prob, self.reach = pieces, log_prob, pieces.longest
+
+    def _ids(self, lo: int, hi: int) -> np.ndarray:
+        """[a - lo, n - 1]: the piece of n letters that starts at lo <= a < hi, -1 where there is none."""
+        out = np.full((hi - lo, self.reach), -1, dtype=np.int32)
+        h = np.full(hi - lo, 7, dtype=np.uint64)
+        for n in range(1, self.reach + 1):
+            m = min(hi, len(self.codes) - n + 1) - lo
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(1_000_003) + self.codes[lo + n - 1 : lo + n - 1 + m] + np.uint64(1)
+            out[:m, n - 1] = self.pieces.ids(h)
+        out[out[:, 0] < 0, 0] = self.pieces.n  # a letter that is no piece counts as the unknown piece
+        return out
+
+    def _logs(self, ids: np.ndarray) -> np.ndarray:
+        return np.where(ids[..., None] >= 0, self.log_prob[ids], -np.inf)
+
+    def _forward(self, window: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Sums at positions lo - reach + 1 to hi; window: those up to lo."""
+        first = max(0, lo + 1 - self.reach)
+        logs = self._logs(self._ids(first, hi))
+        start = np.arange(lo + 1, hi + 1)[:, None] - np.arange(1, self.reach + 1) - first
+        logs = np.where(start[..., None] >= 0, logs[np.maximum(start, 0), np.arange(self.reach)], -np.inf)
+        out = np.empty((self.reach + hi - lo, window.shape[1]))
+        out[: self.reach] = window
+        for i in range(hi - lo):
+            out[self.reach + i] = _sum(out[i : i + self.reach][::-1] + logs[i])
+        return out
+
+    def _start(self) -> np.ndarray:
+        window = np.full((self.reach, self.log_prob.shape[1]), -np.inf)
+        window[-1] = 0
+        return window
+
+    def log_probability(self) -> np.ndarray:
+        window = self._start()
+        for lo in range(0, len(self.codes), BLOCK):
+            window = self._forward(window, lo, min(lo + BLOCK, len(self.codes)))[-self.reach :]
+        return window[-1]
+
+    def add_counts(self, weights: np.ndarray, total: np.ndarray) -> None:
+        """Add the expected counts of the word's pieces, times its weight in each language."""
+        ends, windows = len(self.codes), [self._start()]
+        for lo in range(0, ends, BLOCK):
+            windows.append(self._forward(windows[-1], lo, min(lo + BLOCK, ends))[-self.reach :].copy())
+        whole = windows.pop()[-1]
+        after = np.full((self.reach, len(whole)), -np.inf)  # sums from positions hi to hi + reach - 1 on
+        after[0] = 0
+        for lo in range((ends - 1) // BLOCK * BLOCK, -1, -BLOCK):
+            hi = min(lo + BLOCK, ends)
+            alpha = self._forward(windows.pop(), lo, hi)[self.reach - 1 : -1]
+            ids = self._ids(lo, hi)
+            logs = self._logs(ids)
+            beta = np.empty((hi - lo + self.reach, len(whole)))
+            beta[hi - lo :] = after
+            for i in range(hi - lo - 1, -1, -1):
+                beta[i] = _sum(beta[i + 1 : i + 1 + self.reach] + logs[i])
+            after = beta[: self.reach].copy()
+            for n in range(1, self.reach + 1):
+                own = ids[:, n - 1] >= 0
+                flow = np.exp(alpha[own] + logs[own, n - 1] + beta[n : n + hi - lo][own] - whole) * weights
+                for k in range(len(whole)):
+                    total[:, k] += np.bincount(ids[own, n - 1], flow[:, k], minlength=len(total))
+
+
+def _split_long(words: list[str]) -> tuple[list[int], list[int]]:
+    """Indexes of the words of less than LONG letters, by length, and of the others."""
+    short = sorted((i for i, w in enumerate(words) if len(w) < LONG), key=lambda i: len(words[i]))
+    return short, [i for i, w in enumerate(words) if len(w) >= LONG]
+
+
 def log_probabilities(words: list[str], pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Log probability of each word for each language, over all segmentations."""
     out = np.empty((len(words), prob.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order, long = _split_long(words)
     for a in range(0, len(order), 4096):
         part = order[a : a + 4096]
         lengths, ends = pieces.matches([words[i] for i in part])
         alpha = _forward(lengths, ends, prob)
         last = alpha[lengths, np.arange(len(part))]
         out[part] = np.log(np.maximum(last, 1e-300)) - lengths[:, None] * np.log(SCALE)
+    log_prob = np.log(np.maximum(prob, 1e-300)) if long else None
+    for i in long:
+        out[i] = LongWord(words[i], pieces, log_prob).log_probability()
     return out
 
 
 def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prob: np.ndarray) -> np.ndarray:
     """Expected piece counts by language of words that occur `weights[word, language]` times."""
     total = np.zeros((pieces.n + 1, prob.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    order, long = _split_long(words)
     for a in range(0, len(order), 4096):
         part = order[a : a + 4096]
         lengths, ends = pieces.matches([words[i] for i in part])
@@ -148,15 +245,15 @@ def expected_counts(words: list[str], weights: np.ndarray, pieces: Pieces, prob:
                 beta[b - n, rows] += flow
                 for k in range(prob.shape[1]):
                     total[:, k] += np.bincount(ids, flow[:, k] * alpha[b - n, rows, k], minlength=len(total))
+    log_prob = np.log(np.maximum(prob, 1e-300)) if long else None
+    for i in long:
+        LongWord(words[i], pieces, log_prob).add_counts(weights[i], total)
     return total
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs, the longest cut into blocks."""
-    found = LETTERS.findall(text.lower())
-    if found and max(map(len, found)) >= BLOCK:
-        found = [w[i : i + BLOCK - 1] for w in found for i in range(0, len(w), BLOCK - 1)]
-    return found
+    """Lower-cased letter runs."""
+    return LETTERS.findall(text.lower())
 
 
 @dataclass
@@ -176,13 +273,14 @@ def fit(docs: DataFrame, *, train: str = "true", vocabulary: str | None = None,
     """
     pieces = read_pieces(vocabulary or default_vocabulary())
     rows = docs.where(F.expr(train) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, max_rows * 1_000_000 // len(counts) // n + 1)).otherwise(share)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels in lang")
+    shares = {lang: min(1_000_000, max_rows * 1_000_000 // len(counts) // n + 1) for lang, n in counts.items()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(20)), F.lit(1_000_000)) < share).select("lang", "text")
     code = {x: i for i, x in enumerate(languages)}
     schema = pa.schema([("lang", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
@@ -236,17 +334,23 @@ class Scorer:
         words = [words_of(t) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known, self.rows = {}, self.rows[:0]
-        new = [w for w in set().union(*words) if w not in self.known]
-        if new and self.languages:
+        every = set().union(*words) if self.languages else set()
+        new = [w for w in every if len(w) < LONG and w not in self.known]
+        if new:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, log_probabilities(new, self.table, self.prob).astype(np.float32)])
+        rare = [w for w in every if len(w) >= LONG]  # not remembered: they may be as long as a text
+        long = dict(zip(rare, log_probabilities(rare, self.table, self.prob), strict=True))
         langs, scores = [], []
         for ws in words:
             if not self.languages or not any(c.isalpha() for w in ws for c in w):
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            total = self.rows[np.fromiter(map(self.known.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(0, dtype=np.float64)
+            short = [self.known[w] for w in ws if len(w) < LONG] if long else list(map(self.known.__getitem__, ws))
+            total = self.rows[np.array(short, dtype=np.int64)].sum(0, dtype=np.float64)
+            if len(short) < len(ws):
+                total = total + sum(long[w] for w in ws if len(w) >= LONG)
             best = int(np.argmax(total))
             ratio = min(1.0, SCORE_LETTERS / sum(map(len, ws)))
             scores.append(float(1 / np.exp((total - total[best]) * ratio).sum()))
