@@ -13,10 +13,15 @@ where equal strings are sure to meet:
    anchor hash with several contexts, the first places' contexts are wanted as text.
 4. These texts meet by anchor hash. Each group joins them to segments in corpus order, sorts the
    suffixes by their first `length` bytes, takes the previous and next smaller positions in suffix
-   order, and so has for each position the longest factor that also starts before it.
-5. Each frame merges what was found for it.
+   order, and so has the longest previous factor of each position: the longer of its matches with
+   the two. Where that is `length` or more, the string starts earlier too.
+5. An anchor hash with more than HOT contexts (a common line in many surroundings) would make a group
+   that no task can hold. Its contexts are split again, into the windows that hold the anchor, and
+   these meet by their own hashes, spread over all buckets.
+6. Each frame merges what was found for it.
 
-Equality in steps 2 and 3 is that of two 64-bit hashes of the same bytes; in step 4, of the bytes.
+Equality in steps 2, 3 and 5 is that of 128 bits of hashes of the same bytes (for 10^13 of them, a
+wrong match has a chance below 10^-12); in step 4, of the bytes.
 
 Defined results: null text is empty; null doc_ids come first; rows with equal doc_id come in the
 order of their frames and places there; documents shorter than `length` lose nothing; other columns
@@ -30,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +52,8 @@ FILE = 32 << 20
 BLOCK = 1 << 18
 BUCKET_BYTES = 16 << 20
 GROUP_BYTES = 2 << 20
+#: Contexts of one anchor hash that still meet in one group.
+HOT = 10_000
 
 _NULL = np.iinfo(np.int64).min
 _rng = np.random.default_rng(20)
@@ -147,29 +155,49 @@ def next_smaller(x: np.ndarray) -> np.ndarray:
     return len(x) - 1 - previous_smaller(x[::-1])[::-1]
 
 
-def repeated_starts(data: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
-    """Valid positions whose longest previous factor has `length` bytes or more.
+def factor_lengths(data: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each valid position, as far as `length`.
 
-    valid: sorted positions with `length` bytes of their own segment left. Suffixes are sorted by
-    prefix doubling as far as `length` needs; those equal that far, by position.
+    valid: sorted positions with `length` bytes of their own segment left; earlier factors are those
+    that start at valid positions too. Suffixes are sorted by prefix doubling as far as `length`
+    needs, those equal that far by position. Of all earlier positions, the previous and the next
+    smaller one in this order have the longest matches; the doubled ranks measure them.
     """
     if not len(valid):
         return valid
     n = len(data)
     padded = np.r_[data, np.zeros(length, dtype=np.uint8)]
-    rank, width = np.unique(padded[:n], return_inverse=True)[1].astype(np.int64), 1
+    ranks, width = [np.unique(padded[:n], return_inverse=True)[1].astype(np.int64)], 1
     while 2 * width <= length:
+        rank = ranks[-1]
         shifted = np.r_[rank[width:], np.zeros(width, dtype=np.int64)][:n]
-        rank = np.unique(rank * (n + 1) + shifted, return_inverse=True)[1]
+        ranks.append(np.unique(rank * (n + 1) + shifted, return_inverse=True)[1])
         width *= 2
+    rank = ranks[-1]
     whole = np.unique(rank[valid] * (n + 1) + rank[valid + length - width], return_inverse=True)[1]
     order = np.argsort(whole, kind="stable")
     suffix, group = valid[order], whole[order]
-    before, after = previous_smaller(suffix), next_smaller(suffix)
-    # the longest previous factor is the longer match with the previous and next smaller position
-    long = (before >= 0) & (group[np.maximum(before, 0)] == group)
-    long |= (after < len(suffix)) & (group[np.minimum(after, len(suffix) - 1)] == group)
-    return np.sort(suffix[long])
+    out = np.zeros(len(valid), dtype=np.int64)
+    for near in (previous_smaller(suffix), next_smaller(suffix)):
+        has = np.flatnonzero((near >= 0) & (near < len(suffix)))
+        match = np.full(len(has), length, dtype=np.int64)
+        part = np.flatnonzero(group[has] != group[near[has]])
+        a, b = suffix[has[part]].copy(), suffix[near[has[part]]].copy()
+        found = np.zeros(len(part), dtype=np.int64)
+        for i in range(len(ranks) - 1, -1, -1):  # a match is less than `length` here: take widths that fit, twice the widest if need be
+            for _ in range(2 if i == len(ranks) - 1 else 1):
+                same = (np.maximum(a, b) < n) & (ranks[i][np.minimum(a, n - 1)] == ranks[i][np.minimum(b, n - 1)])
+                found += same << i
+                a += same << i
+                b += same << i
+        match[part] = np.minimum(found, length - 1)
+        out[order[has]] = np.maximum(out[order[has]], match)
+    return out
+
+
+def repeated_starts(data: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
+    """Valid positions whose longest previous factor has `length` bytes or more."""
+    return valid[factor_lengths(data, length, valid) >= length]
 
 
 def _read_frame(files: Ranges, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,9 +260,10 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
 
 _ENTRY = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<i8")]
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("frame", pa.int64()), ("entries", pa.binary())])
-#: Kinds of rows: anchors to compare; places of anchors whose context repeats; places of anchors
-#: whose context is wanted, with the anchor's hash; covered ranges.
-COMPARE, REPEATS, WANTED, COVERED = range(4)
+#: Kinds of rows: anchors or windows to compare; places of anchors whose context repeats; places of
+#: anchors whose context is wanted, with the anchor's hash; covered ranges; places of hot anchors,
+#: with the anchor's hash; windows that repeat.
+COMPARE, REPEATS, WANTED, COVERED, SPLIT, WINDOW = range(6)
 
 
 def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -279,36 +308,86 @@ def _anchor_rows(buckets: int, length: int, k: int):
 _BYTES = 28
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    """A bucket: settle repeated pairs, ask for the contexts of anchors that have several."""
-    out, h, c, doc, frame, at = [], [], [], [], [], []
-    for kind, of, blob in zip(table.column("kind").to_pylist(), table.column("frame").to_pylist(), table.column("entries").to_pylist(), strict=True):
-        if kind != COMPARE:
-            out.append((kind, of, blob))
-            continue
-        n = len(blob) // _BYTES
-        h.append(np.frombuffer(blob, "<u8", n))
-        c.append(np.frombuffer(blob, "<u8", n, 8 * n))
-        doc.append(np.frombuffer(blob, "<i8", n, 16 * n))
-        at.append(np.frombuffer(blob, "<u4", n, 24 * n).astype(np.int64))
-        frame.append(np.full(n, of, dtype=np.int64))
-    if h:
-        h, c, doc, frame, at = (np.concatenate(x) for x in (h, c, doc, frame, at))
-        order = np.lexsort((at, frame, doc, c, h))
-        h, c, frame, at = h[order], c[order], frame[order], at[order]
-        first = _first_of(h, c)
-        for kind, pick in ((REPEATS, ~first), (WANTED, None)):
-            if pick is None:  # firsts of hashes that have several contexts
-                h, frame, at = h[first], frame[first], at[first]
-                start = np.flatnonzero(_first_of(h))
-                size = np.diff(np.r_[start, len(h)])
-                pick = np.repeat(size > 1, size)
+def _compare(repeated: int, contexts: bool):
+    """A bucket: settle repeated pairs; with contexts, ask for those of anchors that have several."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, h, c, doc, frame, at = [], [], [], [], [], []
+        for kind, of, blob in zip(table.column("kind").to_pylist(), table.column("frame").to_pylist(), table.column("entries").to_pylist(), strict=True):
+            if kind != COMPARE:
+                out.append((kind, of, blob))
+                continue
+            n = len(blob) // _BYTES
+            h.append(np.frombuffer(blob, "<u8", n))
+            c.append(np.frombuffer(blob, "<u8", n, 8 * n))
+            doc.append(np.frombuffer(blob, "<i8", n, 16 * n))
+            at.append(np.frombuffer(blob, "<u4", n, 24 * n).astype(np.int64))
+            frame.append(np.full(n, of, dtype=np.int64))
+
+        def tell(kind: int, pick: np.ndarray) -> None:
             by = np.flatnonzero(pick)
             by = by[np.argsort(frame[by], kind="stable")]
             for i in np.split(by, np.flatnonzero(np.diff(frame[by])) + 1) if len(by) else []:
-                body = at[i].astype("<i8").tobytes() + (h[i].astype("<u8").tobytes() if kind == WANTED else b"")
+                body = at[i].astype("<i8").tobytes() + (h[i].astype("<u8").tobytes() if kind in (WANTED, SPLIT) else b"")
                 out.append((kind, int(frame[i[0]]), body))
-    return pa.table({"kind": pa.array([r[0] for r in out], pa.int32()), "frame": pa.array([r[1] for r in out], pa.int64()), "entries": pa.array([r[2] for r in out], pa.binary())})
+
+        if h:
+            h, c, doc, frame, at = (np.concatenate(x) for x in (h, c, doc, frame, at))
+            order = np.lexsort((at, frame, doc, c, h))
+            h, c, frame, at = h[order], c[order], frame[order], at[order]
+            first = _first_of(h, c)
+            tell(repeated, ~first)
+            if contexts:  # firsts of hashes that have several contexts
+                h, frame, at = h[first], frame[first], at[first]
+                start = np.flatnonzero(_first_of(h))
+                size = np.diff(np.r_[start, len(h)])
+                size = np.repeat(size, size)
+                tell(WANTED, (size > 1) & (size <= HOT))
+                tell(SPLIT, size > HOT)
+        return pa.table({"kind": pa.array([r[0] for r in out], pa.int32()), "frame": pa.array([r[1] for r in out], pa.int64()), "entries": pa.array([r[2] for r in out], pa.binary())})
+
+    return run
+
+
+def _window_rows(buckets: int, length: int, k: int):
+    """Of each frame, the windows that hold a hot anchor, dealt by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, side = Ranges(), length - k
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, ids, starts, ends = _read_frame(files, row)
+                full = ends > starts
+                ids, starts, ends = ids[full], starts[full], ends[full]
+                anchors = np.concatenate([np.frombuffer(x, "<i8", len(x) // 16) for x in row["entries"]])
+                own = np.searchsorted(starts, anchors, side="right") - 1
+                turn = np.empty(len(ids), dtype=np.int64)
+                turn[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+                raw = memoryview(data)
+                for part in np.array_split(np.arange(len(anchors)), len(anchors) // 5_000 + 1):
+                    at = (anchors[part, None] + np.arange(-side, 1)).ravel()
+                    doc = np.repeat(own[part], side + 1)
+                    fits = (at >= starts[doc]) & (at + length <= ends[doc])
+                    at, once = np.unique(at[fits], return_index=True)
+                    doc = doc[fits][once]
+                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + length]) for a in at.tolist()]), dtype="<u8").reshape(-1, 2)
+                    h, c = digest[:, 0], digest[:, 1]
+                    order = np.lexsort((at, turn[doc], c, h))
+                    first = _first_of(h[order], c[order])
+                    again = np.sort(at[order[~first]])
+                    rows = [(row["frame"] % buckets, WINDOW, row["frame"], again.astype("<i8").tobytes())] if len(again) else []
+                    keep = order[first]
+                    bucket = (h[keep] >> np.uint64(20)) % np.uint64(buckets)
+                    by = np.argsort(bucket, kind="stable")
+                    keep, bucket = keep[by], bucket[by].astype(np.int64)
+                    for p in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(bucket)) + 1) if len(keep) else []:
+                        i = np.sort(keep[p])
+                        rows.append((int(bucket[p[0]]), COMPARE, row["frame"], h[i].tobytes() + c[i].tobytes() + ids[doc[i]].astype("<i8").tobytes() + at[i].astype("<u4").tobytes()))
+                    if rows:
+                        yield _rows_batch(rows)
+        files.close()
+
+    return run
 
 
 _HEAD = np.dtype([("doc", "<i8"), ("frame", "<i8"), ("lo", "<i8"), ("n", "<i8")])
@@ -393,6 +472,9 @@ def _remove(length: int, k: int):
                 for x in row["found"] or []:
                     if x["kind"] == COVERED:
                         low, high = np.frombuffer(x["entries"], "<i8").reshape(2, -1)
+                    elif x["kind"] == WINDOW:
+                        low = np.frombuffer(x["entries"], "<i8")
+                        high = low + length
                     else:
                         at = np.frombuffer(x["entries"], "<i8")
                         own = solid[np.searchsorted(starts[solid], at, side="right") - 1]
@@ -423,13 +505,21 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = ANCHO
     buckets = max(least, total * 2 // (length - anchor) * _BYTES // BUCKET_BYTES + 1)
     # frames are few, wide rows: dealt evenly, since files hold very different numbers of them
     spread = frames.repartition(max(least, total // (4 * FRAME) + 1), "frame")
-    settled = materialise(spread.mapInArrow(tidy(_anchor_rows(buckets, length, anchor)), "bucket int, kind int, frame long, entries binary").groupBy("bucket").applyInArrow(_compare, "kind int, frame long, entries binary"), "lpf-settled")
-    wanted = settled.where(F.col("kind") == WANTED)
-    asked = (wanted.agg(F.sum(F.octet_length("entries"))).first()[0] or 0) // 16
-    groups = max(least, asked * (2 * length - anchor) // GROUP_BYTES + 1)
-    texts = frames.join(wanted.groupBy("frame").agg(F.collect_list("entries").alias("entries")), "frame").mapInArrow(tidy(_context_rows(groups, length, anchor)), "bucket int, n long, entries binary")
-    factors = texts.groupBy("bucket").applyInArrow(_factors(length), "kind int, frame long, entries binary")
-    found = settled.where(F.col("kind") == REPEATS).unionByName(factors).groupBy("frame").agg(F.collect_list(F.struct("kind", "entries")).alias("found"))
+    told = "kind int, frame long, entries binary"
+    settled = materialise(spread.mapInArrow(tidy(_anchor_rows(buckets, length, anchor)), "bucket int, kind int, frame long, entries binary").groupBy("bucket").applyInArrow(_compare(REPEATS, True), told), "lpf-settled")
+    sizes = {r["kind"]: r["n"] // 16 for r in settled.groupBy("kind").agg(F.sum(F.octet_length("entries")).alias("n")).collect()}
+
+    def asked(kind: int) -> DataFrame:
+        return frames.join(settled.where(F.col("kind") == kind).groupBy("frame").agg(F.collect_list("entries").alias("entries")), "frame")
+
+    groups = max(least, sizes.get(WANTED, 0) * (2 * length - anchor) // GROUP_BYTES + 1)
+    factors = asked(WANTED).mapInArrow(tidy(_context_rows(groups, length, anchor)), "bucket int, n long, entries binary").groupBy("bucket").applyInArrow(_factors(length), told)
+    every = settled.where(F.col("kind") == REPEATS).unionByName(factors)
+    if SPLIT in sizes:
+        windows = max(least, sizes[SPLIT] * (length - anchor + 1) * _BYTES // BUCKET_BYTES + 1)
+        split = asked(SPLIT).mapInArrow(tidy(_window_rows(windows, length, anchor)), "bucket int, kind int, frame long, entries binary")
+        every = every.unionByName(split.groupBy("bucket").applyInArrow(_compare(WINDOW, False), told))
+    found = every.groupBy("frame").agg(F.collect_list(F.struct("kind", "entries")).alias("found"))
     return frames.join(found, "frame", "left").mapInArrow(tidy(_remove(length, anchor)), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 

@@ -93,6 +93,36 @@ def test_longest_previous_factors(values, length):
     assert lpf.repeated_starts(data, length, valid).tolist() == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=90), st.integers(1, 24))
+def test_factor_lengths_are_those_of_all_earlier_positions(values, length):
+    data = np.array(values, dtype=np.uint8)
+    valid = np.arange(max(0, len(data) - length + 1))
+
+    def match(i, j):
+        n = 0
+        while n < length and data[i + n] == data[j + n]:
+            n += 1
+        return n
+
+    want = [max((match(i, j) for j in range(i)), default=0) for i in valid]
+    assert lpf.factor_lengths(data, length, valid).tolist() == want
+
+
+@pytest.mark.parametrize("hot", [1, 5])
+def test_hot_anchors_are_split_into_windows(spark, documents, monkeypatch, hot):
+    rng = np.random.default_rng(6)
+    line = "this very line of a hundred bytes or so is found in each of the documents, with other words around it"
+
+    def word():
+        return "".join(rng.choice(list("abcdef"), 4))
+
+    rows = [(i, f"{word()} {word()} {line[: 60 + i % 40]} {word()} {line[i % 30 :]}{word()}") for i in range(80)] + texts(5, 20)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(lpf, "HOT", hot)
+    assert run(spark, documents, rows) == sorted(brute([(i, t.encode()) for i, t in rows]), key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 30), max_size=40))
 def test_smaller_values(values):
