@@ -355,22 +355,28 @@ def similar_links(sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id that the fingerprints' links reach."""
+    """(doc_id, fp, component_id) for every row: the smallest doc_id that the fingerprints' links reach.
+
+    Nodes are the distinct fingerprints, numbered, so rows of one doc_id with different texts are
+    linked only where their fingerprints are.
+    """
     fps = materialise(fingerprints(docs, plan).select("doc_id", "fp"), "simhash")
-    reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    roots = components(links(reps, plan, reps.count()))
-    of_fp = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    reps = numbered(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "rep", "simhash-reps")
+    roots = components(links(reps.select("fp", "rep"), plan, reps.count()))
+    linked = materialise(reps.join(roots, reps["rep"] == roots["node"]).select("fp", "root", "least"), "simhash-linked")
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = linked.join(smallest, "root").select("fp", "component_id")
+    alone = reps.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    return fps.join(of_fp.unionByName(alone), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Keep one row of each component, that of the smallest doc_id (a row without one comes last).
+def near_duplicate_groups(rows: DataFrame, plan: Plan) -> DataFrame:
+    """(component, best, fp, digest): the component of each distinct shingle set, and the row that stays of those with it.
 
-    Rows are told apart by a number of their own, not by doc_id. Rows of equal shingle sets are one
-    node. The fingerprints' links make groups of nodes; in a group, nodes of exact similarity belong
-    together, directly or through others.
+    rows: (doc_id, __row, text), numbered. Rows of equal shingle sets are one node. The fingerprints'
+    links make groups of nodes; in a group, nodes of exact similarity belong together, directly or
+    through others.
     """
-    rows = numbered(docs, "__row", "simhash-rows")
     fps = materialise(fingerprints(rows.select("doc_id", F.col("__row").alias("row"), "text"), plan), "simhash")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     nodes = materialise(fps.groupBy("fp", "digest").agg(best).withColumn("node", F.col("best.row")), "simhash-nodes")
@@ -380,8 +386,20 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     members = nodes.join(grouped, "fp").select("group", "node")
     sets = materialise(shingle_sets(rows.withColumnRenamed("__row", "node"), members, plan), "simhash-sets")
     similar = components(similar_links(sets, plan))
-    merged = nodes.join(similar, "node", "left").groupBy(F.coalesce("root", "node").alias("component")).agg(F.min("best").alias("best"))
-    return rows.join(merged.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    return nodes.join(similar, "node", "left").select(F.coalesce("root", "node").alias("component"), "best", "fp", "digest")
+
+
+def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Keep one row of each component, that of the smallest doc_id (a row without one comes last).
+
+    Rows are told apart by a number of their own, not by doc_id: of rows with equal texts one stays,
+    whatever their doc_ids, and rows of one doc_id with different texts all stay. Null, empty and
+    wordless texts have equal (empty) shingle sets, so one of them stays. All other columns are kept,
+    whatever their names but `__row`. Texts of any length are read whole.
+    """
+    rows = numbered(docs, "__row", "simhash-rows")
+    kept = near_duplicate_groups(rows, plan).groupBy("component").agg(F.min("best").alias("best"))
+    return rows.join(kept.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 #: The contract's fingerprints.
@@ -389,7 +407,7 @@ CONTRACT = Plan()
 #: For filtering near copies: five-word shingles, Jaccard similarity 0.8. Two sets of equal size with
 #: that similarity have a cosine of 0.889 and so differ in 15 % of the bits, 39 of 256 with deviation
 #: 5.7; at 0.7 they differ in 49, unrelated ones in 128.
-NEAR_COPIES = Plan(words=5, bits=256, radius=50, distinct=True, blocks=False, similarity=0.8)
+NEAR_COPIES = Plan(words=5, bits=256, radius=54, distinct=True, blocks=False, recall=0.99, similarity=0.8)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
