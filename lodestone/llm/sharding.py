@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a part or a block should have, and how many there may be.
@@ -69,6 +69,17 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def _ends_below(ends: str, rank: str, most: int) -> Column:
+    """How many of the ascending numbers in the array `ends`, at most `most`, are no larger than `rank`: a binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    at = F.col(ends)
+
+    def step(found: Column, n: Column) -> Column:
+        return found + F.when((found + n <= F.size(at)) & (F.try_element_at(at, found + n) <= F.col(rank)), n).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def shuffle_into_shards(df: DataFrame, shards: int, key: list[str], seed: int = 42) -> DataFrame:
     """df with `shard` (int) and `slot` (long, gapless from 0 in its shard), in uniformly random order.
 
@@ -97,7 +108,7 @@ def shuffle_into_shards(df: DataFrame, shards: int, key: list[str], seed: int =
 
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(tie[0], *[F.col(c) for c in key])).cast("long") - 1
     # both tables have at most MAX_PARTS x MAX_BLOCKS numbers
-    sent = placed.withColumn("__rank", rank).join(F.broadcast(dealt), "__part").withColumn("__block", F.expr("size(filter(ends, e -> e <= __rank))")).drop("ends", "__rank", "__part")
+    sent = placed.withColumn("__rank", rank).join(F.broadcast(dealt), "__part").withColumn("__block", _ends_below("ends", "__rank", len(sizes))).drop("ends", "__rank", "__part")
     got = F.row_number().over(Window.partitionBy("__block").orderBy(tie[1], *[F.col(c) for c in key])).cast("long") - 1
     out = sent.withColumn("__got", got).join(F.broadcast(blocks), F.col("__block") == F.col("b"))
     return out.select(*kept.columns, F.col("s").alias("shard"), (F.col("start") + F.col("__got")).alias("slot"))
@@ -111,5 +122,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(slim, SHARDS, ["doc_id"])
+    out = shuffle_into_shards(slim, SHARDS, slim.columns)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
