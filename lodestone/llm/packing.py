@@ -23,14 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, slices, tidy
-from .mixing import PART_ROWS, rank_in_parts
 
 WINDOW = 4096
 END = 2
+#: Pieces of one length are ranked in parts of about this many.
+PART_ROWS = 10_000
 
 
 def default_tokenizer() -> str:
@@ -188,20 +189,28 @@ def _places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {length: np.array(rows, dtype=np.int64) for length, rows in out.items()}
 
 
+def rank_in_parts(df: DataFrame, group: str, order: list[Column], counts: DataFrame, part: str) -> DataFrame:
+    """df with `rank` (from 0) in its group; a group's rows lie in parts, counts has (group, part, n)."""
+    before = F.sum("n").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(group, part, F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)).cast("long") - 1
+    return df.withColumn("__own", own).join(starts, [group, part]).withColumn("rank", F.col("__start") + F.col("__own")).drop("__own", "__start")
+
+
 def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, seed: int = 42) -> DataFrame:
     """Where every piece of every document goes: the columns of pieces, sequence_id and offset."""
     cut = materialise(pieces(docs, tokenizer or default_tokenizer(), window), "packing-pieces")
-    parts = cut.count() // PART_ROWS + 1
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start")), F.lit(parts)).cast("int")
-    cut = cut.withColumn("part", part)
-    counts = materialise(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "packing-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = minimum_bin_slack({x: n for x, n in histogram.items() if x < window}, window)
     places = _places(patterns)
     places[window] = np.array([[0, sum(p.bins for p in patterns), 1, 0]], dtype=np.int64)
 
-    order = [F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("start")), F.col("doc_id"), F.col("start")]
-    ranked = rank_in_parts(cut, ["length"], order, counts, "part").drop("part")
+    # a length has as many parts as its own pieces need, so the counts are far fewer than the pieces
+    parts = F.element_at(F.array(*[F.lit(histogram.get(x, 0) // PART_ROWS + 1) for x in range(1, window + 1)]), F.col("length").cast("int"))
+    key = [F.col("doc_id"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")]
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), *key), parts))
+    counts = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    ranked = rank_in_parts(dealt, "length", [F.xxhash64(F.lit(seed + 1), *key), *key], counts, "part").drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
