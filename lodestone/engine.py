@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import agent, codemap, findings, graph, mining, retrieval, wiki
+from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
 from .sources import python_code, repository, sinks
 
 Model = Callable[[str], str]
@@ -55,10 +55,7 @@ class Repository:
         return mining.tree(self.files, self.symbols).orderBy("path")
 
     def files_by_folder(self, part: str = "") -> DataFrame:
-        from .functions import paths as P
-
-        found = self.files.where(F.lower("path").contains(part.lower()) & (F.col("category") != "other"))
-        return found.groupBy(P.dirname(F.col("path")).alias("folder")).agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        return views.files_by_folder(self.files, part)
 
     def file(self, path: str) -> dict | None:
         row = self.files.where(F.col("path") == path).select("path", "language", "content").first()
@@ -70,7 +67,7 @@ class Repository:
 
     def definitions(self) -> DataFrame:
         """(name, ids): a name's symbols, the most called first."""
-        return self.symbol_index().groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("callers"), "id"))), lambda x: x["id"]).alias("ids"))
+        return mining.definitions(self.symbols, self.edges).drop("repo_id")
 
     def symbol(self, symbol_id: int) -> DataFrame:
         return mining.symbol_detail(self.edges, self.symbols, symbol_id).orderBy("side", F.desc("tenths"), "id")
@@ -97,17 +94,37 @@ class Repository:
         return graph.call_flow(self.edges, symbol_id, max(1, min(depth, 5)))
 
     def impact(self, symbol_id: int) -> dict:
+        """Who calls a symbol, near and far and in tests, which files change with its own, and the risk."""
+        own = self.symbols.where(F.col("id") == symbol_id).select("id", "qualified_name", "kind", "file_path", "start_line").first()
+        if own is None:
+            return {"error": "Symbol not found"}
         entry = self.entrypoints().where(F.col("symbol_id") == symbol_id).count() > 0
         start = self.spark.createDataFrame([(symbol_id, entry)], "id long, entrypoint boolean")
-        row = mining.impact(self.edges, self.symbols, start).first()
-        own = self.symbols.where(F.col("id") == symbol_id).select("file_path").first()
-        pairs = self.coupling(500).where((F.col("a") == own["file_path"]) | (F.col("b") == own["file_path"])).limit(8).collect() if own else []
-        return row.asDict() | {"entrypoint": entry, "coupled_files": [r["b"] if r["a"] == own["file_path"] else r["a"] for r in pairs]}
+        callers = [r.asDict() for r in mining.impact_callers(self.edges, self.symbols, start).orderBy("place").drop("start", "place").collect()]
+        direct, tested = [c for c in callers if c["depth"] == 1], [c for c in callers if c["tests"]]
+        counts = self.spark.createDataFrame([(len(direct), len(tested), entry)], "n int, tests int, entry boolean")
+        risk = counts.select(mining.risk(F.col("n"), F.col("tests"), F.col("entry")).alias("level"), mining.risk_reason(F.col("n"), F.col("tests"), F.col("entry")).alias("reason")).first()
+        coupled = mining.coupled_files(mining.coupling(self.commits, self.commit_files), own["file_path"])
+        return {
+            "symbol": own.asDict(),
+            "direct_callers": sorted(direct, key=lambda c: (c["qualified_name"], c["id"])),
+            "transitive_callers": [c for c in callers if c["depth"] > 1],
+            "test_callers": sorted(tested, key=lambda c: (c["qualified_name"], c["id"])),
+            "coupled_files": [r.asDict() for r in coupled.collect()],
+            "is_entrypoint": entry,
+            "fan_in": len(direct),
+            "risk": risk.asDict(),
+        }
+
+    def architecture(self) -> dict:
+        """Labelled top folders, the primary package's parts, whether they are layered."""
+        top = mining.top_folders(self.files).orderBy(F.desc("files"), "folder").drop("repo_id").collect()
+        parts = mining.submodules(self.files, self.symbols).orderBy(F.desc("symbols"), "submodule").drop("repo_id").collect()
+        return {"folders": [r.asDict() for r in top], "submodules": [r.asDict() for r in parts], "layered": any(r["submodule"] in mining.LAYERS for r in parts)}
 
     def ego(self, symbol_id: int) -> DataFrame:
         """The edges of a symbol and its direct neighbours."""
-        near = self.edges.where((F.col("src") == symbol_id) | (F.col("dst") == symbol_id)).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        return self.edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        return views.ego(self.edges, symbol_id)
 
     def evidence(self) -> DataFrame:
         return retrieval.evidence_documents(self.files, self.commits, self.issues)
@@ -124,11 +141,12 @@ class Repository:
         docs = docs if streams is None else docs.where(F.col("stream").isin(streams))
         lists.append(retrieval.top_k(retrieval.bm25_fields(docs, asked, retrieval.EVIDENCE_FIELDS), 15).withColumn("source", F.lit("evidence")))
         known["evidence"] = docs.select("id", "citation", "title", F.col("text").alias("body"), "stream")
-        out = []
-        for hit in retrieval.search_streams(lists, k).orderBy("rank").collect():
-            row = known[hit["source"]].where(F.col("id") == hit["id"]).first()
-            out.append({"stream": "code", **row.asDict(), "score": hit["score"]})
-        return out
+        hits = retrieval.search_streams(lists, k).orderBy("rank").collect()
+        rows: dict[tuple[str, str], dict] = {}
+        for source in {h["source"] for h in hits}:
+            wanted = known[source].where(F.col("id").isin([h["id"] for h in hits if h["source"] == source]))
+            rows |= {(source, r["id"]): r.asDict() for r in wanted.collect()}
+        return [{"stream": "code", **rows[h["source"], h["id"]], "score": h["score"]} for h in hits]
 
     def candidates(self, question: str) -> list[int]:
         return [int(h["id"]) for h in self.search(question, ["code"], codemap.CANDIDATES)]
@@ -185,11 +203,12 @@ class Repository:
         """Findings of the files most worth a look, and what was left out; the model reads one file at a time."""
         chosen = findings.select_files(self.files, mining.churn(self.commit_files), None if scan_all else findings.MAX_FILES)
         total = findings.select_files(self.files, mining.churn(self.commit_files), None).count()
-        rows, out, cut = chosen.select("path", "content").orderBy("place").collect(), [], 0
-        for i, r in enumerate(rows, 1):
+        out, cut, n = [], 0, chosen.count()
+        # one file after the other reaches the driver, since the model reads them one by one
+        for i, r in enumerate(chosen.select("path", "content", "place").orderBy("place").toLocalIterator(), 1):
             cut += len(r["content"] or "") > findings.MAX_FILE_CHARS
             out += [{"file_path": r["path"], **f} for f in findings.scan_text(r["path"], r["content"] or "", self.model)]
             if progress:
-                progress(i, len(rows))
+                progress(i, n)
         out.sort(key=lambda f: (f["file_path"], f["start_line"], f["title"]))
-        return out, findings.cap_notes(len(rows), total, cut, self.model is not None)
+        return out, findings.cap_notes(n, total, cut, self.model is not None)

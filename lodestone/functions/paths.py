@@ -53,29 +53,30 @@ def language(path: Column) -> Column:
 
 
 def category(path: Column) -> Column:
-    """test, doc, code, config or other; the first that fits."""
-    low, name = F.lower(path), F.lower(basename(path))
-    parts = F.split(low, "/")
-    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    """test, doc, code, config or other; the first that fits. All parts of a path count, its name too."""
+    name = F.lower(basename(path))
+    parts = F.split(F.lower(path), "/")
     ext = extension(path)
-    is_test = F.arrays_overlap(folders, F.array(F.lit("tests"), F.lit("test"))) | name.startswith("test_") | name.rlike(r"_test\.[a-z]+$")
-    is_doc = ext.isin(*DOC_EXTENSIONS) | F.arrays_overlap(folders, F.array(F.lit("docs"), F.lit("doc"))) | name.startswith("readme")
+    is_test = F.arrays_overlap(parts, F.array(F.lit("tests"), F.lit("test"))) | name.startswith("test_") | name.endswith("_test.py")
+    is_doc = ext.isin(*DOC_EXTENSIONS) | F.arrays_overlap(parts, F.array(F.lit("docs"), F.lit("doc"))) | name.startswith("readme")
     is_config = ext.isin(*CONFIG_EXTENSIONS) | name.isin(*CONFIG_NAMES)
     return F.when(is_test, "test").when(is_doc, "doc").when(language(path).isNotNull(), "code").when(is_config, "config").otherwise("other")
 
 
+_HOST = r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+
+
 def normalise_repo_url(url: Column) -> Column:
-    """Cut what a browser appends below owner/name, and trailing slashes and `.git`-less parts."""
-    plain = F.regexp_replace(F.trim(url), r"/+$", "")
+    """Cut what a browser appends below owner/name; any other URL stays as it is."""
     segments = "|".join(BROWSE_SEGMENTS)
-    return F.regexp_replace(plain, rf"^(https?://[^/]+/[^/]+/[^/]+)/(?:{segments})(?:/.*)?$", "$1")
+    return F.regexp_replace(url, rf"^({_HOST})/+([^/?#]+/[^/?#]*)/(?:{segments})(?=[/?#]|$)[^?#]*", "$1/$2")
 
 
 def repo_slug(url: Column) -> Column:
-    """struct(owner, name) of a repository URL; `.git` is cut."""
-    plain = F.regexp_replace(F.regexp_replace(url, r"/+$", ""), r"\.git$", "")
-    parts = F.split(plain, "[/:]")
-    return F.struct(F.try_element_at(parts, F.lit(-2)).alias("owner"), F.try_element_at(parts, F.lit(-1)).alias("name"))
+    """struct(owner, name) of a repository URL, as a browser shows it or bare; `.git` is cut."""
+    path = F.regexp_replace(F.regexp_replace(normalise_repo_url(url), f"^{_HOST}", ""), "[?#].*$", "")
+    path = F.regexp_replace(F.regexp_replace(path, "^/+|/+$", ""), r"\.git$", "")
+    return F.struct(F.substring_index(path, "/", 1).alias("owner"), F.regexp_replace(path, "^[^/]*/?", "").alias("name"))
 
 
 def is_noise(path: Column) -> Column:

@@ -15,6 +15,26 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def plain_newlines(text: Column) -> Column:
+    """CRLF and CR as LF."""
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text; 0 for null and empty ones."""
+    return F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+
+
+def plural(n: Column, word: str) -> Column:
+    """A number of things in words."""
+    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
 def ellipsis(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 1)), F.lit("…"))).otherwise(text)
 
@@ -43,21 +63,26 @@ def line_of(text: Column, pattern: str) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n", -1), lambda p: F.trim(p)), lambda p: F.length(p) > 0)
+    """What blank lines separate, as it is."""
+    return F.split(text, r"\n\s*\n", -1)
 
 
 def chunks(text: Column, size: int = CHUNK_CHARS) -> Column:
-    """Paragraphs gathered greedily: a chunk is closed when the next one would take it beyond size."""
+    """Paragraphs gathered greedily: a chunk is closed when the next one would take it beyond size.
+
+    Each paragraph counts with the blank line after it; chunks have no white space at their ends.
+    """
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(acc: Column, p: Column) -> Column:
         full = (F.length(acc["open"]) > 0) & (F.length(acc["open"]) + F.length(p) > size)
-        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        opened = F.when(full | (F.length(acc["open"]) == 0), p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
+        done = F.when(full, F.concat(acc["done"], F.array(strip(acc["open"])))).otherwise(acc["done"])
+        opened = F.concat(F.when(full, F.lit("")).otherwise(acc["open"]), p, F.lit("\n\n"))
         return F.struct(done.alias("done"), opened.alias("open"))
 
     def finish(acc: Column) -> Column:
-        return F.when(F.length(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        rest = strip(acc["open"])
+        return F.when(F.length(rest) > 0, F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
 
     return F.aggregate(paragraphs(F.coalesce(text, F.lit(""))), start, add, finish)
 
@@ -83,6 +108,11 @@ def sanitise_label(text: Column) -> Column:
     return F.translate(text, "\"[]\n`", "'() '")
 
 
+def clamp_fields(fields: Column, most: int = 8, chars: int = 300) -> Column:
+    """A map's first `most` entries, values cut to `chars` characters."""
+    return F.map_from_entries(F.transform(F.slice(F.map_entries(fields), 1, most), lambda e: F.struct(e["key"], F.left(e["value"], F.lit(chars)))))
+
+
 def xml_escape(text: Column) -> Column:
     out = text
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

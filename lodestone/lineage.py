@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder that spark.checkpoint.dir names.
 
-    A session without that setting (a local test) gets a temporary folder.
+    A session without that setting gets a temporary folder if it runs on this machine alone (a local
+    test); on a cluster, which would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

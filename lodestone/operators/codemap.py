@@ -80,17 +80,23 @@ def file_codemap(edges: DataFrame, symbols: DataFrame, path: str, max_nodes: int
         return {"nodes": [], "edges": []}
     ids = own + neighbours(edges, own, max_nodes - len(own))
     pairs = inner_edges(edges, ids)
-    root = min(own, key=lambda i: (-sum(a == i for a, _ in pairs), i))
-    depth = steps_from(root, pairs)
-    last = max(depth.values()) + 1
+    calling = [a for a, _ in pairs if a in set(own)]
+    # without a symbol of its own that calls anything, all are in one group
+    depth = steps_from(min(set(calling), key=lambda i: (-calling.count(i), i)), pairs) if calling else {}
+    last = max(depth.values(), default=-1) + 1
     nodes = [{**n, "step": depth.get(n["id"], last) + 1, "own": n["id"] in own} for n in _nodes(symbols, ids)]
     return {"nodes": sorted(nodes, key=lambda n: (n["step"], n["start_line"], n["id"])), "edges": pairs}
 
 
-def extend(edges: DataFrame, symbols: DataFrame, shown: list[int], candidates: list[int], limit: int = EXTENSION) -> dict:
-    """Candidates that are not shown yet, and their edges to what is."""
+def extend(edges: DataFrame, symbols: DataFrame, shown: list[int], candidates: list[int], limit: int = EXTENSION, question: str = "", call: Callable[[str], str] | None = None) -> dict:
+    """Candidates that are not shown yet, neighbours of both up to the limit, their edges, a model's note."""
     new = [c for c in dict.fromkeys(candidates) if c not in set(shown)][:limit]
-    return {"nodes": _nodes(symbols, new), "edges": [p for p in inner_edges(edges, shown + new) if p[0] in new or p[1] in new]}
+    if not new:
+        return {"nodes": [], "edges": [], "note": ""}
+    new += neighbours(edges, shown + new, limit - len(new))
+    nodes = _nodes(symbols, new)
+    note = call(f"{question}\n" + "\n".join(n["qualified_name"] for n in nodes)).strip() if call and nodes else ""
+    return {"nodes": nodes, "edges": [p for p in inner_edges(edges, shown + new) if p[0] in new or p[1] in new], "note": note}
 
 
 def expand(edges: DataFrame, symbols: DataFrame, node: int, step: int, limit: int = 6) -> list[dict]:

@@ -107,9 +107,9 @@ def replace_findings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def set_status(findings: DataFrame, ids: DataFrame, status: str) -> DataFrame:
-    """New findings with these ids get the status; ticketed and dismissed ones keep theirs."""
+    """Findings with these ids get the status; ticketed ones keep theirs."""
     marked = findings.join(ids.select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
-    return marked.withColumn("status", F.when(F.col("__hit") & (F.col("status") == "new"), status).otherwise(F.col("status"))).select(*findings.columns)
+    return marked.withColumn("status", F.when(F.col("__hit") & (F.col("status") != "ticketed"), status).otherwise(F.col("status"))).select(*findings.columns)
 
 
 def listed(findings: DataFrame) -> DataFrame:
@@ -119,6 +119,36 @@ def listed(findings: DataFrame) -> DataFrame:
     return findings.withColumn("place", place).withColumn("severity_rank", rank)
 
 
+def facets(findings: DataFrame, category: str | None = None, severity: str | None = None) -> DataFrame:
+    """Findings of a category and a severity, where they are given, with whether they are open (new)."""
+    out = findings if category is None else findings.where(F.col("category") == category)
+    out = out if severity is None else out.where(F.col("severity") == severity)
+    return out.withColumn("open", F.col("status") == "new")
+
+
+def with_files(findings: DataFrame, files: DataFrame, most: int = SNIPPET_LINES) -> DataFrame:
+    """Findings with their file's language and their lines of it, at most `most` and a marker."""
+    known = files.select("repo_id", F.col("path").alias("file_path"), F.split("content", "\n").alias("lines"))
+    rows = findings.join(known, ["repo_id", "file_path"], "left").withColumn("lang", P.language(F.col("file_path")))
+    first = F.greatest(F.col("start_line"), F.lit(1)).cast("int")
+    n = F.greatest(F.least(F.greatest(F.col("end_line").cast("int"), first), F.size("lines")) - first + 1, F.lit(0))
+    text = F.array_join(F.slice("lines", first, F.least(n, F.lit(most))), "\n")
+    cut = F.when(n > most, F.concat(text, F.lit("\n…"))).otherwise(text)
+    return rows.withColumn("snippet", F.coalesce(cut, F.lit(""))).drop("lines")
+
+
+def refusal(findings: DataFrame, finding_id: int) -> int | None:
+    """Why a finding can't be dismissed: 404 if there is none, 409 if it is ticketed; None if it can."""
+    row = findings.where(F.col("id") == finding_id).select("status").first()
+    return 404 if row is None else 409 if row["status"] == "ticketed" else None
+
+
+def ticketed(findings: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Findings that tickets(id, jira_url) were made for are ticketed and know where; others stay."""
+    rows = findings.drop("jira_url").join(tickets.select("id", "jira_url"), "id", "left") if "jira_url" in findings.columns else findings.join(tickets.select("id", "jira_url"), "id", "left")
+    return rows.withColumn("status", F.when(F.col("jira_url").isNotNull(), "ticketed").otherwise(F.col("status")))
+
+
 def snippet(content: str | None, start: int, end: int, most: int = SNIPPET_LINES) -> str:
     """Lines start..end, at most `most` of them and a marker."""
     lines = (content or "").split("\n")

@@ -6,7 +6,7 @@ import heapq
 import itertools
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -27,8 +27,8 @@ EXACT, RECEIVER, FUZZY, AMBIGUOUS_BASE = 10, 9, 5, 6
 
 
 def best_edges(candidates: DataFrame) -> DataFrame:
-    """The most confident of the edges between two symbols, and the name that gave it."""
-    return candidates.where("src <> dst").groupBy("repo_id", "src", "dst", "edge_type").agg(F.max_by("name", F.struct(F.col("tenths"), -F.col("id"))).alias("name"), F.max("tenths").alias("tenths"))
+    """The most confident of the edges between two symbols, and the (smallest) name that gave it."""
+    return candidates.where("src <> dst").groupBy("repo_id", "src", "dst", "edge_type").agg(F.min_by("name", F.struct(-F.col("tenths"), F.col("name"))).alias("name"), F.max("tenths").alias("tenths"))
 
 
 def method_table(symbols: DataFrame, bases: DataFrame, owners: DataFrame | None = None, rounds: int = 32) -> DataFrame:
@@ -60,7 +60,8 @@ def resolve_references(references: DataFrame, symbols: DataFrame) -> tuple[DataF
     """Edges and counters from references(repo_id, src, kind, receiver, name).
 
     kind: plain, self, receiver or base. Returns the best edges, and the number of references by tier
-    (exact, receiver, fuzzy, inherit, unresolved).
+    (exact, receiver, fuzzy, inherit, unresolved). References are equal rows with the number of times
+    they occur, so nothing depends on how rows are numbered; they are computed once.
     """
     callables = symbols.where(F.col("kind").isin("function", "method")).select("repo_id", "id", "name")
     # the names' groups are capped before anything is joined to them
@@ -69,7 +70,10 @@ def resolve_references(references: DataFrame, symbols: DataFrame) -> tuple[DataF
     classes = symbols.where("kind = 'class'").select("repo_id", "name", F.col("id").alias("dst"))
     class_names = classes.groupBy("repo_id", "name").agg(F.count("*").alias("n"))
     owner = symbols.select("repo_id", F.col("id").alias("src"), F.col("name").alias("src_name"), F.col("kind").alias("src_kind"), F.when(F.col("kind") == "method", F.regexp_replace("qualified_name", r"\.[^.]*$", "")).alias("owner"))
-    refs = references.join(owner, ["repo_id", "src"]).where("src_kind <> 'import'").withColumn("ref", F.monotonically_increasing_id())
+    own_columns = ["repo_id", "src", "kind", "receiver", "name"]
+    times = references.groupBy(*own_columns).agg(F.count("*").alias("times"))
+    key = F.struct(F.col("kind"), F.col("receiver"), F.col("name"))
+    refs = cut(times.join(owner, ["repo_id", "src"]).where("src_kind <> 'import'").withColumn("ref", key))
     bases = refs.where("kind = 'base' and src_kind = 'class'").select("repo_id", F.col("src_name").alias("owner"), F.col("name").alias("base"))
     asked = refs.where("kind = 'self' and owner is not null").select("repo_id", "owner").unionByName(refs.where("kind = 'receiver'").join(class_names.withColumnRenamed("name", "receiver"), ["repo_id", "receiver"]).select("repo_id", F.col("receiver").alias("owner")))
     methods = method_table(symbols, bases, asked).select("repo_id", "owner", F.col("method").alias("name"), F.col("id").alias("dst"))
@@ -81,33 +85,60 @@ def resolve_references(references: DataFrame, symbols: DataFrame) -> tuple[DataF
     loose = known.where("kind = 'plain' or is_class is null").join(defined, ["repo_id", "name"], "left").withColumn("tenths", F.when((F.col("kind") == "plain") & (F.col("n") == 1), EXACT).otherwise(FUZZY))
     inherit = refs.where("kind = 'base'").join(classes.join(class_names, ["repo_id", "name"]), ["repo_id", "name"]).withColumn("tenths", F.when(F.col("n") == 1, EXACT).otherwise(AMBIGUOUS_BASE))
 
-    columns = ["repo_id", "ref", "src", "dst", "name", "tenths"]
+    columns = ["repo_id", "ref", "times", "src", "dst", "name", "tenths"]
     calls = itself.select(*columns).unionByName(typed.select(*columns)).unionByName(loose.select(*columns))
     every = calls.withColumn("edge_type", F.lit("call")).unionByName(inherit.select(*columns).withColumn("edge_type", F.lit("inherit")))
     tier = F.when(F.col("dst").isNull(), "unresolved").when(F.col("edge_type") == "inherit", "inherit").when(F.col("tenths") == EXACT, "exact").when(F.col("tenths") == RECEIVER, "receiver").otherwise("fuzzy")
-    counters = every.withColumn("tier", tier).groupBy("repo_id", "tier").agg(F.countDistinct("ref").alias("references"))
-    return best_edges(every.where("dst is not null").withColumnRenamed("ref", "id")), counters
+    told = every.select("repo_id", tier.alias("tier"), "src", "ref", "times").distinct()
+    counters = told.groupBy("repo_id", "tier").agg(F.sum("times").alias("references"))
+    return best_edges(every.where("dst is not null")), counters
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """(start, node, depth): everything within `depth` steps of each start, at its least distance.
 
-    edges: (src, dst); starts: (id). One join a step, with what was seen before taken out. A start
-    on a cycle is a node too.
+    edges: (src, dst); starts: (id). One join a step, with what was seen before taken out; each step
+    is computed once, and the walk ends where nothing is new. A start on a cycle is a node too.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"))
-    seen = None
+    seen = frontier.withColumn("depth", F.lit(0)).where("false")
     for d in range(1, depth + 1):
         new = frontier.join(steps, frontier["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
-        if seen is not None:
+        if d > 1:
             new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        layer = new.withColumn("depth", F.lit(d))
-        seen = layer if seen is None else seen.unionByName(layer)
+        if d < depth:
+            new = cut(new)
+            if new.isEmpty():
+                break
+        seen = seen.unionByName(new.withColumn("depth", F.lit(d)))
         frontier = new
     return seen
 
 
+def capped_reach(edges: DataFrame, starts: DataFrame, depth: int = 3, max_nodes: int = 60) -> DataFrame:
+    """What reach gives with at most max_nodes nodes a start, without the start itself.
+
+    No step begins once a start has that many. Within a step the nodes of the smallest ids are taken,
+    and only nodes that were taken are walked on from.
+    """
+    steps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"))
+    seen = frontier.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        new = frontier.join(steps, frontier["node"] == steps["src"]).select("start", F.col("dst").alias("node")).distinct()
+        new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        used = seen.where("depth > 0").groupBy("start").agg(F.count("*").alias("used"))
+        place = F.row_number().over(Window.partitionBy("start").orderBy("node"))
+        room = max_nodes - F.coalesce("used", F.lit(0))
+        new = new.withColumn("place", place).where(F.col("place") <= max_nodes).join(used, "start", "left").where(F.col("place") <= room).select("start", "node")
+        new = cut(new)
+        if new.isEmpty():
+            break
+        seen, frontier = seen.unionByName(new.withColumn("depth", F.lit(d))), new
+    return seen.where("depth > 0")
+
+
 def call_path(edges: DataFrame, start: int, depth: int = 4) -> DataFrame:
     """(node, depth) of the breadth-first path from one symbol over call edges, the start at 0."""
     spark = edges.sparkSession
@@ -236,19 +267,30 @@ def communities(edges: DataFrame, symbols: DataFrame, least: int = 3) -> DataFra
     return graph.groupBy("repo_id").applyInPandas(cluster, "repo_id int, community long, id long")
 
 
-def describe_communities(members: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 12) -> DataFrame:
-    """The largest communities: size, folders, label (busiest class, else commonest file)."""
+def describe_communities(members: DataFrame, edges: DataFrame, symbols: DataFrame, limit: int = 12, shown: int = 20) -> DataFrame:
+    """The largest communities: size, folders, commonest folder, label, most linked members, total.
+
+    The label is the name of the class with the largest degree, else the commonest file. total is the
+    number of all communities, also of those beyond the limit. Ties go to the smallest id or path.
+    """
     graph = weighted_graph(edges, symbols)
     ends = graph.select("repo_id", F.explode(F.array("a", "b")).alias("id"), "weight")
     degree = ends.groupBy("repo_id", "id").agg(F.sum("weight").alias("degree"))
     rows = members.join(symbols, ["repo_id", "id"]).join(degree, ["repo_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     key = ["repo_id", "community"]
-    best_class = F.max_by("qualified_name", F.when(F.col("kind") == "class", F.struct("degree", -F.col("id"))))
-    files = rows.groupBy(*key, "file_path").agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("file_path", F.struct(-F.col("n"), "file_path")).alias("file"))
+
+    def commonest(column: Column, name: str) -> DataFrame:
+        return rows.groupBy(*key, column.alias("x")).agg(F.count("*").alias("n")).groupBy(*key).agg(F.min_by("x", F.struct(-F.col("n"), F.col("x"))).alias(name))
+
+    best_class = F.max_by("name", F.when(F.col("kind") == "class", F.struct("degree", -F.col("id"))))
     out = rows.groupBy(*key).agg(F.count("*").alias("size"), F.countDistinct(P.dirname(F.col("file_path"))).alias("folders"), best_class.alias("best_class"))
-    out = out.join(files, key).withColumn("label", F.coalesce("best_class", P.basename(F.col("file")))).drop("best_class", "file")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("degree"), "id"))
+    first = rows.withColumn("at", place).where(F.col("at") <= shown).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "id", "qualified_name", "file_path"))).alias("members"))
+    out = out.join(commonest(F.col("file_path"), "file"), key).join(commonest(P.dirname(F.col("file_path")), "primary_dir"), key).join(first, key)
+    out = out.withColumn("label", F.coalesce("best_class", P.basename(F.col("file")))).drop("best_class", "file")
     rank = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("size"), "community"))
-    return out.withColumn("place", rank).where(F.col("place") <= limit)
+    total = F.count("*").over(Window.partitionBy("repo_id"))
+    return out.withColumn("place", rank).withColumn("total", total).where(F.col("place") <= limit)
 
 
 def file_graph(edges: DataFrame, symbols: DataFrame, min_weight: int = 1, exclude_tests: bool = False) -> DataFrame:
@@ -284,3 +326,9 @@ def symbol_graph(edges: DataFrame, symbols: DataFrame, prefix: str, max_nodes: i
     nodes = own.unionByName(added).distinct()
     return touching.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "edge_type", "tenths")
 
+
+def combined(edges: DataFrame, symbols: DataFrame, prefix: str) -> DataFrame:
+    """(level, source, target, weight): the file graph, and the symbol graph below a path prefix, in one export."""
+    files = file_graph(edges, symbols).select(F.lit("file").alias("level"), "source", "target", "weight")
+    inside = symbol_graph(edges, symbols, prefix, neighbours=False).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return files.unionByName(inside.select(F.lit("symbol").alias("level"), F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "weight"))

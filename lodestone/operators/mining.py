@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..lineage import cut
 
 # The window, the largest commit that says anything, the least support of a pair.
 WINDOW_DAYS = 180
@@ -14,13 +15,19 @@ MIN_SUPPORT = 3
 SPARSE_COMMITS = 5
 
 
-def change_window(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """One row a repository: latest, since, multi-file commits in the window, whether it holds."""
+def commit_sizes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+    """(repo_id, sha, n, latest, since, recent): distinct files of each commit that has any, and the window."""
     latest = commits.groupBy("repo_id").agg(F.max("authored_at").alias("latest")).withColumn("since", F.expr(f"latest - interval {WINDOW_DAYS} days"))
+    n = commit_files.groupBy("repo_id", "sha", "path").agg(F.lit(1).alias("one")).groupBy("repo_id", "sha").agg(F.count("*").alias("n"))
     # a repository is a row: small next to its commits
-    recent = commits.join(latest, "repo_id").where("authored_at >= since").select("repo_id", "sha")
-    several = commit_files.join(recent, ["repo_id", "sha"]).groupBy("repo_id", "sha").agg(F.countDistinct("path").alias("n")).where("n >= 2")
-    counted = several.groupBy("repo_id").agg(F.count("*").alias("multi_file_commits"))
+    return commits.select("repo_id", "sha", "authored_at").join(n, ["repo_id", "sha"]).join(latest, "repo_id").select("repo_id", "sha", "n", "latest", "since", (F.col("authored_at") >= F.col("since")).alias("recent"))
+
+
+def change_window(commits: DataFrame, commit_files: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """One row a repository: latest, since, multi-file commits in the window, whether it holds."""
+    latest = commits.groupBy("repo_id").agg(F.max("authored_at").alias("latest")).withColumn("since", F.expr(f"latest - interval {WINDOW_DAYS} days"))
+    sizes = commit_sizes(commits, commit_files) if sizes is None else sizes
+    counted = sizes.where("recent and n >= 2").select("repo_id", "sha").distinct().groupBy("repo_id").agg(F.count("*").alias("multi_file_commits"))
     n = F.coalesce("multi_file_commits", F.lit(0))
     return latest.join(counted, "repo_id", "left").select("repo_id", "latest", "since", n.alias("multi_file_commits"), (n >= SPARSE_COMMITS).alias("windowed"))
 
@@ -28,13 +35,15 @@ def change_window(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 def coupling(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     """Pairs of files that change together: (repo_id, a, b, co_changes, support_a, support_b, strength).
 
-    Commits of 2 to MAX_COMMIT_FILES files count; the cap comes before the pairs are made, so a
-    commit gives at most 190 of them.
+    Commits of 2 to MAX_COMMIT_FILES files count. They are known by their number of files, counted
+    once for the window and the cap, before any paths are gathered; so no array holds more than the
+    cap, and a commit gives at most 190 pairs.
     """
-    window = change_window(commits, commit_files).select("repo_id", "since", "windowed")
-    used = commits.join(window, "repo_id").where("not windowed or authored_at >= since").select("repo_id", "sha")
-    changed = commit_files.select("repo_id", "sha", "path").distinct().join(used.distinct(), ["repo_id", "sha"])
-    sets = changed.groupBy("repo_id", "sha").agg(F.sort_array(F.collect_set("path")).alias("paths")).where(F.size("paths").between(2, MAX_COMMIT_FILES))
+    sizes = cut(commit_sizes(commits, commit_files))
+    window = change_window(commits, commit_files, sizes).select("repo_id", "windowed")
+    used = sizes.where(F.col("n").between(2, MAX_COMMIT_FILES)).join(window, "repo_id").where("not windowed or recent").select("repo_id", "sha")
+    changed = commit_files.select("repo_id", "sha", "path").join(used, ["repo_id", "sha"], "left_semi")
+    sets = changed.groupBy("repo_id", "sha").agg(F.sort_array(F.collect_set("path")).alias("paths"))
     support = sets.select("repo_id", F.explode("paths").alias("path")).groupBy("repo_id", "path").agg(F.count("*").alias("support"))
     # pairs inside a bounded array: no join
     later = F.transform("paths", lambda a, i: F.transform(F.slice("paths", i + 2, MAX_COMMIT_FILES), lambda b: F.struct(a.alias("a"), b.alias("b"))))
@@ -158,6 +167,27 @@ def symbol_index(symbols: DataFrame, edges: DataFrame, confident: int = 8) -> Da
     return symbols.where("kind <> 'import'").join(callers, ["repo_id", "id"], "left").select("repo_id", "id", "name", "qualified_name", F.col("file_path").alias("path"), F.left("signature", F.lit(200)).alias("signature"), F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("confident_callers", F.lit(0)).alias("confident_callers"))
 
 
+def definitions(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, name, ids): a name's symbols, the most called first."""
+    return symbol_index(symbols, edges).groupBy("repo_id", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("callers"), "id"))), lambda x: x["id"]).alias("ids"))
+
+
+def core_models(symbols: DataFrame, fans: DataFrame, package: str, limit: int = 3, least: int = 20) -> DataFrame:
+    """The package's classes that most depends on, from a fan-in of `least` tenths on."""
+    rows = symbols.where((F.col("kind") == "class") & F.col("file_path").startswith(f"{package}/")).join(fans, ["repo_id", "id"]).where(F.col("fan_in") >= least)
+    return rows.select("id", "qualified_name", "file_path", "fan_in").orderBy(F.desc("fan_in"), "id").limit(limit)
+
+
+def visibility_totals(dead: DataFrame) -> DataFrame:
+    """How many dead callables are private and public."""
+    return dead.groupBy("repo_id").agg(F.count_if(F.col("visibility") == "private").alias("private"), F.count_if(F.col("visibility") == "public").alias("public"))
+
+
+def latest_repo(repos: DataFrame) -> DataFrame:
+    """The active repository: the one ingested last."""
+    return repos.orderBy(F.desc("id")).limit(1)
+
+
 def symbol_detail(edges: DataFrame, symbols: DataFrame, symbol: int) -> DataFrame:
     """Callers and callees of one symbol."""
     linked = file_edges(edges.where((F.col("src") == symbol) | (F.col("dst") == symbol)), symbols)
@@ -175,9 +205,8 @@ def fan_in_out(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 # What marks an entrypoint in a callable's code, and the order in which kinds are shown.
-_METHODS = "route|get|post|put|delete|patch|websocket"
-ROUTE_PATH = rf"""(?i)@\s*[\w.]+\.(?:{_METHODS})\s*\(\s*["']([^"']*)["']"""
-ROUTE_ANY = rf"(?i)@\s*[\w.]+\.(?:{_METHODS})\s*\("
+ROUTE_PATH = r"""(?i)@\s*[\w.]+\.(?:route|get|post|put|delete|patch|websocket)\s*\(\s*["']([^"']*)["']"""
+ROUTE_ANY = r"(?i)@\s*[\w.]+\.(?:route|get|post|put|delete|patch|websocket)\s*\("
 ADD_URL = r"""\.add_url_rule\s*\(\s*["']([^"']*)["']"""
 CLI = r"@\s*(?:click\.(?:command|group)|[\w.]+\.command)\b"
 WORKER = r"@\s*(?:shared_task|celery\.task|[\w.]+\.task)\b"
@@ -212,13 +241,58 @@ def impact(edges: DataFrame, symbols: DataFrame, starts: DataFrame, depth: int =
     """For every start symbol: direct callers, all callers within depth, those in tests, the risk.
 
     starts: (id, entrypoint boolean). Depths are least distances over reversed call edges, without a
-    cap on nodes; `graph.call_flow` has the capped walk.
+    cap on nodes; impact_callers has the capped walk of a single report.
     """
     from .graph import reach
 
-    calls = edges.where("edge_type = 'call'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = reach(calls, starts.select("id"), depth)
+    found = reach(callers_of(edges), starts.select("id"), depth)
     where = symbols.select(F.col("id").alias("node"), P.under_test_folders(F.col("file_path")).alias("tests"))
     sums = found.join(where, "node").groupBy("start").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count("*").alias("callers"), F.count_if("tests").alias("test_callers"))
     rows = starts.join(sums, starts["id"] == sums["start"], "left").select("id", "entrypoint", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("direct", "callers", "test_callers")])
     return rows.select("id", "direct", "callers", "test_callers", risk(F.col("direct"), F.col("test_callers"), F.col("entrypoint")).alias("risk"))
+
+
+def callers_of(edges: DataFrame) -> DataFrame:
+    """Call edges the other way round, as (src, dst)."""
+    return edges.where("edge_type = 'call'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def impact_callers(edges: DataFrame, symbols: DataFrame, starts: DataFrame, depth: int = 3, max_nodes: int = 60) -> DataFrame:
+    """The callers that a report lists: (start, id, qualified_name, path, depth, tests, place), at most max_nodes a start.
+
+    place: direct callers by name, then the others by depth and name.
+    """
+    from .graph import capped_reach
+
+    found = capped_reach(callers_of(edges), starts.select("id"), depth, max_nodes)
+    named = symbols.select(F.col("id").alias("node"), "qualified_name", F.col("file_path").alias("path"), P.under_test_folders(F.col("file_path")).alias("tests"))
+    place = F.row_number().over(Window.partitionBy("start").orderBy("depth", "qualified_name", "id"))
+    return found.join(named, "node").select("start", F.col("node").alias("id"), "qualified_name", "path", "depth", "tests").withColumn("place", place)
+
+
+# What a report says for each level of risk.
+RISK_REASONS = {
+    "unused": "Nothing in the repository calls this; it may still be used from outside.",
+    "untested_wide": "Called from {n} with no test found on the way: a change is wide and unchecked.",
+    "untested": "No test was found on the way: check a change by hand.",
+    "tested_wide": "Called from {n}, with tests: look at the callers.",
+    "tested": "Tests were found, and the callers are few.",
+}
+
+
+def risk_reason(fan_in: Column, tests: Column, entrypoint: Column) -> Column:
+    """The sentence behind risk's level."""
+
+    from ..functions.text import plural
+
+    def say(key: str) -> Column:
+        return F.replace(F.lit(RISK_REASONS[key]), F.lit("{n}"), plural(fan_in, "place"))
+
+    return F.when((fan_in == 0) & ~entrypoint, say("unused")).when((tests == 0) & (fan_in >= 3), say("untested_wide")).when(tests == 0, say("untested")).when(fan_in >= 6, say("tested_wide")).otherwise(say("tested"))
+
+
+def coupled_files(pairs: DataFrame, path: str, most: int = 500, limit: int = 8) -> DataFrame:
+    """Of the strongest `most` pairs of a coupling table, those of one file: (path, co_changes, strength), strongest first."""
+    order = [F.desc("strength"), F.desc("co_changes"), "a", "b"]
+    own = pairs.orderBy(*order).limit(most).where((F.col("a") == path) | (F.col("b") == path)).orderBy(*order).limit(limit)
+    return own.select(F.when(F.col("a") == path, F.col("b")).otherwise(F.col("a")).alias("path"), "co_changes", "strength")

@@ -9,35 +9,40 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Queries that are scored one by one against every vector.
+MAX_QUERIES = 1000
 # Fields and their boosts for code and for evidence.
 CODE_FIELDS = {"qualified_name": 4.0, "name": 3.0, "signature": 2.0, "docstring": 2.0, "code": 1.0}
 EVIDENCE_FIELDS = {"title": 2.0, "text": 1.0}
 
 
-def postings(docs: DataFrame, key: str, field: str) -> DataFrame:
-    """(id, term, tf, dl) of one field."""
-    words = docs.select(F.col(key).alias("id"), T.terms(F.coalesce(F.col(field), F.lit(""))).alias("terms"))
-    return words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, *, key: str = "id", field: str = "text") -> DataFrame:
     """(query_id, id, score) of every document sharing a term with a query(query_id, text).
 
-    Only the queries' terms are kept of the postings, before anything is grouped. A field's length
-    and count statistics run over all documents.
+    Texts are split once: each document gives a row of its own with its length, and its terms, of which
+    only the queries' are kept before anything is grouped. A field's length and count statistics run
+    over all documents.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    lengths = docs.select(F.size(T.terms(F.coalesce(F.col(field), F.lit("")))).alias("dl"))
+    words = docs.select(F.col(key).alias("id"), T.terms(F.coalesce(F.col(field), F.lit(""))).alias("terms"))
+    marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms")))
+    every = words.select("id", F.size("terms").alias("dl"), marked.alias("term")).join(asked.select("term").distinct().withColumn("hit", F.lit(True)), "term", "left")
+    kept = cut(every.where("hit or term is null").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    return _score(kept.where("term is not null"), kept.where("term is null and dl > 0"), asked)
+
+
+def _score(found: DataFrame, lengths: DataFrame, asked: DataFrame) -> DataFrame:
+    """BM25 of found(id, dl, term, tf) for asked(query_id, term); lengths: a row with dl for each document."""
     # one row of corpus statistics
-    stats = lengths.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings(docs, key, field).join(asked.select("term").distinct(), "term", "left_semi")
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -45,6 +50,64 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str = "id", field: str = "
     return asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
+class StoredIndex:
+    """Postings of several fields, kept as tables below a folder: replaced whole, searched without texts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def replace(self, docs: DataFrame, fields: list[str], *, key: str = "id", facets: tuple[str, ...] = ()) -> None:
+        """Load the documents anew: their postings by field, and facets to filter by."""
+        ids = F.col(key).cast("string").alias("id")
+        out = None
+        for field in fields:
+            terms = T.terms(F.coalesce(F.col(field), F.lit("")))
+            marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms")))
+            words = docs.select(ids, terms.alias("terms")).select("id", F.size("terms").alias("dl"), marked.alias("term"))
+            part = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
+            out = part if out is None else out.unionByName(part)
+        out.write.partitionBy("field").mode("overwrite").parquet(f"{self.folder}/postings")
+        docs.select(ids, *facets).write.mode("overwrite").parquet(f"{self.folder}/facets")
+
+    def search(self, queries: DataFrame, boosts: dict[str, float], k: int, where: Column | None = None) -> DataFrame:
+        """The k best of each query(query_id, text) by best field; `where` filters facets, not the statistics."""
+        asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+        postings = self.spark.read.parquet(f"{self.folder}/postings")
+        out = None
+        for field, boost in boosts.items():
+            own = postings.where(F.col("field") == field).drop("field")
+            found = own.join(asked.select("term").distinct(), "term", "left_semi")
+            part = _score(found, own.where("term is null and dl > 0"), asked).withColumn("score", F.col("score") * boost)
+            out = part if out is None else out.unionByName(part)
+        best = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        if where is not None:
+            best = best.join(self.spark.read.parquet(f"{self.folder}/facets").where(where).select("id"), "id", "left_semi")
+        return top_k(best, k)
+
+
+def containing(docs: DataFrame, items: DataFrame, *, key: str = "id", words: int = 3) -> DataFrame:
+    """(item_id, id) of the docs(id, text) that contain an item's text, of items(item_id, item_text).
+
+    An item's inner words are whole words of any text that contains it. So texts and items meet by the
+    hash of a run of words, the item's first inner ones, and only those that share it are compared;
+    items of fewer words are compared with all texts.
+    """
+
+    def tokens(text: str) -> Column:
+        return F.split(F.col(text), r"\s+")
+
+    def runs(name: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(name) - words + 1), lambda i: F.xxhash64(*[F.element_at(F.col(name), i + j) for j in range(words)]))
+
+    texts = docs.select(F.col(key).alias("id"), "text")
+    cut_items = items.select("item_id", "item_text", tokens("item_text").alias("t"))
+    long = cut_items.where(F.size("t") >= words + 2).select("item_id", "item_text", F.xxhash64(*[F.col("t")[1 + j] for j in range(words)]).alias("run"))
+    own = texts.select("id", "text", tokens("text").alias("t")).where(F.size("t") >= words)
+    met = own.select("id", "text", F.explode(F.array_distinct(runs("t"))).alias("run")).join(long, "run").where(F.col("text").contains(F.col("item_text")))
+    short = cut_items.where(F.size("t") < words + 2).select("item_id", "item_text")
+    return met.select("item_id", "id").unionByName(texts.join(short, F.col("text").contains(F.col("item_text"))).select("item_id", "id"))
+
+
 def bm25_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], key: str = "id") -> DataFrame:
     """Best-field BM25: the largest of the fields' boosted scores."""
     out = None
@@ -77,6 +140,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, *, where: Column | None
     The queries are a stated, small set, scored against every vector. `where` filters the vectors
     first, or after the k nearest are chosen with post_filter (which may then leave fewer).
     """
+    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"more than {MAX_QUERIES} queries: knn_blocks takes them in blocks")
     base = vectors if where is None or post_filter else vectors.where(where)
     pairs = base.crossJoin(queries.withColumnRenamed("vector", "query_vector"))
     out = top_k(pairs.select("query_id", "id", cosine(F.col("vector"), F.col("query_vector")).alias("score")), k)
@@ -140,6 +205,23 @@ def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     return lists.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + k)).alias("score"))
 
 
+def fuse(lists: list[DataFrame], k: int | None = None, places: int = 12) -> DataFrame:
+    """Ranked lists(query_id, id, rank, source) fused: (query_id, id, score, source, rank).
+
+    source is what the last list that has the hit says of it. Equal scores keep the order in which
+    hits were first seen: by list, then rank.
+    """
+    every = None
+    for i, one in enumerate(lists):
+        part = one.select("query_id", F.lit(i).alias("list"), "id", "rank", "source")
+        every = part if every is None else every.unionByName(part)
+    seen = F.min(F.struct("list", "rank")).alias("seen")
+    fused = every.groupBy("query_id", "id").agg(F.sum(1.0 / (F.col("rank") + RRF_K)).alias("score"), F.max_by("source", "list").alias("source"), seen)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", places)), "seen.list", "seen.rank"))
+    out = fused.withColumn("rank", rank).drop("seen")
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
 def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, *, candidates: int = 20, k: int = 5, fields: dict[str, float] | None = None) -> DataFrame:
     """BM25 fused with vector search; BM25 alone without vectors."""
     words = top_k(bm25_fields(docs, queries, fields or {"text": 1.0}), candidates).withColumn("list", F.lit("bm25"))

@@ -12,7 +12,10 @@ from . import graph, mining
 
 # Preference of entrypoints as a start, colours a diagram has, pages for clusters.
 START_ORDER = ("factory", "route", "main", "cli", "worker", "module")
-COLOURS = 8
+COLOURS = (
+    ("#dbeafe", "#3b82f6"), ("#dcfce7", "#22c55e"), ("#fef9c3", "#eab308"), ("#fee2e2", "#ef4444"),
+    ("#f3e8ff", "#a855f7"), ("#ffedd5", "#f97316"), ("#ccfbf1", "#14b8a6"), ("#e2e8f0", "#64748b"),
+)
 CLUSTERS = 5
 LEAST_CLUSTER = 4
 LEAST_FAN = 20  # tenths: a confidence of two
@@ -66,10 +69,12 @@ def flowchart(nodes: list[dict], links: list[tuple[int, int]]) -> str:
     lines = ["flowchart LR"]
     for i, folder in enumerate(folders):
         lines.append(f'  subgraph g{i}["{label(folder)}"]')
-        lines += [f'    n{n["id"]}["{label(n["qualified_name"])}"]:::c{i % COLOURS}' for n in kept if (n["file_path"].rpartition("/")[0] or P.ROOT) == folder]
+        lines += [f'    n{n["id"]}["{label(n["qualified_name"])}"]:::c{i % len(COLOURS)}' for n in kept if (n["file_path"].rpartition("/")[0] or P.ROOT) == folder]
         lines.append("  end")
     known = {n["id"] for n in kept}
-    return "\n".join(lines + [f"  n{a} --> n{b}" for a, b in pairs if a in known and b in known])
+    lines += [f"  n{a} --> n{b}" for a, b in pairs if a in known and b in known]
+    lines += [f"  classDef c{i} fill:{fill},stroke:{stroke};" for i, (fill, stroke) in enumerate(COLOURS[: len(folders)])]
+    return "\n".join(lines)
 
 
 def sections(repo: str, package: str, files: DataFrame, symbols: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> list[dict]:

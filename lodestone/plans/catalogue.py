@@ -195,10 +195,9 @@ GOLD = "gold AS (SELECT b.item_id AS query_id, d.doc_id AS item FROM benchmark b
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    # the benchmark is a fixed list of items, tried against every document
-    items = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item_text"))
-    docs = S.read(spark, d, "documents").select("doc_id", "text")
-    return docs.join(items, F.col("text").contains(F.col("item_text"))).select("query_id", F.col("doc_id").alias("item"))
+    items = S.read(spark, d, "benchmark").select("item_id", F.col("text").alias("item_text"))
+    found = retrieval.containing(S.read(spark, d, "documents").select("doc_id", "text"), items, key="doc_id")
+    return found.select(F.col("item_id").alias("query_id"), F.col("id").alias("item"))
 
 
 @register("h03_recall_sets", "SELECT query_id, count(*) AS n_gold, min(item) AS first_item FROM gold GROUP BY query_id", GOLD)
@@ -249,12 +248,6 @@ def _(spark, d):
     return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts)
 
 
-@register("i05_call_flow")
-def _(spark, d):
-    nodes, _edges = graph.call_flow(S.edges(spark, d), START)
-    return spark.createDataFrame(nodes, "node long, depth int")
-
-
 @register("i18_shortest_path", _recursive(*GRAPH, "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", f"walk AS (SELECT {START} AS node, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 12 AND w.depth < 6)") + f" SELECT {START} AS start, 19 AS stop, min(depth) AS steps FROM walk WHERE node = 19")
 def _(spark, d):
     path = graph.shortest_path(S.edges(spark, d), START, 19)
@@ -345,14 +338,6 @@ ORACLE_SQL["k06_submodules"] = (
 )
 
 
-@register("k07_entrypoints", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(text, 'token = ') THEN 'route' WHEN contains(text, '$$$') THEN 'cli' WHEN contains(text, '|') THEN 'worker' END AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY kind")
-def _(spark, d):
-    text = F.col("text")
-    code = F.when(text.contains("token = "), "@app.get('/t')\ndef f(): pass").when(text.contains("$$$"), "@click.command()\ndef f(): pass").when(text.contains("|"), "@shared_task\ndef f(): pass").otherwise("def f(): pass")
-    symbols = S.read(spark, d, "documents").select(F.lit(1).alias("repo_id"), F.col("doc_id").alias("id"), F.lit("function").alias("kind"), F.lit("f").alias("name"), F.lit("f").alias("qualified_name"), F.lit("src/a.py").alias("file_path"), F.lit(1).alias("start_line"), code.alias("code"))
-    return mining.entrypoints(symbols).groupBy("kind").agg(F.count("*").alias("n"))
-
-
 @register("k08_dead_code", "SELECT id, qualified_name, kind, file_path AS path, start_line AS line, CASE WHEN starts_with(name, '_') THEN 'private' ELSE 'public' END AS visibility FROM symbols s WHERE kind IN ('function', 'method') AND id NOT IN (SELECT dst FROM edges) AND NOT starts_with(file_path, 'tests/') AND NOT starts_with(name, 'test_') AND NOT starts_with(code, '@')", *GRAPH)
 def _(spark, d):
     return mining.dead_code(S.symbols(spark, d), S.edges(spark, d)).drop("repo_id")
@@ -395,12 +380,6 @@ def _(spark, d):
     return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts, depth=2)
 
 
-@register("k19_role_counts")
-def _(spark, d):
-    symbols = S.symbols(spark, d)
-    return symbols.groupBy(T.role(F.col("qualified_name"), F.col("file_path"), F.col("kind")).alias("role")).agg(F.count("*").alias("n"))
-
-
 # the queries are a fixed list: the benchmark's items
 TERMS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 BM25 = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({TERMS.format("text")})) AS term FROM benchmark),
@@ -513,11 +492,6 @@ def _(spark, d):
     return retrieval.search_streams([words, near]).select("query_id", "source", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@register("j14_chunks")
-def _(spark, d):
-    return S.read(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("i", "chunk")).select("doc_id", "i", F.length("chunk").alias("chars"), F.md5("chunk").alias("md5"))
-
-
 @register("j14_evidence_streams", "SELECT 'doc' AS stream, count(*) AS n FROM documents WHERE length(trim(text)) > 0 AND length(text) <= 1500 AND NOT regexp_matches(text, '\\n\\s*\\n') UNION ALL SELECT 'commit', count(*) FROM commits UNION ALL SELECT 'issue', count(*) FROM issues", S.COMMITS_SQL, S.ISSUES_SQL)
 def _(spark, d):
     docs = S.read(spark, d, "documents").where(r"length(trim(text)) > 0 and length(text) <= 1500 and not text rlike '\\n\\s*\\n'")

@@ -10,10 +10,11 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import text as T
 from ..schemas import FILES
 
 # Directories that are never walked, and the size beyond which content is not kept.
@@ -84,6 +85,23 @@ def list_files(root: str) -> list[str]:
     return sorted(out)
 
 
+def is_walked(path: Column) -> Column:
+    """Whether no folder of a path is one of those that are never walked."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return ~F.arrays_overlap(folders, F.array(*[F.lit(x) for x in SKIP_FOLDERS]))
+
+
+def file_facts(raw: DataFrame) -> DataFrame:
+    """What is known of each file's bytes: size_bytes, content_sha, content, loc, beside raw's other columns.
+
+    Content that is no UTF-8, or longer than MAX_CONTENT_BYTES, is null, and its loc 0.
+    """
+    text = F.when((F.octet_length("raw") <= MAX_CONTENT_BYTES) & F.is_valid_utf8(F.col("raw")), F.col("raw").cast("string"))
+    out = raw.withColumn("size_bytes", F.octet_length("raw")).withColumn("content_sha", F.sha1("raw")).withColumn("content", T.plain_newlines(text))
+    return out.withColumn("loc", T.line_count(F.col("content"))).drop("raw")
+
+
 def read_files(spark: SparkSession, root: str, repo_id: int = 1) -> DataFrame:
     """The files table of a working tree that all executors can reach.
 
@@ -138,6 +156,13 @@ def read_history(spark: SparkSession, root: str, repo_id: int = 1, limit: int |
     return c, spark.createDataFrame(changes, "repo_id int, id int, sha string, path string, change_type string, insertions int, deletions int")
 
 
+def parse_numstat(log: DataFrame) -> DataFrame:
+    """(sha, path, insertions, deletions) of log(sha, numstat); binary files' dashes count as 0."""
+    lines = log.select("sha", F.explode(F.split("numstat", "\n")).alias("line")).where("line <> ''")
+    part = F.split("line", "\t", 3)
+    return lines.select("sha", part[2].alias("path"), F.coalesce(part[0].try_cast("int"), F.lit(0)).alias("insertions"), F.coalesce(part[1].try_cast("int"), F.lit(0)).alias("deletions"))
+
+
 def fetch_issues(get: Callable[[int], list[str]], limit: int = 500, page_size: int = 100) -> list[str]:
     """JSON texts of issues from a paged source, newest first; get(page) returns one page's items."""
     out: list[str] = []

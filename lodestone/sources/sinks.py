@@ -18,6 +18,18 @@ def replace_rows(df: DataFrame, path: str) -> None:
     df.write.option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").mode("overwrite").parquet(path)
 
 
+def delete_repository(spark: SparkSession, path: str, repo_id: int) -> None:
+    """Remove one repository's rows from a table that replace_rows wrote; the others are not touched."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repo_id={repo_id}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_symbols(symbols: DataFrame, repo_id: int, symbols_path: str, edges_path: str) -> None:
+    """Replace a repository's symbols; its edges, which name the old ones, go first."""
+    delete_repository(symbols.sparkSession, edges_path, repo_id)
+    replace_rows(symbols, symbols_path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("repo_id").parquet(path)
 
@@ -35,6 +47,11 @@ def cached(cache: DataFrame | None, repo_id: int, sha: str) -> str | None:
     return row["body"] if row else None
 
 
+def cached_pages(cache: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The pages kept for wanted(repo_id, head_sha); of several the one stored last (kept_at)."""
+    return cache.join(wanted.distinct(), ["repo_id", "head_sha"]).groupBy("repo_id", "head_sha").agg(F.max_by("body", "kept_at").alias("body"))
+
+
 def graph_html(title: str, nodes: DataFrame, links: DataFrame) -> str:
     """A page of its own that holds a (bounded) graph as JSON and lists it."""
     data = {"nodes": [json.loads(x) for x in nodes.toJSON().collect()], "links": [json.loads(x) for x in links.toJSON().collect()]}
@@ -81,10 +98,15 @@ def telemetry(events: DataFrame) -> DataFrame:
     return events.groupBy("name").agg(F.count("*").alias("calls"), F.sum("seconds").alias("total"), F.avg("seconds").alias("mean"))
 
 
+def event_lines(items: DataFrame) -> DataFrame:
+    """(line): rows as server-sent events."""
+    return items.select(F.concat(F.lit("data: "), F.to_json(F.struct(*items.columns)), F.lit("\n\n")).alias("line"))
+
+
 def server_events(items: Iterable[dict]) -> Iterator[str]:
     """Items as server-sent events, one at a time."""
     for item in items:
         yield f"data: {json.dumps(item)}\n\n"
 
 
-__all__ = ["append_rows", "cached", "delete_rows", "graph_html", "page_xhtml", "replace_rows", "server_events", "telemetry", "ticket_payloads", "xml_escape"]
+__all__ = ["append_rows", "cached", "cached_pages", "delete_repository", "delete_rows", "event_lines", "graph_html", "page_xhtml", "replace_rows", "replace_symbols", "server_events", "telemetry", "ticket_payloads", "xml_escape"]

@@ -11,7 +11,7 @@ def one(spark, value, make):
 
 @pytest.mark.parametrize(
     ("path", "category"),
-    [("tests/a.py", "test"), ("src/a_test.py", "test"), ("docs/x.py", "doc"), ("README", "doc"), ("src/a.py", "code"), ("Makefile", "config"), ("x.toml", "config"), ("x.bin", "other")],
+    [("tests/a.py", "test"), ("src/a_test.py", "test"), ("docs/x.py", "doc"), ("README", "doc"), ("src/a.py", "code"), ("Makefile", "config"), ("x.toml", "config"), ("x.bin", "other"), ("pkg/foo_test.go", "code"), ("a/tests", "test"), ("a/docs", "doc"), ("Test/x.c", "test")],
 )
 def test_category(spark, path, category):
     assert one(spark, path, P.category) == category
@@ -19,7 +19,9 @@ def test_category(spark, path, category):
 
 def test_urls(spark):
     assert one(spark, "https://h/o/r/tree/main", P.normalise_repo_url) == "https://h/o/r"
-    assert one(spark, "https://h/o/r/", P.normalise_repo_url) == "https://h/o/r"
+    assert one(spark, "https://h/o/r/", P.normalise_repo_url) == "https://h/o/r/"
+    assert one(spark, "https://h/o/r?tab=x", P.normalise_repo_url) == "https://h/o/r?tab=x"
+    assert one(spark, "https://h/o/r/tree/main", P.repo_slug) == ("o", "r")
     assert tuple(one(spark, "https://h/o/r.git", P.repo_slug)) == ("o", "r")
 
 
@@ -36,15 +38,12 @@ def python_chunks(text, size):
     import re
 
     out, cur = [], ""
-    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
-        if not p:
-            continue
+    for p in re.split(r"\n\s*\n", text):
         if cur and len(cur) + len(p) > size:
-            out.append(cur)
-            cur = p
-        else:
-            cur = f"{cur}\n\n{p}" if cur else p
-    return out + ([cur] if cur else [])
+            out.append(cur.strip())
+            cur = ""
+        cur += p + "\n\n"
+    return out + ([cur.strip()] if cur.strip() else [])
 
 
 @pytest.mark.parametrize("text", ["", "\n\n", "a", "a\n\nb", "\n\n".join("x" * n for n in (1000, 600, 100)), "\n \n".join("y" * n for n in (1500, 1, 1499, 1, 3000, 2))])

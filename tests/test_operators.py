@@ -209,7 +209,12 @@ def test_codemaps(spark):
     assert m["edges"] == [(1, 2), (2, 3)]
     f = codemap.file_codemap(e, s, "a.py")
     assert {n["id"]: n["step"] for n in f["nodes"]} == {1: 1, 2: 2, 3: 3}
-    assert codemap.extend(e, s, [1, 2], [2, 3])["edges"] == [(2, 3)]
+    more = codemap.extend(e, s, [1, 2], [2, 3])  # 4 is a neighbour of the new node
+    assert [n["id"] for n in sorted(more["nodes"], key=lambda n: n["id"])] == [3, 4] and more["edges"] == [(2, 3), (3, 4)]
+    assert [n["id"] for n in codemap.extend(e, s, [1, 2], [2, 3], limit=1, call=lambda t: " a note ")["nodes"]] == [3]
+    assert codemap.extend(e, s, [1, 2], [2]) == {"nodes": [], "edges": [], "note": ""}
+    loose = codemap.file_codemap(edges(spark, (4, 1)), s, "a.py")  # no symbol of its own calls anything
+    assert {n["step"] for n in loose["nodes"]} == {1}
     assert [n["side"] for n in codemap.expand(e, s, 2, 2)] == ["caller", "callee"]
     assert "calls" in codemap.explain_edge(s, 1, 2, "call")
     assert codemap.codemap(e, s, []) == {"nodes": [], "edges": []}

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans import catalogue
+from lodestone.plans import catalogue, views  # noqa: F401  views registers its own
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
