@@ -94,7 +94,7 @@ def citations(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Search terms: lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
 
 
 def json_object(text: Column) -> Column:

@@ -85,27 +85,24 @@ class StoredIndex:
         return top_k(best, k)
 
 
-def containing(docs: DataFrame, items: DataFrame, *, key: str = "id", words: int = 3) -> DataFrame:
-    """(item_id, id) of the docs(id, text) that contain an item's text, of items(item_id, item_text).
-
-    An item's inner words are whole words of any text that contains it. So texts and items meet by the
-    hash of a run of words, the item's first inner ones, and only those that share it are compared;
-    items of fewer words are compared with all texts.
-    """
+#: Three words with what separates them, wherever they begin.
+WORD_RUNS = r"(?=(\S+\s+\S+\s+\S+))\S+\s*"
 
-    def tokens(text: str) -> Column:
-        return F.split(F.col(text), r"\s+")
 
-    def runs(name: str) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(name) - words + 1), lambda i: F.xxhash64(*[F.element_at(F.col(name), i + j) for j in range(words)]))
+def containing(docs: DataFrame, items: DataFrame, *, key: str = "id") -> DataFrame:
+    """(item_id, id) of the docs(id, text) that contain an item's text, of items(item_id, item_text).
 
+    An item's inner words are whole words of any text that contains it. So texts and items meet by a
+    run of three words, the item's first inner ones, and only those that share it are compared; items
+    of fewer inner words are compared with all texts.
+    """
     texts = docs.select(F.col(key).alias("id"), "text")
-    cut_items = items.select("item_id", "item_text", tokens("item_text").alias("t"))
-    long = cut_items.where(F.size("t") >= words + 2).select("item_id", "item_text", F.xxhash64(*[F.col("t")[1 + j] for j in range(words)]).alias("run"))
-    own = texts.select("id", "text", tokens("text").alias("t")).where(F.size("t") >= words)
-    met = own.select("id", "text", F.explode(F.array_distinct(runs("t"))).alias("run")).join(long, "run").where(F.col("text").contains(F.col("item_text")))
-    short = cut_items.where(F.size("t") < words + 2).select("item_id", "item_text")
-    return met.select("item_id", "id").unionByName(texts.join(short, F.col("text").contains(F.col("item_text"))).select("item_id", "id"))
+    inner = F.regexp_extract("item_text", r"^\S*\s+(\S+\s+\S+\s+\S+)\s", 1)
+    marked = items.select("item_id", "item_text", inner.alias("run"))
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD_RUNS), F.lit(1)))
+    met = texts.select("id", "text", F.explode(runs).alias("run")).join(marked.where("run <> ''"), "run")
+    short = texts.join(marked.where("run = ''"), F.col("text").contains(F.col("item_text")))
+    return met.where(F.col("text").contains(F.col("item_text"))).select("item_id", "id").unionByName(short.select("item_id", "id"))
 
 
 def bm25_fields(docs: DataFrame, queries: DataFrame, boosts: dict[str, float], key: str = "id") -> DataFrame:

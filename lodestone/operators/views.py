@@ -99,6 +99,23 @@ def first_callees(calls: DataFrame, most: int = MAX_CALLEES) -> DataFrame:
     return placed(first_seen(calls.where("name is not null"), ["src", "name"], "rank"), "rank", limit=most, by=("src",)).select("src", "name", "place")
 
 
+def strongest_calls(edges: DataFrame, fanout: int = 8) -> DataFrame:
+    """(src, dst, tenths, n): each symbol's most confident calls, at most `fanout`."""
+    calls = edges.where("edge_type = 'call'").groupBy("src", "dst").agg(F.max("tenths").alias("tenths"))
+    return placed(calls, F.desc("tenths"), "dst", limit=fanout, by=("src",)).withColumnRenamed("place", "n")
+
+
+def last_turns(turns: DataFrame, most: int = 4) -> DataFrame:
+    """The last `most` turns of each conversation: turns(conv_id, turn, ...)."""
+    return placed(turns, F.desc("turn"), limit=most, by=("conv_id",)).drop("place")
+
+
+def history_of(commits: DataFrame, commit_files: DataFrame, path: str, limit: int = 8) -> DataFrame:
+    """A file's last changes: (path, sha, authored_at, insertions), the newest first."""
+    changes = commit_files.where(F.col("path") == path).join(commits, ["repo_id", "sha"])
+    return changes.select("path", "sha", "authored_at", "insertions").orderBy(F.desc("authored_at"), F.desc("sha")).limit(limit)
+
+
 def most_connected(links: DataFrame, limit: int = CONNECTED) -> DataFrame:
     """The files with most links, weights summed: (path, degree, place)."""
     ends = links.select("repo_id", F.explode(F.array("source", "target")).alias("path"), "weight")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import evaluation, findings, graph, mining, retrieval
+from ..operators import evaluation, findings, graph, mining, retrieval, views
 from ..sources import tables as S
 from ..streaming import events as stream
 
@@ -114,9 +114,8 @@ def _(spark, d):
 @register("d03_file_history", "SELECT f.path, c.sha, c.authored_at, f.insertions FROM commit_files f JOIN commits c USING (sha) WHERE f.path = (SELECT path FROM commit_files GROUP BY path ORDER BY count(*) DESC, path LIMIT 1) ORDER BY c.authored_at DESC, c.sha DESC LIMIT 8", *HISTORY)
 def _(spark, d):
     changed = S.commit_files(spark, d)
-    busiest = mining.churn(changed).orderBy(F.desc("churn"), "path").limit(1).select("path")
-    history = changed.join(F.broadcast(busiest), "path").join(S.commits(spark, d), ["repo_id", "sha"])  # one row
-    return history.select("path", "sha", "authored_at", "insertions").orderBy(F.desc("authored_at"), F.desc("sha")).limit(8)
+    busiest = mining.churn(changed).orderBy(F.desc("churn"), "path").first()
+    return views.history_of(S.commits(spark, d), changed, busiest["path"] if busiest else "")
 
 
 @register("d04_symbol_detail", f"SELECT 'caller' AS side, src AS id, src_name AS qualified_name, src_file AS path, edge_type, tenths FROM ends WHERE dst = {START} UNION ALL SELECT 'callee', dst, dst_name, dst_file, edge_type, tenths FROM ends WHERE src = {START}", *GRAPH, ENDS)
@@ -175,15 +174,12 @@ def _(spark, d):
 
 @register("f02_fanout_cap", "SELECT src, dst, tenths, n FROM (SELECT src, dst, max(tenths) AS tenths, row_number() OVER (PARTITION BY src ORDER BY max(tenths) DESC, dst) AS n FROM edges WHERE edge_type = 'call' GROUP BY src, dst) WHERE n <= 8", *GRAPH)
 def _(spark, d):
-    calls = S.edges(spark, d).where("edge_type = 'call'").groupBy("src", "dst").agg(F.max("tenths").alias("tenths"))
-    n = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("tenths"), "dst")).cast("long")
-    return calls.withColumn("n", n).where("n <= 8")
+    return views.strongest_calls(S.edges(spark, d))
 
 
 @register("f08_last_turns", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")
 def _(spark, d):
-    rows = S.read(spark, d, "conversations").select("conv_id", "turn", "role")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 4").drop("n")
+    return views.last_turns(S.read(spark, d, "conversations").select("conv_id", "turn", "role"))
 
 
 @register("f09_latest_by_key", "SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
@@ -217,38 +213,20 @@ def _(spark, d):
     return graph.call_path(S.edges(spark, d), START)
 
 
-STARTS = "starts AS (SELECT id FROM symbols WHERE kind <> 'class' AND id % 20 = 0)"
+STARTS = "starts AS (SELECT id FROM symbols WHERE kind <> 'class')"
 
 
 def _starts(spark: SparkSession, d: str) -> DataFrame:
-    # the symbols that a report is asked for
-    return S.symbols(spark, d).where("kind <> 'class' and id % 20 = 0").select("id")
-
-
-@register("i07_upstream", _recursive(*GRAPH, STARTS, REACH.format(to="src", of="dst", depth=2)) + " SELECT start, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY start, node")
-def _(spark, d):
-    back = S.edges(spark, d).where("edge_type = 'call'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.reach(back, _starts(spark, d), 2)
-
-
-def _callables(spark: SparkSession, d: str) -> DataFrame:
     return S.symbols(spark, d).where("kind <> 'class'").select("id")
 
 
-# the whole jobs behind queries whose SQL, a plain recursion, is kept to a part of the starts and depth 2
-@register("i07_upstream_whole")
+@register("i07_upstream", _recursive(*GRAPH, STARTS, REACH.format(to="src", of="dst", depth=3)) + " SELECT start, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY start, node")
 def _(spark, d):
-    back = S.edges(spark, d).where("edge_type = 'call'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.reach(back, _callables(spark, d), 3)
+    return graph.reach(mining.callers_of(S.edges(spark, d)), _starts(spark, d), 3)
 
 
-@register("k12_impact_whole")
-def _(spark, d):
-    starts = _callables(spark, d).withColumn("entrypoint", F.col("id") % 40 == 0)
-    return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts)
-
-
-@register("i18_shortest_path", _recursive(*GRAPH, "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", f"walk AS (SELECT {START} AS node, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 12 AND w.depth < 6)") + f" SELECT {START} AS start, 19 AS stop, min(depth) AS steps FROM walk WHERE node = 19")
+# the SQL's bound of 40 steps lies beyond any distance here; the walk itself has none
+@register("i18_shortest_path", _recursive(*GRAPH, "both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", f"walk AS (SELECT {START} AS node, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN both_ways b ON b.src = w.node WHERE w.depth < 40)") + f" SELECT {START} AS start, 19 AS stop, min(depth) AS steps FROM walk WHERE node = 19")
 def _(spark, d):
     path = graph.shortest_path(S.edges(spark, d), START, 19)
     return spark.createDataFrame([(START, 19, None if path is None else len(path) - 1)], "start int, stop int, steps int")
@@ -372,12 +350,12 @@ def _(spark, d):
 
 @register(
     "k12_impact",
-    _recursive(*GRAPH, STARTS, REACH.format(to="src", of="dst", depth=2), "best AS (SELECT start, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY start, node)", "sums AS (SELECT start, count(*) FILTER (WHERE depth = 1) AS direct, count(*) AS callers, count(*) FILTER (WHERE starts_with(s.file_path, 'tests/')) AS test_callers FROM best JOIN symbols s ON s.id = node GROUP BY start)")
+    _recursive(*GRAPH, STARTS, REACH.format(to="src", of="dst", depth=3), "best AS (SELECT start, node, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY start, node)", "sums AS (SELECT start, count(*) FILTER (WHERE depth = 1) AS direct, count(*) AS callers, count(*) FILTER (WHERE starts_with(s.file_path, 'tests/')) AS test_callers FROM best JOIN symbols s ON s.id = node GROUP BY start)")
     + " SELECT id, direct, callers, test_callers, CASE WHEN direct = 0 AND NOT entrypoint THEN 'low' WHEN test_callers = 0 AND direct >= 3 THEN 'high' WHEN test_callers = 0 THEN 'medium' WHEN direct >= 6 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT id, id % 40 = 0 AS entrypoint, coalesce(direct, 0) AS direct, coalesce(callers, 0) AS callers, coalesce(test_callers, 0) AS test_callers FROM starts LEFT JOIN sums ON start = id)",
 )
 def _(spark, d):
     starts = _starts(spark, d).withColumn("entrypoint", F.col("id") % 40 == 0)
-    return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts, depth=2)
+    return mining.impact(S.edges(spark, d), S.symbols(spark, d), starts)
 
 
 # the queries are a fixed list: the benchmark's items
@@ -406,109 +384,53 @@ def _(spark, d):
     return _bm25(spark, d, 10).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-KNN = "kn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 10 {})"
+KNN = "kn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0 {})"
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return v, v.where("id < 10").select(F.col("id").alias("query_id"), "vector")  # the first ten as queries
+    return v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 @register("j03_knn_topk", "SELECT query_id, id, rank FROM kn WHERE rank <= 5", KNN.format(""))
 def _(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.knn(v, q, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn_blocks(v, q, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @register("j04_knn_prefiltered", "SELECT query_id, id, rank FROM kn WHERE rank <= 5", KNN.format("AND v.label = 3"))
 def _(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.knn(v, q, 5, where=F.col("label") == 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn_blocks(v, q, 5, where=F.col("label") == 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @register("j04_knn_postfiltered", "SELECT query_id, id, rank FROM kn WHERE rank <= 20 AND label = 3", KNN.format(""))
 def _(spark, d):
     v, q = _vectors(spark, d)
-    return retrieval.knn(v, q, 20, where=F.col("label") == 3, post_filter=True).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.knn_blocks(v, q, 20, where=F.col("label") == 3, post_filter=True).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-FUSED = "fu AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM bm WHERE rank <= 20 AND query_id < 10 UNION ALL SELECT query_id, id, rank FROM kn WHERE rank <= 20) GROUP BY ALL)"
+FUSED = "fu AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM (SELECT query_id, id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM kn WHERE rank <= 20) GROUP BY ALL)"
 
 
 @register("j06_rrf", "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank FROM fu) WHERE rank <= 5", BM25, KNN.format(""), FUSED)
 def _(spark, d):
     v, q = _vectors(spark, d)
-    words = _bm25(spark, d, 20).where("query_id < 10").select("query_id", F.lit("bm25").alias("list"), "id", "rank")
-    near = retrieval.knn(v, q, 20).select("query_id", F.lit("knn").alias("list"), "id", "rank")
-    return retrieval.top_k(retrieval.rrf(words.unionByName(near)), 5, places=12).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@register("j08_cross_stream", "SELECT query_id, source, id, rank FROM (SELECT query_id, source, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, source, id) AS rank FROM (SELECT query_id, 'doc' AS source, id, rank FROM bm WHERE rank <= 15 AND query_id < 10 UNION ALL SELECT query_id, 'vector', id, rank FROM kn WHERE rank <= 15) GROUP BY query_id, source, id) WHERE rank <= 8", BM25, KNN.format(""))
-def _(spark, d):
-    v, q = _vectors(spark, d)
-    words = _bm25(spark, d, 15).where("query_id < 10").select("query_id", F.lit("doc").alias("source"), "id", "rank")
-    near = retrieval.knn(v, q, 15).select("query_id", F.lit("vector").alias("source"), "id", "rank")
-    return retrieval.search_streams([words, near]).select("query_id", "source", "id", F.col("rank").cast("long").alias("rank"))
-
-
-def _all_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    v, _q = _vectors(spark, d)
-    return v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-
-
-# the whole jobs behind queries whose SQL, all pairs of rows, is kept to ten queries: every hundredth
-# vector as a query, and every benchmark item
-@register("j03_knn_topk_whole")
-def _(spark, d):
-    v, q = _all_vectors(spark, d)
-    return retrieval.knn_blocks(v, q, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@register("j04_knn_prefiltered_whole")
-def _(spark, d):
-    v, q = _all_vectors(spark, d)
-    return retrieval.knn_blocks(v, q, 5, where=F.col("label") == 3).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@register("j04_knn_postfiltered_whole")
-def _(spark, d):
-    v, q = _all_vectors(spark, d)
-    return retrieval.knn_blocks(v, q, 20, where=F.col("label") == 3, post_filter=True).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@register("j06_rrf_whole")
-def _(spark, d):
-    v, q = _all_vectors(spark, d)
     words = _bm25(spark, d, 20).select("query_id", F.lit("bm25").alias("list"), "id", "rank")
     near = retrieval.knn_blocks(v, q, 20).select("query_id", F.lit("knn").alias("list"), "id", "rank")
     return retrieval.top_k(retrieval.rrf(words.unionByName(near)), 5, places=12).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@register("j08_cross_stream_whole")
+@register("j08_cross_stream", "SELECT query_id, source, id, rank FROM (SELECT query_id, source, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, source, id) AS rank FROM (SELECT query_id, 'doc' AS source, id, rank FROM bm WHERE rank <= 15 UNION ALL SELECT query_id, 'vector', id, rank FROM kn WHERE rank <= 15) GROUP BY query_id, source, id) WHERE rank <= 8", BM25, KNN.format(""))
 def _(spark, d):
-    v, q = _all_vectors(spark, d)
+    v, q = _vectors(spark, d)
     words = _bm25(spark, d, 15).select("query_id", F.lit("doc").alias("source"), "id", "rank")
     near = retrieval.knn_blocks(v, q, 15).select("query_id", F.lit("vector").alias("source"), "id", "rank")
     return retrieval.search_streams([words, near]).select("query_id", "source", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@register("j14_evidence_streams", "SELECT 'doc' AS stream, count(*) AS n FROM documents WHERE length(trim(text)) > 0 AND length(text) <= 1500 AND NOT regexp_matches(text, '\\n\\s*\\n') UNION ALL SELECT 'commit', count(*) FROM commits UNION ALL SELECT 'issue', count(*) FROM issues", S.COMMITS_SQL, S.ISSUES_SQL)
-def _(spark, d):
-    docs = S.read(spark, d, "documents").where(r"length(trim(text)) > 0 and length(text) <= 1500 and not text rlike '\\n\\s*\\n'")
-    files = docs.select(F.lit(1).alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("doc").alias("category"), F.col("text").alias("content"))
-    out = retrieval.evidence_documents(files, S.commits(spark, d), S.issues(spark, d).withColumn("body", F.lit(None).cast("string")))
-    return out.groupBy("stream").agg(F.count("*").alias("n"))
-
-
-# the whole job behind a query whose SQL cannot cut chunks
-@register("j14_evidence_streams_whole")
-def _(spark, d):
-    docs = S.read(spark, d, "documents")
-    files = docs.select(F.lit(1).alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("doc").alias("category"), F.col("text").alias("content"))
-    out = retrieval.evidence_documents(files, S.commits(spark, d), S.issues(spark, d).withColumn("body", F.lit(None).cast("string")))
-    return out.groupBy("stream").agg(F.count("*").alias("n"))
-
-
+# the whole jobs behind queries whose SQL, all pairs of rows, is kept to ten queries: every hundredth
+# vector as a query, and every benchmark item
 SCAN = "fl AS (SELECT 'src/' || source || '_' || (doc_id % 9) || '.py' AS path, CAST(max(n_chars) AS BIGINT) AS loc FROM documents GROUP BY 1), ch AS (SELECT 'src/src' || (o_custkey % 20) || '_' || (o_orderkey % 9) || '.py' AS path, count(*) AS churn FROM orders GROUP BY 1)"
 
 

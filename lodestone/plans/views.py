@@ -192,6 +192,14 @@ def _(spark, d):
     return retrieval.evidence_documents(files, None, None).select("ref_id", "citation", F.md5("text").alias("md5"))
 
 
+@register("j14_evidence_streams", _chunk_sql("documents").replace("SELECT doc_id, row_number()", ", " + S.COMMITS_SQL + ", " + S.ISSUES_SQL + ", rows AS (SELECT doc_id, row_number()") + ") SELECT 'doc' AS stream, count(*) AS n FROM rows UNION ALL SELECT 'commit', count(*) FROM commits UNION ALL SELECT 'issue', count(*) FROM issues")
+def _(spark, d):
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    files = S.read(spark, d, "documents").select(F.lit(1).alias("repo_id"), path.alias("path"), F.lit("doc").alias("category"), F.col("text").alias("content"))
+    out = retrieval.evidence_documents(files, S.commits(spark, d), S.issues(spark, d).withColumn("body", F.lit(None).cast("string")))
+    return out.groupBy("stream").agg(F.count("*").alias("n"))
+
+
 @register("l07_line_slice", "SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines, CASE WHEN contains(text, ' of ') THEN length(left(text, strpos(text, ' of ') - 1)) - length(replace(left(text, strpos(text, ' of ') - 1), chr(10), '')) + 1 END AS line FROM documents")
 def _(spark, d):
     text = F.col("text")

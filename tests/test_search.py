@@ -25,13 +25,13 @@ def nearest(spark, k, label=None):
 
 
 def test_every_hundredth_vector_is_a_query(spark):
-    assert run(spark, "j03_knn_topk_whole") == nearest(spark, 5)
-    assert run(spark, "j04_knn_prefiltered_whole") == nearest(spark, 5, 3)
+    assert run(spark, "j03_knn_topk") == nearest(spark, 5)
+    assert run(spark, "j04_knn_prefiltered") == nearest(spark, 5, 3)
     labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()}
-    assert run(spark, "j04_knn_postfiltered_whole") == [x for x in nearest(spark, 20) if labels[x[1]] == 3]
+    assert run(spark, "j04_knn_postfiltered") == [x for x in nearest(spark, 20) if labels[x[1]] == 3]
 
 
-@pytest.mark.parametrize(("name", "depth", "keep", "apart"), [("j06_rrf_whole", 20, 5, False), ("j08_cross_stream_whole", 15, 8, True)])
+@pytest.mark.parametrize(("name", "depth", "keep", "apart"), [("j06_rrf", 20, 5, False), ("j08_cross_stream", 15, 8, True)])
 def test_fusion_has_every_benchmark_item(spark, name, depth, keep, apart):
     words = catalogue._bm25(spark, DIR, depth).select("query_id", "id", "rank").collect()
     lists = [("doc" if apart else "", *r) for r in words] + [("vector" if apart else "", *r) for r in nearest(spark, depth)]

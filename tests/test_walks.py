@@ -20,7 +20,7 @@ def walks(spark):
 
 def test_upstream_has_every_callable_and_the_third_step(spark):
     want = sorted((start, node, d) for start, depth in walks(spark) for node, d in depth.items())
-    assert sorted(tuple(r) for r in catalogue.QUERIES["i07_upstream_whole"](spark, DIR).collect()) == want
+    assert sorted(tuple(r) for r in catalogue.QUERIES["i07_upstream"](spark, DIR).collect()) == want
     assert {d for _, _, d in want} == {1, 2, 3}
 
 
@@ -36,4 +36,4 @@ def test_impact_has_every_callable_and_the_third_step(spark):
         else:
             risk = "medium" if direct >= 6 else "low"
         want.append((start, direct, len(depth), inside, risk))
-    assert sorted(tuple(r) for r in catalogue.QUERIES["k12_impact_whole"](spark, DIR).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in catalogue.QUERIES["k12_impact"](spark, DIR).collect()) == sorted(want)
