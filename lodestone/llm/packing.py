@@ -31,7 +31,7 @@ from .common import materialise, slices, tidy
 WINDOW = 4096
 END = 2
 #: Pieces of one length are ranked in parts of about this many.
-PART_ROWS = 10_000
+PART_ROWS = 1_000
 
 
 def default_tokenizer() -> str:
