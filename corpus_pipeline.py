@@ -1,7 +1,16 @@
 """A corpus pipeline over `documents`, part of the subpackage lodestone.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last keep the columns of documents.
+again as the next one's docs. All but the last keep the columns of documents, further columns too,
+whatever their names.
+
+Defined results, stage by stage. language: null, empty and letterless texts go, rows are judged one by
+one, and equal texts alike; a table without labels has no language and loses all. near_duplicates: one
+row stays of equal or similar texts, that of the smallest doc_id, rows without one last; different
+texts of one doc_id stay. secrets: no row goes; texts without findings stay as they are; n_chars
+follows the text. mixture: rows are repeated or left out by source, the null source being one; texts
+without words go; equal rows count each. packed: every row's pieces, those of repeated rows one by
+one. Empty tables give empty tables, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -58,5 +67,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = common.new_dir(spark, f"pipeline-{name}") + "/table"
+        with common.working_folders() as remove:
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+            remove()  # what the stage wrote on its way; its result is in a folder of its own
+        docs = spark.read.schema(made.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

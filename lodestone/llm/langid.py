@@ -10,8 +10,8 @@ learned from; equal likelihoods go to the smallest label by code point; with no
 every text is `und`; other columns are kept as they are, and the added ones replace columns of the
 same names; rows that are repeated are predicted alike, and count each in the fit. Letter runs of any
 length, as in unspaced scripts, are one word: from LONG letters on, its forward and backward sums run
-in logarithms over blocks of BLOCK letters, each handing its last positions to the next, so memory
-does not grow with the word and no segmentation is lost at a block's end. More than MAX_LANGUAGES
+in logarithms over blocks of BLOCK letters, each handing its last positions to the next, so only the
+word's own characters grow with it and no segmentation is lost at a block's end. More than MAX_LANGUAGES
 labels are an error: such a column holds no languages.
 """
 

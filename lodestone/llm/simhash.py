@@ -395,11 +395,13 @@ def drop_near_duplicates(docs: DataFrame, plan: Plan) -> DataFrame:
     Rows are told apart by a number of their own, not by doc_id: of rows with equal texts one stays,
     whatever their doc_ids, and rows of one doc_id with different texts all stay. Null, empty and
     wordless texts have equal (empty) shingle sets, so one of them stays. All other columns are kept,
-    whatever their names but `__row`. Texts of any length are read whole.
+    whatever their names. Texts of any length are read whole.
     """
-    rows = numbered(docs, "__row", "simhash-rows")
-    kept = near_duplicate_groups(rows, plan).groupBy("component").agg(F.min("best").alias("best"))
-    return rows.join(kept.select(F.col("best.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")
+    rows = numbered(docs.select(whole), "__row", "simhash-rows")
+    kept = near_duplicate_groups(rows.select("d.doc_id", "__row", "d.text"), plan).groupBy("component").agg(F.min("best").alias("best"))
+    stay = rows.join(kept.select(F.col("best.row").alias("__row")), "__row", "left_semi")
+    return stay.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
 
 
 #: The contract's fingerprints.

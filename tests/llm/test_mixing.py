@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -79,6 +80,35 @@ def test_each_row_of_a_repeated_or_missing_id_gets_its_own_copies(spark, documen
         assert abs(got.get(source, 0) - target) <= max(100, 0.02 * target)
 
 
+def test_rates_solve_the_dual(spark, documents):
+    data = rows(300) + [(900 + i, "w " * 7, "s9") for i in range(20)]
+    out = run(spark, documents, data)
+    by = {}
+    for r in out:
+        by.setdefault(r["source_size"], []).append(r)
+    assert len(by) == 6
+    for size, own in by.items():
+        target = own[0]["target"]
+        mean = size / len(own)
+
+        def rate(level, x, mean=mean):
+            return 3 / (1 + 2 * math.exp(-max(-700, min(700, level * x / mean))))
+
+        low, high = -60.0, 60.0
+        for _ in range(200):  # the sum grows with the level: halve
+            level = (low + high) / 2
+            low, high = (level, high) if sum(r["size"] * rate(level, r["size"]) for r in own) < target else (low, level)
+        for r in own:
+            assert math.floor(rate(level, r["size"]) - 1e-3) <= r["taken"] / r["size"] <= math.ceil(rate(level, r["size"]) + 1e-3)
+        assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, t, s) for i, t, s in rows(150)] + [(None, "a b c", "s1")] * 9, "doc_id long, text string, source string")
+    a, b = (sorted(map(tuple, mixing.mix(docs.repartition(n)).collect()), key=str) for n in (1, 7))
+    assert a == b
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.one_of(st.none(), st.text(max_size=3)), st.integers(0, 1000), max_size=8))
 def test_water_filling(sizes):

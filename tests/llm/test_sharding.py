@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import sharding
 
@@ -42,6 +43,40 @@ def test_several_parts_and_blocks(spark, monkeypatch):
         assert slots == list(range(len(slots))) and len(slots) in (233, 234)
 
 
+def test_query_equals_a_plain_deal(spark, documents, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 40)
+    rows = [(i, "ab" * (i % 7)) for i in range(300)] + [(None, None), (None, None), (7, "again"), (7, "again")]
+    d = documents(rows)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    slim = spark.read.parquet(d + "/documents.parquet").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    seed, total, shards = 42, len(rows), 16
+    parts, per_shard = total // 40 + 1, total // shards // 40 + 1
+    hashed = slim.select("*", F.pmod(F.xxhash64(F.lit(seed), *slim.columns), F.lit(parts)).cast("int").alias("part"), *[F.xxhash64(F.lit(seed + i), *slim.columns).alias(f"t{i}") for i in (1, 2)])
+    every = [r.asDict() for r in hashed.collect()]
+    sizes, where = [], []
+    for s, n in enumerate(sharding.even(total, shards)):
+        start = 0
+        for m in sharding.even(n, per_shard):
+            sizes.append(m)
+            where.append((s, start))
+            start += m
+    matrix = sharding.communication_matrix(np.random.default_rng(seed), [sum(r["part"] == p for r in every) for p in range(parts)], sizes)
+
+    def order(r, tie):
+        return (r[tie], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"])
+
+    blocks = [[] for _ in sizes]
+    for p in range(parts):
+        own = iter(sorted((r for r in every if r["part"] == p), key=lambda r: order(r, "t1")))
+        for block, n in zip(blocks, matrix[p], strict=True):
+            block += [next(own) for _ in range(n)]
+    want = []
+    for (s, start), block in zip(where, blocks, strict=True):
+        want += [(r["doc_id"], r["size"], r["text_crc32"], s, start + i) for i, r in enumerate(sorted(block, key=lambda r: order(r, "t2")))]
+    got = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in collect(sharding.query(spark, d))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_hypergeometric_law():
     rng = np.random.default_rng(0)
     for good, bad, draws in ((5, 7, 4), (30, 10, 25), (1, 50, 10)):
