@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..lineage import cut
 from ..schemas import FILES
 
 # Directories that are never walked, and the size beyond which content is not kept.
@@ -128,32 +129,57 @@ def read_files(spark: SparkSession, root: str, repo_id: int = 1) -> DataFrame:
 
 
 _FIELD, _RECORD = "\x1f", "\x1e"
+#: Commits that one task asks for.
+HISTORY_ROWS = 500
+_COMMIT = "repo_id int, id int, sha string, author_name string, author_email string, authored_at string, committer_name string, committed_at string, message string, insertions int, deletions int, files_changed int, parents array<string>, changes array<struct<path: string, change_type: string, insertions: int, deletions: int>>"
+
+
+def _log(root: str, shas: list[str], form: str, what: str) -> list[str]:
+    """git's records of these commits, in their order, with what changed against the first parent."""
+    args = ["log", "--no-walk=unsorted", "--stdin", f"--format={_RECORD}{form}{_FIELD}", what, "--diff-merges=first-parent", "--root", "--no-renames"]
+    done = subprocess.run(["git", "-C", root, *args], input="\n".join(shas), capture_output=True, text=True, errors="replace")
+    if done.returncode:
+        raise RuntimeError(mask_token(done.stderr.strip(), None))
+    return done.stdout.split(_RECORD)[1:]
 
 
 def read_history(spark: SparkSession, root: str, repo_id: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(commits, commit_files) of the first-parent differences, newest first, at most `limit` commits."""
-    form = _RECORD + _FIELD.join(("%H", "%an", "%ae", "%aI", "%cn", "%cI", "%P", "%B")) + _FIELD
-    args = ["log", f"--format={form}", "--numstat", "--diff-merges=first-parent", "--root", "--no-renames"]
-    status = ["log", f"--format={_RECORD}%H{_FIELD}", "--name-status", "--diff-merges=first-parent", "--root", "--no-renames"]
+    """(commits, commit_files) of the first-parent differences, newest first, at most `limit` commits.
+
+    The driver lists the commits' names; what they hold is read by tasks, each for a range of them,
+    from a repository that all executors can reach, as read_files does.
+    """
     cap = [f"--max-count={limit}"] if limit is not None else []
-    kinds: dict[tuple[str, str], str] = {}
-    for record in _git(root, *status, *cap).split(_RECORD)[1:]:
-        sha, _, body = record.partition(_FIELD)
-        for line in body.strip().splitlines():
-            kind, _, path = line.partition("\t")
-            kinds[sha, path] = kind[:1] or "M"
-    commits, changes = [], []
-    for i, record in enumerate(_git(root, *args, *cap).split(_RECORD)[1:], 1):
-        sha, an, ae, at, cn, ct, parents, message, body = record.split(_FIELD, 8)
-        own = []
-        for line in body.strip().splitlines():
-            plus, minus, path = line.split("\t", 2)
-            own.append((sha, path, kinds.get((sha, path), "M"), int(plus) if plus.isdigit() else 0, int(minus) if minus.isdigit() else 0))
-        commits.append((repo_id, i, sha, an, ae, at, cn, ct, message.rstrip("\n"), sum(x[3] for x in own), sum(x[4] for x in own), len(own), parents.split()))
-        changes += [(repo_id, len(changes) + j, *x) for j, x in enumerate(own, 1)]
-    c = spark.createDataFrame(commits, "repo_id int, id int, sha string, author_name string, author_email string, authored_at string, committer_name string, committed_at string, message string, insertions int, deletions int, files_changed int, parents array<string>")
-    c = c.withColumns({x: F.to_timestamp(x) for x in ("authored_at", "committed_at")}).withColumn("n_parents", F.size("parents"))
-    return c, spark.createDataFrame(changes, "repo_id int, id int, sha string, path string, change_type string, insertions int, deletions int")
+    shas = _git(root, "rev-list", *cap, "HEAD").split()
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(shas, 1)], "id int, sha string").repartitionByRange(len(shas) // HISTORY_ROWS + 1, "id").sortWithinPartitions("id")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            own = part["sha"].tolist()
+            kinds: dict[tuple[str, str], str] = {}
+            for record in _log(root, own, "%H", "--name-status"):
+                sha, _, body = record.partition(_FIELD)
+                for line in body.strip().splitlines():
+                    kind, _, path = line.partition("\t")
+                    kinds[sha, path] = kind[:1] or "M"
+            rows = []
+            form = _FIELD.join(("%H", "%an", "%ae", "%aI", "%cn", "%cI", "%P", "%B"))
+            for number, record in zip(part["id"].tolist(), _log(root, own, form, "--numstat"), strict=True):
+                sha, an, ae, at, cn, ct, parents, message, body = record.split(_FIELD, 8)
+                changes = []
+                for line in body.strip().splitlines():
+                    plus, minus, path = line.split("\t", 2)
+                    changes.append({"path": path, "change_type": kinds.get((sha, path), "M"), "insertions": int(plus) if plus.isdigit() else 0, "deletions": int(minus) if minus.isdigit() else 0})
+                sums = [sum(c[k] for c in changes) for k in ("insertions", "deletions")]
+                rows.append((repo_id, number, sha, an, ae, at, cn, ct, message.rstrip("\n"), *sums, len(changes), parents.split(), changes))
+            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _COMMIT.split(", changes")[0].split(", ")] + ["changes"])
+
+    whole = cut(asked.mapInPandas(run, _COMMIT))
+    commits = whole.drop("changes").withColumns({x: F.to_timestamp(x) for x in ("authored_at", "committed_at")}).withColumn("n_parents", F.size("parents"))
+    each = whole.select("repo_id", F.col("id").alias("commit"), "sha", F.posexplode("changes").alias("i", "c"))
+    # a commit's changes are numbered behind each other
+    number = (F.col("commit").cast("long") * (1 << 24) + F.col("i")).alias("id")
+    return commits, each.select("repo_id", number, "sha", "c.path", "c.change_type", "c.insertions", "c.deletions")
 
 
 def parse_numstat(log: DataFrame) -> DataFrame:

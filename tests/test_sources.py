@@ -116,7 +116,7 @@ def test_engine(spark, work):
     assert hits[0]["title"] == "helper" and any(h["stream"] == "doc" for h in hits)
     assert repo.ask("helper")["offline"]
     assert repo.investigate("helper")["step"] == "answer"
-    assert repo.impact(names["helper"])["direct"] >= 1
+    assert len(repo.impact(names["helper"])["direct_callers"]) >= 1
     assert ("helper", 1) in {(n["qualified_name"], n["step"]) for n in repo.codemap("helper")["nodes"]}
     assert repo.file("src/app.py")["symbols"][0]["qualified_name"] == "Base"
     assert repo.file("nothing") is None
