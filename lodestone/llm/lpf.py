@@ -155,6 +155,14 @@ def next_smaller(x: np.ndarray) -> np.ndarray:
     return len(x) - 1 - previous_smaller(x[::-1])[::-1]
 
 
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct ones, fewer than 2^32."""
+    order = np.argsort(key)
+    out = np.empty(len(key), dtype=np.uint32)
+    out[order] = np.cumsum(_first_of(key[order])) - 1
+    return out
+
+
 def factor_lengths(data: np.ndarray, length: int, valid: np.ndarray) -> np.ndarray:
     """The longest previous factor of each valid position, as far as `length`.
 
@@ -166,31 +174,38 @@ def factor_lengths(data: np.ndarray, length: int, valid: np.ndarray) -> np.ndarr
     if not len(valid):
         return valid
     n = len(data)
-    padded = np.r_[data, np.zeros(length, dtype=np.uint8)]
-    ranks, width = [np.unique(padded[:n], return_inverse=True)[1].astype(np.int64)], 1
+
+    def joined(rank: np.ndarray) -> np.ndarray:
+        after = np.zeros(n, dtype=np.uint64)
+        after[: max(n - width, 0)] = rank[width:]
+        return rank.astype(np.uint64) << np.uint64(32) | after
+
+    # up to four bytes, the bytes themselves are the rank
+    ranks, width = [data.astype(np.uint32)], 1
+    while 2 * width <= min(length, 4):
+        after = np.zeros(n, dtype=np.uint32)
+        after[: max(n - width, 0)] = ranks[-1][width:]
+        ranks.append(ranks[-1] << np.uint32(8 * width) | after)
+        width *= 2
     while 2 * width <= length:
-        rank = ranks[-1]
-        shifted = np.r_[rank[width:], np.zeros(width, dtype=np.int64)][:n]
-        ranks.append(np.unique(rank * (n + 1) + shifted, return_inverse=True)[1])
+        ranks.append(_dense(joined(ranks[-1])))
         width *= 2
     rank = ranks[-1]
-    whole = np.unique(rank[valid] * (n + 1) + rank[valid + length - width], return_inverse=True)[1]
+    whole = _dense(rank[valid].astype(np.uint64) << np.uint64(32) | rank[valid + length - width])
     order = np.argsort(whole, kind="stable")
     suffix, group = valid[order], whole[order]
     out = np.zeros(len(valid), dtype=np.int64)
     for near in (previous_smaller(suffix), next_smaller(suffix)):
-        has = np.flatnonzero((near >= 0) & (near < len(suffix)))
+        has = np.flatnonzero((near >= 0) & (near < len(suffix)) & (out[order] < length))
         match = np.full(len(has), length, dtype=np.int64)
         part = np.flatnonzero(group[has] != group[near[has]])
-        a, b = suffix[has[part]].copy(), suffix[near[has[part]]].copy()
-        found = np.zeros(len(part), dtype=np.int64)
+        a, b = suffix[has[part]], suffix[near[has[part]]]  # they differ before `length`, so both stay inside
         for i in range(len(ranks) - 1, -1, -1):  # a match is less than `length` here: take widths that fit, twice the widest if need be
             for _ in range(2 if i == len(ranks) - 1 else 1):
-                same = (np.maximum(a, b) < n) & (ranks[i][np.minimum(a, n - 1)] == ranks[i][np.minimum(b, n - 1)])
-                found += same << i
-                a += same << i
-                b += same << i
-        match[part] = np.minimum(found, length - 1)
+                step = (ranks[i][a] == ranks[i][b]).astype(np.int64) << i
+                a += step
+                b += step
+        match[part] = a - suffix[has[part]]
         out[order[has]] = np.maximum(out[order[has]], match)
     return out
 
