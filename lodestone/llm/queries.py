@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lpf, media, mixing, packing, secrets_cnn, sharding, simhash, vptree, warc
+from . import divergence, langid, lpf, media, mixing, packing, secrets_cnn, sharding, simhash, vptree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimum_bin_slack": packing.query,
     "op9_vantage_point_trees": vptree.query,
     "op10_entropy_balancing": mixing.query,
+    "op13_source_divergence": divergence.query,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
     "op2_capture_index": warc.ORACLE,
     "op9_vantage_point_trees": vptree.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
