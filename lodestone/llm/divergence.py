@@ -111,11 +111,12 @@ def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     terms, those that a border may cut are given with what the partition has of them.
     """
     keys = ["lang", "term", "source"]
+    schema = pa.schema([*[(k, pa.string()) for k in keys], ("df", pa.int64()), ("n", pa.int64())])
 
     def reduced(table: pa.Table) -> pa.Table:
         at = _starts(table, keys)
         sums = [np.add.reduceat(table.column(c).to_numpy(), at) if len(at) else np.zeros(0, np.int64) for c in ("df", "n")]
-        return pa.table([*[table.column(k).take(pa.array(at)) for k in keys], *map(pa.array, sums)], names=[*keys, "df", "n"])
+        return pa.table([*[table.column(k).take(pa.array(at)) for k in keys], *map(pa.array, sums)], schema=schema)
 
     def told(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         """The runs of whole terms but for the first and last of the partition, which may go on elsewhere."""
@@ -134,7 +135,7 @@ def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True
         for batch in batches:
-            table = pa.Table.from_batches([batch]).select([*keys, "df", "n"])
+            table = pa.table([batch.column(c) for c in schema.names], schema=schema)
             table = reduced(pa.concat_tables([held, table]).combine_chunks() if held is not None else table)
             at = _starts(table, ["lang", "term"])
             if len(at) > 1:

@@ -102,7 +102,7 @@ def test_a_term_of_most_rows_is_dealt_to_several_partitions(spark):
     order = ["lang", "term", "source", "block"]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        held = divergence.scan_runs(blocks.repartitionByRange(4, *order).sortWithinPartitions(*order), 1).where("term = 'same'").collect()
+        held = divergence.scan_runs(blocks.repartitionByRange(7, *order).sortWithinPartitions(*order), 1).where("term = 'same'").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len({r["whole"] for r in held}) == 1 and not held[0]["whole"] and len(held) > 2
