@@ -40,7 +40,7 @@ LEAST_DOCUMENTS = 30
 MOST_TERMS = 50
 SMOOTHING = 5
 #: A block of documents ends when it has so many (language, source, term) rows.
-BLOCK_TERMS = 200_000
+BLOCK_TERMS = 600_000
 #: Occurrences in longer texts are counted one by one, without a list of them.
 LIST_BYTES = 4 << 20
 #: Counts of terms by sources that the second scan holds at a time, and pairs of sources that it sums by itself.

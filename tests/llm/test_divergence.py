@@ -68,7 +68,7 @@ def result(df):
     return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in collect(df))
 
 
-@pytest.mark.parametrize(("least", "most", "block_terms", "cells"), [(30, 50, 200_000, 1 << 20), (2, 3, 10, 12), (1, 50, 40, 1), (1000, 5, 5, 100)])
+@pytest.mark.parametrize(("least", "most", "block_terms", "cells"), [(30, 50, 600_000, 1 << 20), (2, 3, 10, 12), (1, 50, 40, 1), (1000, 5, 5, 100)])
 def test_against_a_plain_computation(spark, least, most, block_terms, cells):
     rows = made(least, 300)
     found = divergence.audit(frame(spark, rows), least=least, most=most, block_terms=block_terms, cells=cells)
