@@ -43,6 +43,8 @@ SPACE = "▁"
 #: Characters and rows of a block of documents, and characters of a text that are aligned at a time.
 BLOCK_CHARS = 4 << 20
 BLOCK_ROWS = 20_000
+#: Characters of new chunks that are aligned as one text.
+LEARNED_CHARS = 256 << 10
 #: Chunks that a worker remembers.
 REMEMBERED = 300_000
 #: Both vocabularies have fewer ids: a pair is A's id times this, and B's.
@@ -166,7 +168,14 @@ class Memory:
         get = self.number.get
         found = list(map(get, chunks))
         if None in found:
-            self.learn(list(dict.fromkeys(c for c, k in zip(chunks, found, strict=True) if k is None)))
+            new, chars = [], 0
+            for c in dict.fromkeys(c for c, k in zip(chunks, found, strict=True) if k is None):
+                new.append(c)
+                chars += len(c)
+                if chars > LEARNED_CHARS:
+                    self.learn(new)
+                    new, chars = [], 0
+            self.learn(new)
             found = list(map(get, chunks))
         return np.array(found, dtype=np.int64)
 
