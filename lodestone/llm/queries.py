@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, divergence, langid, lpf, media, mixing, packing, secrets_cnn, sharding, simhash, vptree, warc
+from . import alignment, divergence, identifiers, langid, lpf, media, mixing, packing, secrets_cnn, sharding, simhash, vptree, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_vantage_point_trees": vptree.query,
     "op10_entropy_balancing": mixing.query,
     "op11_token_alignment": alignment.query,
+    "op12_bootstrapped_identifiers": identifiers.query,
     "op13_source_divergence": divergence.query,
 }
 
