@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
 from .sources import python_code, repository, sinks
+from .sources.snapshots import SnapshotTable
 
 Model = Callable[[str], str]
+TABLES = ("files", "commits", "commit_files", "issues", "symbols", "edges")
 
 
 @dataclass
@@ -43,6 +45,17 @@ class Repository:
         info = {"id": repo_id, "url": url, "name": path.rstrip("/").rsplit("/", 1)[-1], "default_branch": branch, "head_sha": sha}
         return cls(spark, info, files, commits, changes, repository.parse_issues(raw, repo_id), symbols, edges, model)
 
+    def store(self, folder: str) -> None:
+        """Keep the tables below a folder; each is replaced at once for this repository alone."""
+        for name in TABLES:
+            SnapshotTable(self.spark, f"{folder}/{name}").replace(getattr(self, name), [self.info["id"]])
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, info: dict, model: Model | None = None) -> Repository:
+        """A repository that store kept."""
+        tables = {name: SnapshotTable(spark, f"{folder}/{name}").read(values=[info["id"]]) for name in TABLES}
+        return cls(spark, info, **tables, model=model)
+
     def status(self) -> dict:
         return {"counts": {n: getattr(self, n).count() for n in ("files", "commits", "issues", "symbols", "edges")}, "model": self.model is not None, "repo": self.info}
 

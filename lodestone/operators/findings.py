@@ -145,8 +145,10 @@ def refusal(findings: DataFrame, finding_id: int) -> int | None:
 
 def ticketed(findings: DataFrame, tickets: DataFrame) -> DataFrame:
     """Findings that tickets(id, jira_url) were made for are ticketed and know where; others stay."""
-    rows = findings.drop("jira_url").join(tickets.select("id", "jira_url"), "id", "left") if "jira_url" in findings.columns else findings.join(tickets.select("id", "jira_url"), "id", "left")
-    return rows.withColumn("status", F.when(F.col("jira_url").isNotNull(), "ticketed").otherwise(F.col("status")))
+    made = F.col("__url").isNotNull()
+    rows = findings.join(tickets.select("id", F.col("jira_url").alias("__url")), "id", "left")
+    old = F.col("jira_url") if "jira_url" in findings.columns else F.lit(None).cast("string")
+    return rows.withColumn("status", F.when(made, "ticketed").otherwise(F.col("status"))).withColumn("jira_url", F.coalesce("__url", old)).drop("__url")
 
 
 def snippet(content: str | None, start: int, end: int, most: int = SNIPPET_LINES) -> str:

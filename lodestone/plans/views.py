@@ -311,7 +311,7 @@ def _(spark, d):
     rows = S.read(spark, d, "customer").select(F.col("c_custkey").alias("v"))
     sinks.replace_rows(rows.crossJoin(spark.createDataFrame([(1,), (2,)], "repo_id int")), path)  # two rows
     sinks.replace_rows(rows.where("v % 3 = 0").select((F.col("v") * 10).alias("v"), F.lit(1).alias("repo_id")), path)
-    return spark.read.parquet(path).groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+    return sinks.read_rows(spark, path).groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
 
 @register("b02_replace_symbols", "SELECT 'symbols' AS entity, repo_id, count(*) AS n FROM (SELECT 2 AS repo_id, id FROM symbols UNION ALL SELECT 1, id FROM symbols WHERE id % 2 = 0) GROUP BY repo_id UNION ALL SELECT 'edges', 2, count(*) FROM edges", *GRAPH)
@@ -322,7 +322,7 @@ def _(spark, d):
         sinks.replace_rows(symbols.withColumn("repo_id", F.lit(repo)), at)
         sinks.replace_rows(edges.withColumn("repo_id", F.lit(repo)), to)
     sinks.replace_symbols(symbols.where("id % 2 = 0").withColumn("repo_id", F.lit(1)), 1, at, to)
-    counts = [spark.read.parquet(p).groupBy("repo_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "repo_id", "n") for name, p in (("symbols", at), ("edges", to))]
+    counts = [sinks.read_rows(spark, p).groupBy("repo_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "repo_id", "n") for name, p in (("symbols", at), ("edges", to))]
     return counts[0].unionByName(counts[1])
 
 
@@ -331,7 +331,7 @@ def _(spark, d):
     path, edges = new_folder(spark, "edges"), S.edges(spark, d)
     sinks.replace_rows(edges, path)
     sinks.replace_rows(edges.where("edge_type = 'call'"), path)
-    return spark.read.parquet(path).groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("tenths").alias("tenths"))
+    return sinks.read_rows(spark, path).groupBy("repo_id").agg(F.count("*").alias("n"), F.sum("tenths").alias("tenths"))
 
 
 @register("b07_conversations", "SELECT conv_id, count(*) AS turns FROM conversations WHERE conv_id % 5 <> 0 GROUP BY conv_id UNION ALL SELECT 1000000, 1")
@@ -340,7 +340,7 @@ def _(spark, d):
     sinks.append_rows(S.read(spark, d, "conversations").select(F.lit(1).alias("repo_id"), "conv_id", "turn"), path)
     sinks.append_rows(spark.createDataFrame([(1, 1_000_000, 0)], "repo_id int, conv_id long, turn long"), path)
     sinks.delete_rows(spark, path, "conv_id % 5 = 0 and conv_id < 1000000")
-    return spark.read.parquet(path).groupBy("conv_id").agg(F.count("*").alias("turns"))
+    return sinks.read_rows(spark, path).groupBy("conv_id").agg(F.count("*").alias("turns"))
 
 
 @register("b09_page_cache", "SELECT page_id % 5 AS repo_id, 's' || (page_id % 9) AS head_sha, arg_max(md5(html), page_id) AS md5 FROM pages WHERE page_id % 5 < 2 GROUP BY ALL")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,15 +12,25 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import engine, providers
 from .engine import Repository
 from .functions import paths as P
-from .operators import findings
+from .lineage import new_folder
+from .operators import findings, mining
 from .sources import repository, sinks
+from .sources.snapshots import SnapshotTable
 
 # How many conversations a list shows, and their kinds.
 LISTED = 40
 KINDS = ("investigate", "codemap")
 FINDING = "id long, file_path string, start_line long, end_line long, category string, severity string, title string, description string, suggested_fix string, status string, jira_url string, head_sha string"
+#: The service's own tables: their columns, and the column whose values are kept apart.
+STATE = {
+    "repos": ("id long, url string, name string, default_branch string, head_sha string", None),
+    "jobs": ("id string, kind string, target string, status string, step string, error string, result string, started timestamp", None),
+    "findings": (FINDING + ", repo_id long", "repo_id"),
+    "conversations": ("id long, repo_id long, kind string, question string, result string, created_at timestamp", "repo_id"),
+}
 
 
 class Refused(Exception):
@@ -39,32 +50,59 @@ class Job:
     step: str = ""
     error: str | None = None
     result: dict = field(default_factory=dict)
+    started: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
 
 
 class Service:
     """Ingests repositories into `folder` and answers for the one ingested last.
 
+    What it knows (repositories with their tables, jobs, findings, conversations) is in snapshot tables
+    below `state`, a folder that driver and executors share: a service that is started there later knows
+    it too, and jobs that had not ended are then in error. One service at a time writes there. Without
+    `state` a new folder below the shared one is taken.
+
     open_: (url, token) to the local path of a working tree; run: what starts a job's work, at once by
-    default. tracker: makes a ticket of a payload and returns its address.
+    default. tracker: makes a ticket of a payload and returns its address. model: what answers prompts;
+    or models: name to call, of which the first in the usual order (or `preferred`) is taken, tried again
+    when it fails, and its calls kept as rows.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, open_: Callable[[str, str | None], str] | None = None, run: Callable[[Callable[[], None]], None] | None = None, tracker: Callable[[str], str] | None = None, model: Callable[[str], str] | None = None):
-        self.spark, self.model, self.tracker = spark, model, tracker
+    def __init__(self, spark: SparkSession, folder: str, *, state: str | None = None, open_: Callable[[str, str | None], str] | None = None, run: Callable[[Callable[[], None]], None] | None = None, tracker: Callable[[str], str] | None = None, model: Callable[[str], str] | None = None, models: dict[str, Callable[[str], str] | None] | None = None, preferred: str | None = None):
+        self.spark, self.tracker, self.calls = spark, tracker, providers.Calls()
+        chosen = ("model", model) if model else providers.resolve(models or {}, preferred)
+        self.model = self.calls.watched(chosen[0], providers.retrying(chosen[1]) if model is None else model) if chosen else None
         self.open = open_ or (lambda url, token: repository.clone_or_open(url, folder, token))
         self.run = run or (lambda work: work())
-        self.kept: list[Repository] = []
-        self.jobs: dict[str, Job] = {}
-        self.found: dict[int, list[dict]] = {}
-        self.talks: list[dict] = []
+        self.state = (state or new_folder(spark, "service")).rstrip("/")
+        self.tables = {name: SnapshotTable(spark, f"{self.state}/{name}", by) for name, (_, by) in STATE.items()}
+        for name, table in self.tables.items():
+            if not table.exists():
+                table.replace(spark.createDataFrame([], STATE[name][0]))
+        open_jobs = F.col("status").isin("queued", "running")
+        if not self.tables["jobs"].read().where(open_jobs).isEmpty():
+            ended = F.when(open_jobs, "error").otherwise(F.col("status"))
+            error = F.when(open_jobs, "The service ended before the job did.").otherwise(F.col("error"))
+            self.tables["jobs"].update(lambda jobs: jobs.withColumn("error", error).withColumn("status", ended))
+        self.kept: dict[int, Repository] = {}
+
+    def _repository(self, info: dict) -> Repository:
+        if info["id"] not in self.kept:
+            self.kept[info["id"]] = Repository.load(self.spark, self.state, info, self.model)
+        return self.kept[info["id"]]
 
     def active(self) -> Repository:
-        if not self.kept:
+        row = mining.latest_repo(self.tables["repos"].read()).first()
+        if row is None:
             raise Refused(404, "No repository has been ingested yet.")
-        return max(self.kept, key=lambda r: r.info["id"])
+        return self._repository(row.asDict())
 
     def repos(self) -> list[dict]:
         """Every repository, the newest first."""
-        return [{**r.info, "counts": r.status()["counts"]} for r in sorted(self.kept, key=lambda r: -r.info["id"])]
+        return [{**r.asDict(), "counts": self._repository(r.asDict()).status()["counts"]} for r in self.tables["repos"].read().orderBy(F.desc("id")).collect()]
+
+    def telemetry(self) -> DataFrame:
+        """Calls of the model, their total and mean seconds, by name."""
+        return sinks.telemetry(self.calls.table(self.spark))
 
     def normalised(self, url: str) -> str:
         parts = urlsplit(url.strip())
@@ -72,16 +110,22 @@ class Service:
             raise Refused(422, "A repository needs a full http or https address.")
         return self.spark.range(1).select(P.normalise_repo_url(F.lit(url.strip())).alias("u")).first()["u"]
 
+    def _save(self, job: Job) -> None:
+        row = (job.id, job.kind, job.target, job.status, job.step, job.error, json.dumps(job.result), job.started)
+        self.tables["jobs"].merge(self.spark.createDataFrame([row], STATE["jobs"][0]), ["id"])
+
     def _start(self, job: Job, work: Callable[[Job], None], token: str | None = None) -> dict:
-        self.jobs[job.id] = job
+        self._save(job)
 
         def whole() -> None:
             job.status = "running"
+            self._save(job)
             try:
                 work(job)
                 job.status = "done"
             except Exception as e:
                 job.status, job.error = "error", repository.mask_token(str(e), token)
+            self._save(job)
 
         self.run(whole)
         return {"job_id": job.id, "status": job.status}
@@ -89,18 +133,29 @@ class Service:
     def add(self, url: str, token: str | None = None) -> dict:
         """Ingest a repository as a job; one that runs already for this address is returned instead."""
         address = self.normalised(url)
-        for job in self.jobs.values():
-            if (job.kind, job.target) == ("ingest", address) and job.status in ("queued", "running"):
-                return {"job_id": job.id, "status": job.status, "repo_url": address}
+        same = self.tables["jobs"].read().where((F.col("kind") == "ingest") & (F.col("target") == address) & F.col("status").isin("queued", "running"))
+        running = same.orderBy("started").first()
+        if running is not None:
+            return {"job_id": running["id"], "status": running["status"], "repo_url": address}
 
         def work(job: Job) -> None:
             job.step = "clone"
+            self._save(job)
             path = self.open(address, token)
             job.step = "ingest"
-            number = max([r.info["id"] for r in self.kept], default=0) + 1
-            same = [r for r in self.kept if r.info["url"] == address]
+            self._save(job)
+            repos = self.tables["repos"]
+            number = (repos.read().agg(F.max("id")).first()[0] or 0) + 1
             made = Repository.ingest(self.spark, path, url=address, repo_id=number, model=self.model)
-            self.kept = [r for r in self.kept if r not in same] + [made]
+            made.store(self.state)
+            new = self.spark.createDataFrame([tuple(made.info[c] for c in ("id", "url", "name", "default_branch", "head_sha"))], STATE["repos"][0])
+            old = [r["id"] for r in repos.read().where(F.col("url") == address).collect()]
+            # the repository is there, whole, from this commit on; only then do the tables of the one before go
+            repos.update(lambda rows: rows.where(F.col("url") != address).unionByName(new), kind="ingest")
+            for repo_id in old:
+                self.kept.pop(repo_id, None)
+                for name in engine.TABLES:
+                    sinks.delete_repository(self.spark, f"{self.state}/{name}", repo_id)
             job.result = {"repo_id": number}
 
         return {**self._start(Job("ingest", address), work, token), "repo_url": address}
@@ -110,9 +165,10 @@ class Service:
         return self.add(self.active().info["url"], token)
 
     def job(self, job_id: str) -> dict:
-        if job_id not in self.jobs:
+        row = self.tables["jobs"].read().where(F.col("id") == job_id).first()
+        if row is None:
             raise Refused(404, f"There is no job {job_id}.")
-        return dict(vars(self.jobs[job_id]))
+        return {**row.asDict(), "result": json.loads(row["result"])}
 
     def health(self, checks: dict[str, Callable[[], object]] | None = None) -> dict:
         """Whether Spark, the shared folder's file system and other dependencies answer."""
@@ -129,20 +185,24 @@ class Service:
     # findings
 
     def _table(self, repo: Repository) -> DataFrame:
-        rows = [tuple(f.get(c) for c in (x.split()[0] for x in FINDING.split(", "))) for f in self.found.get(repo.info["id"], [])]
-        return self.spark.createDataFrame(rows, FINDING).withColumn("repo_id", F.lit(repo.info["id"]))
+        return self.tables["findings"].read(values=[repo.info["id"]])
 
     def scan(self, scan_all: bool = False) -> dict:
         """Look for findings as a job; ticketed ones stay, all others are replaced."""
         repo = self.active()
 
         def work(job: Job) -> None:
-            new, notes = repo.scan(scan_all)
-            number = max([f["id"] for f in self.found.get(repo.info["id"], [])], default=0)
-            made = [{**f, "id": number + i, "status": "new", "head_sha": repo.info["head_sha"]} for i, f in enumerate(new, 1)]
-            kept = [f for f in self.found.get(repo.info["id"], []) if f["status"] == "ticketed"]
-            self.found[repo.info["id"]] = kept + made
-            job.result = {"found": len(made), "notes": notes}
+            found, notes = repo.scan(scan_all)
+            names = [x.split()[0] for x in FINDING.split(", ")]
+
+            def change(old: DataFrame) -> DataFrame:
+                number = old.agg(F.max("id")).first()[0] or 0
+                made = [{**f, "id": number + i, "status": "new", "head_sha": repo.info["head_sha"]} for i, f in enumerate(found, 1)]
+                rows = [(*[f.get(c) for c in names], repo.info["id"]) for f in made]
+                return findings.replace_findings(old, self.spark.createDataFrame(rows, STATE["findings"][0]))
+
+            self.tables["findings"].update(change, [repo.info["id"]], "scan")
+            job.result = {"found": len(found), "notes": notes}
 
         return self._start(Job("scan", repo.info["url"]), work)
 
@@ -157,7 +217,8 @@ class Service:
         refusal = findings.refusal(self._table(repo), finding_id)
         if refusal:
             raise Refused(refusal, "There is no such finding." if refusal == 404 else "The finding has a ticket and can't be dismissed.")
-        self.found[repo.info["id"]] = [{**f, "status": "dismissed"} if f["id"] == finding_id else f for f in self.found[repo.info["id"]]]
+        ids = self.spark.createDataFrame([(finding_id,)], "id long")
+        self.tables["findings"].update(lambda rows: findings.set_status(rows, ids, "dismissed"), [repo.info["id"]], "dismiss")
         return {"id": finding_id, "status": "dismissed"}
 
     def tickets(self, ids: list[int], project: str = "") -> dict:
@@ -170,8 +231,9 @@ class Service:
 
         def work(job: Job) -> None:
             chosen = self._table(repo).where(F.col("id").isin(ids) & (F.col("status") != "ticketed"))
-            made = {r["id"]: self.tracker(r["payload"]) for r in sinks.ticket_payloads(chosen, project).collect()}
-            self.found[repo.info["id"]] = [{**f, "status": "ticketed", "jira_url": made[f["id"]]} if f["id"] in made else f for f in self.found.get(repo.info["id"], [])]
+            made = [(r["id"], self.tracker(r["payload"])) for r in sinks.ticket_payloads(chosen, project).collect()]
+            tickets = self.spark.createDataFrame(made, "id long, jira_url string")
+            self.tables["findings"].update(lambda rows: findings.ticketed(rows, tickets), [repo.info["id"]], "ticket")
             job.result = {"created": len(made), "skipped": len(set(ids)) - len(made)}
 
         return self._start(Job("tickets", repo.info["url"]), work)
@@ -181,26 +243,38 @@ class Service:
     def save_conversation(self, kind: str, question: str, result: dict) -> int:
         if kind not in KINDS:
             raise Refused(422, f"A conversation is one of {', '.join(KINDS)}.")
-        number = max([t["id"] for t in self.talks], default=0) + 1
-        self.talks.append({"id": number, "repo_id": self.active().info["id"], "kind": kind, "question": question.strip(), "result": result, "created_at": datetime.now(timezone.utc)})
+        table, repo_id = self.tables["conversations"], self.active().info["id"]
+        number = (table.read().agg(F.max("id")).first()[0] or 0) + 1
+        row = (number, repo_id, kind, question.strip(), json.dumps(result, default=str), datetime.now(timezone.utc))
+        table.append(self.spark.createDataFrame([row], STATE["conversations"][0]))
         return number
 
     def conversations(self, kind: str, limit: int = LISTED) -> list[dict]:
         """The active repository's conversations of a kind, the newest first."""
-        own = [t for t in self.talks if t["repo_id"] == self.active().info["id"] and t["kind"] == kind]
-        return [{"id": t["id"], "question": t["question"], "created_at": t["created_at"].isoformat()} for t in sorted(own, key=lambda t: -t["id"])[:limit]]
+        own = self.tables["conversations"].read(values=[self.active().info["id"]]).where(F.col("kind") == kind)
+        return [{**r.asDict(), "created_at": r["created_at"].isoformat()} for r in own.orderBy(F.desc("id")).limit(limit).select("id", "question", "created_at").collect()]
 
     def conversation(self, number: int) -> dict:
-        for t in self.talks:
-            if t["id"] == number:
-                return {**{k: t[k] for k in ("id", "kind", "question", "result")}, "created_at": t["created_at"].isoformat()}
-        raise Refused(404, "There is no such conversation.")
+        row = self.tables["conversations"].read().where(F.col("id") == number).first()
+        if row is None:
+            raise Refused(404, "There is no such conversation.")
+        return {**{k: row[k] for k in ("id", "kind", "question")}, "result": json.loads(row["result"]), "created_at": row["created_at"].isoformat()}
 
     def delete_conversation(self, number: int) -> dict:
         self.conversation(number)
-        self.talks = [t for t in self.talks if t["id"] != number]
+        self.tables["conversations"].delete(f"id = {int(number)}")
         return {"deleted": number}
 
+    def investigate(self, question: str) -> dict:
+        """The active repository's answer, kept as a conversation."""
+        answer = self.active().investigate(question)
+        return {**answer, "conversation_id": self.save_conversation("investigate", question, answer)}
+
+    def codemap(self, question: str) -> dict:
+        """The active repository's code map for a question, kept as a conversation."""
+        answer = self.active().codemap(question)
+        return {**answer, "conversation_id": self.save_conversation("codemap", question, answer)}
+
     # pages
 
     def publish(self, pages: dict[str, dict], find: Callable[[str], str | None], create: Callable[[str, str], str], update: Callable[[str, str], None], attach: Callable[[str, str, bytes], None] | None = None) -> dict:

@@ -9,36 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import xml_escape
+from .snapshots import SnapshotTable
 
 SUMMARY_CHARS = 255
 
 
 def replace_rows(df: DataFrame, path: str) -> None:
-    """Replace the rows of the repositories in df, leaving the others' partitions alone."""
-    df.write.option("partitionOverwriteMode", "dynamic").partitionBy("repo_id").mode("overwrite").parquet(path)
+    """Replace the rows of the repositories in df; the others' files stay as they are."""
+    SnapshotTable(df.sparkSession, path).replace(df, [])
 
 
 def delete_repository(spark: SparkSession, path: str, repo_id: int) -> None:
     """Remove one repository's rows from a table that replace_rows wrote; the others are not touched."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repo_id={repo_id}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    SnapshotTable(spark, path).update(lambda rows: rows.limit(0), [repo_id], "delete")
 
 
 def replace_symbols(symbols: DataFrame, repo_id: int, symbols_path: str, edges_path: str) -> None:
     """Replace a repository's symbols; its edges, which name the old ones, go first."""
     delete_repository(symbols.sparkSession, edges_path, repo_id)
-    replace_rows(symbols, symbols_path)
+    SnapshotTable(symbols.sparkSession, symbols_path).replace(symbols, [repo_id])
 
 
 def append_rows(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("repo_id").parquet(path)
+    SnapshotTable(df.sparkSession, path).append(df)
 
 
 def delete_rows(spark: SparkSession, path: str, condition: str) -> None:
-    """Rewrite a table of conversations without the rows that satisfy the condition, through a copy."""
-    rest = spark.read.parquet(path).where(f"not coalesce({condition}, false)")
-    rest.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    """Remove the rows that satisfy the condition; readers see the table before it or after it."""
+    SnapshotTable(spark, path).delete(condition)
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that these functions wrote."""
+    return SnapshotTable(spark, path).read()
 
 
 def cached(cache: DataFrame | None, repo_id: int, sha: str) -> str | None:
@@ -109,4 +112,4 @@ def server_events(items: Iterable[dict]) -> Iterator[str]:
         yield f"data: {json.dumps(item)}\n\n"
 
 
-__all__ = ["append_rows", "cached", "cached_pages", "delete_repository", "delete_rows", "event_lines", "graph_html", "page_xhtml", "replace_rows", "replace_symbols", "server_events", "telemetry", "ticket_payloads", "xml_escape"]
+__all__ = ["append_rows", "cached", "cached_pages", "delete_repository", "delete_rows", "event_lines", "graph_html", "page_xhtml", "read_rows", "replace_rows", "replace_symbols", "server_events", "telemetry", "ticket_payloads", "xml_escape"]

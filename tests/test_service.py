@@ -50,7 +50,7 @@ def test_repositories_and_jobs(spark, service):
     assert [r["id"] for r in service.repos()] == [1] and service.repos()[0]["counts"]["files"] == 4
     assert refused(service.add, "git@host:o/r") == 422 and refused(service.add, "notaurl") == 422
     assert refused(service.job, "nope") == 404 and refused(Service(spark, "x").active) == 404
-    assert len(next(iter(service.jobs))) == 12
+    assert all(len(r["id"]) == 12 for r in service.tables["jobs"].read().collect())
 
 
 def test_a_running_job_is_returned_and_errors_are_masked(spark):
@@ -173,12 +173,46 @@ def test_embedders_ask_in_batches():
         providers.BatchingEmbedder(lambda t: [[1.0]], 2, 5, sleep=lambda s: None).embed(["a"])
 
 
-def test_telemetry():
-    log = providers.Telemetry()
-    assert log.summary() == {"calls": 0}
-    assert log.logged("m", lambda p: p * 2)("ab") == "abab"
-    log.record("m", "m", 10.4, 1, 2)
-    found = log.summary()
-    assert found["calls"] == 2 and found["total_out_chars"] == 6 and found["total_latency_ms"] >= 10
-    log.reset()
-    assert log.calls == []
+def test_calls_are_rows(spark):
+    log = providers.Calls()
+    assert log.table(spark).count() == 0
+    assert log.watched("m", lambda p: p * 2)("ab") == "abab"
+    (row,) = log.table(spark).collect()
+    assert (row["name"], row["sent"], row["received"]) == ("m", 2, 4) and row["seconds"] >= 0
+
+
+def test_a_later_service_knows_what_an_earlier_one_did(spark, tree, tmp_path):
+    """Repositories, jobs, findings and conversations outlive the process; a killed write changes nothing."""
+    state, waiting = f"file://{tmp_path}/state", []
+
+    def start(**options):
+        return Service(spark, "unused", state=state, open_=lambda url, token: tree, tracker=lambda payload: "https://t/1", **options)
+
+    one = start(models={"ollama": reply})
+    assert one.job(one.add("https://host.example/o/app")["job_id"])["result"] == {"repo_id": 1}
+    one.scan()
+    first = one.weaknesses()["weaknesses"][0]["id"]
+    one.dismiss(first)
+    talk = one.investigate("what does helper do")["conversation_id"]
+    assert [r["name"] for r in one.telemetry().collect()] == ["ollama"]
+    one.run = waiting.append
+    hanging = one.scan()["job_id"]
+    symbols = one.active().symbols.count()
+
+    two = start()
+    assert [(r["id"], r["url"], r["counts"]["files"]) for r in two.repos()] == [(1, "https://host.example/o/app", 4)]
+    assert two.active().symbols.count() == symbols and two.active().impact(1)["symbol"]["id"] == 1
+    assert {r["id"]: r["status"] for r in two.weaknesses()["weaknesses"]}[first] == "dismissed"
+    assert two.conversation(talk)["question"] == "what does helper do" and two.conversation(talk)["result"]["evidence"]
+    assert two.job(hanging)["status"] == "error" and "ended" in two.job(hanging)["error"]
+
+    table, before = two.tables["findings"], two.weaknesses()
+    commit, table.log.commit = table.log.commit, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt)
+    with pytest.raises(KeyboardInterrupt):
+        two.dismiss(before["weaknesses"][-1]["id"])
+    assert start().weaknesses() == before
+    table.log.commit = commit
+    two.dismiss(before["weaknesses"][-1]["id"])
+    assert {r["status"] for r in start().weaknesses()["weaknesses"]} == {"dismissed"}
+    assert two.job(two.refresh()["job_id"])["status"] == "done"
+    assert [r["id"] for r in start().repos()] == [2] and start().weaknesses()["weaknesses"] == []
