@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import new_folder
 from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
+from .operators.inverted import InvertedIndex
 from .sources import python_code, repository, sinks
 from .sources.snapshots import SnapshotTable
 
@@ -30,6 +32,8 @@ class Repository:
     edges: DataFrame
     model: Model | None = None
     traces: codemap.TraceCache = field(default_factory=codemap.TraceCache)
+    #: Where the search's indexes are, or will be.
+    folder: str | None = None
 
     @classmethod
     def ingest(cls, spark: SparkSession, path: str, *, url: str = "", repo_id: int = 1, issues: list[str] | None = None, max_commits: int | None = None, model: Model | None = None) -> Repository:
@@ -54,7 +58,7 @@ class Repository:
     def load(cls, spark: SparkSession, folder: str, info: dict, model: Model | None = None) -> Repository:
         """A repository that store kept."""
         tables = {name: SnapshotTable(spark, f"{folder}/{name}").read(values=[info["id"]]) for name in TABLES}
-        return cls(spark, info, **tables, model=model)
+        return cls(spark, info, **tables, model=model, folder=f"{folder}/index/{info['id']}")
 
     def status(self) -> dict:
         return {"counts": {n: getattr(self, n).count() for n in ("files", "commits", "issues", "symbols", "edges")}, "model": self.model is not None, "repo": self.info}
@@ -142,19 +146,42 @@ class Repository:
     def evidence(self) -> DataFrame:
         return retrieval.evidence_documents(self.files, self.commits, self.issues)
 
-    def search(self, text: str, streams: list[str] | None = None, k: int = 8) -> list[dict]:
-        """Hits over code and evidence, fused by rank."""
-        asked = self.spark.createDataFrame([(0, text)], "query_id int, text string")
-        lists, known = [], {}
+    def _code(self) -> DataFrame:
+        return self.symbols.where("kind <> 'import'").withColumn("id", F.col("id").cast("string"))
+
+    def _docs(self) -> DataFrame:
+        return self.evidence().withColumn("id", F.concat_ws(":", "stream", "ref_id"))
+
+    def index(self, name: str) -> InvertedIndex:
+        """The stored index of code or of evidence; it is made when it is asked for first."""
+        self.folder = self.folder or new_folder(self.spark, "index")
+        made = InvertedIndex(self.spark, f"{self.folder}/{name}")
+        if not made.log.versions():
+            if name == "code":
+                made.replace(self._code(), list(retrieval.CODE_FIELDS), facets=("kind",))
+            else:
+                made.replace(self._docs(), list(retrieval.EVIDENCE_FIELDS), facets=("stream",))
+        return made
+
+    def search_table(self, queries: DataFrame, streams: list[str] | None = None, k: int = 8, kind: str | None = None) -> DataFrame:
+        """(query_id, source, id, score, rank): hits of queries(query_id, text) over code and evidence, fused by rank.
+
+        streams: those to look in, all by default; kind: symbols of this kind alone.
+        """
+        lists = []
         if streams is None or "code" in streams:
-            code = self.symbols.where("kind <> 'import'").withColumn("id", F.col("id").cast("string"))
-            lists.append(retrieval.top_k(retrieval.bm25_fields(code, asked, retrieval.CODE_FIELDS), 15).withColumn("source", F.lit("code")))
-            known["code"] = code.select("id", F.concat_ws(":", "file_path", "start_line").alias("citation"), F.col("qualified_name").alias("title"), F.col("code").alias("body"))
-        docs = self.evidence().withColumn("id", F.concat_ws(":", "stream", "ref_id"))
-        docs = docs if streams is None else docs.where(F.col("stream").isin(streams))
-        lists.append(retrieval.top_k(retrieval.bm25_fields(docs, asked, retrieval.EVIDENCE_FIELDS), 15).withColumn("source", F.lit("evidence")))
-        known["evidence"] = docs.select("id", "citation", "title", F.col("text").alias("body"), "stream")
-        hits = retrieval.search_streams(lists, k).orderBy("rank").collect()
+            found = self.index("code").search(queries, retrieval.CODE_FIELDS, 15, None if kind is None else F.col("kind") == kind)
+            lists.append(found.withColumn("source", F.lit("code")))
+        where = None if streams is None else F.col("stream").isin(streams)
+        lists.append(self.index("evidence").search(queries, retrieval.EVIDENCE_FIELDS, 15, where).withColumn("source", F.lit("evidence")))
+        return retrieval.search_streams(lists, k)
+
+    def search(self, text: str, streams: list[str] | None = None, k: int = 8, kind: str | None = None) -> list[dict]:
+        """Hits of one question, the best first, with what they cite."""
+        asked = self.spark.createDataFrame([(0, text)], "query_id int, text string")
+        hits = self.search_table(asked, streams, k, kind).orderBy("rank").collect()
+        code = self._code().select("id", F.concat_ws(":", "file_path", "start_line").alias("citation"), F.col("qualified_name").alias("title"), F.col("code").alias("body"))
+        known = {"code": code, "evidence": self._docs().select("id", "citation", "title", F.col("text").alias("body"), "stream")}
         rows: dict[tuple[str, str], dict] = {}
         for source in {h["source"] for h in hits}:
             wanted = known[source].where(F.col("id").isin([h["id"] for h in hits if h["source"] == source]))

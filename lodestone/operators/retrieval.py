@@ -50,41 +50,6 @@ def _score(found: DataFrame, lengths: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(weighted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
-class StoredIndex:
-    """Postings of several fields, kept as tables below a folder: replaced whole, searched without texts."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-
-    def replace(self, docs: DataFrame, fields: list[str], *, key: str = "id", facets: tuple[str, ...] = ()) -> None:
-        """Load the documents anew: their postings by field, and facets to filter by."""
-        ids = F.col(key).cast("string").alias("id")
-        out = None
-        for field in fields:
-            terms = T.terms(F.coalesce(F.col(field), F.lit("")))
-            marked = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms")))
-            words = docs.select(ids, terms.alias("terms")).select("id", F.size("terms").alias("dl"), marked.alias("term"))
-            part = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).withColumn("field", F.lit(field))
-            out = part if out is None else out.unionByName(part)
-        out.write.partitionBy("field").mode("overwrite").parquet(f"{self.folder}/postings")
-        docs.select(ids, *facets).write.mode("overwrite").parquet(f"{self.folder}/facets")
-
-    def search(self, queries: DataFrame, boosts: dict[str, float], k: int, where: Column | None = None) -> DataFrame:
-        """The k best of each query(query_id, text) by best field; `where` filters facets, not the statistics."""
-        asked = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-        postings = self.spark.read.parquet(f"{self.folder}/postings")
-        out = None
-        for field, boost in boosts.items():
-            own = postings.where(F.col("field") == field).drop("field")
-            found = own.join(asked.select("term").distinct(), "term", "left_semi")
-            part = _score(found, own.where("term is null and dl > 0"), asked).withColumn("score", F.col("score") * boost)
-            out = part if out is None else out.unionByName(part)
-        best = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-        if where is not None:
-            best = best.join(self.spark.read.parquet(f"{self.folder}/facets").where(where).select("id"), "id", "left_semi")
-        return top_k(best, k)
-
-
 #: Three words with what separates them, wherever they begin.
 WORD_RUNS = r"(?=(\S+\s+\S+\s+\S+))\S+\s*"
 

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..lineage import new_folder
 from ..operators import evaluation, findings, graph, mining, retrieval, views, wiki
+from ..operators.inverted import InvertedIndex
 from ..sources import repository, sinks
 from ..sources import tables as S
 from .catalogue import COUPLING, DEGREE, ENDS, FILES, GRAPH, HISTORY, HOT, LINKS, START, _files, _recursive, register
@@ -777,58 +778,67 @@ def _best_field_sql(fields: dict[str, float]) -> str:
     return parts + f",\nbf AS (SELECT query_id, id, round(max(score), 6) AS score FROM ({union}) GROUP BY ALL)"
 
 
-_CODE_BOOSTS = {"qualified_name": 4.0, "name": 3.0, "code": 1.0}
 _QX = f"qx AS (SELECT n_nationkey AS query_id, unnest(list_distinct({_TERMS.format('q')})) AS term FROM (SELECT n_nationkey, (SELECT name || ' def brand' || n_nationkey FROM symbols WHERE id = n_nationkey * 3) AS q FROM nation))"
-_CODE = (S.SYMBOLS_SQL, "fx AS (SELECT CAST(id AS VARCHAR) AS id, kind, qualified_name, replace(name, '_', ' ') AS name, code FROM symbols)", _QX, _best_field_sql(_CODE_BOOSTS))
+_CODE = (
+    S.SYMBOLS_SQL,
+    """fx AS (SELECT CAST(id AS VARCHAR) AS id, kind, qualified_name, replace(name, '_', ' ') AS name, code, 'Part of ' || file_path AS docstring,
+  'def ' || name || '(self, ' || lower(p_type) || ': int) -> ' || lower(replace(p_brand, '#', '')) AS signature FROM symbols JOIN part ON p_partkey = id)""",
+    _QX,
+    _best_field_sql(retrieval.CODE_FIELDS),
+)
 
 
 def _code_docs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     symbols = S.symbols(spark, d)
-    docs = symbols.select(F.col("id").cast("string").alias("id"), "kind", "qualified_name", F.replace("name", F.lit("_"), F.lit(" ")).alias("name"), "code")
+    name = F.replace("name", F.lit("_"), F.lit(" ")).alias("name")
+    docs = symbols.select(F.col("id").cast("string").alias("id"), "kind", "qualified_name", name, "code", "signature", F.concat(F.lit("Part of "), "file_path").alias("docstring"))
     nation = S.read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"))
     asked = nation.join(symbols.select("id", "name"), F.col("id") == F.col("query_id") * 3)
     return docs, asked.select("query_id", F.concat_ws(" ", "name", F.lit("def"), F.concat(F.lit("brand"), F.col("query_id").cast("string"))).alias("text"))
 
 
+def _code_index(spark: SparkSession, d: str) -> tuple[InvertedIndex, DataFrame]:
+    docs, asked = _code_docs(spark, d)
+    index = InvertedIndex(spark, new_folder(spark, "code-index"))
+    index.replace(docs, list(retrieval.CODE_FIELDS), facets=("kind",))
+    return index, asked
+
+
 @register("j01_code_fields_topk", "SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bf) WHERE rank <= 10", *_CODE)
 def _(spark, d):
-    docs, asked = _code_docs(spark, d)
-    return retrieval.top_k(retrieval.bm25_fields(docs, asked, _CODE_BOOSTS), 10).select("query_id", "id", *_long("rank"))
+    index, asked = _code_index(spark, d)
+    return index.search(asked, retrieval.CODE_FIELDS, 10).select("query_id", "id", *_long("rank"))
 
 
 @register("j05_kind_filtered", "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bf JOIN fx USING (id) WHERE kind = 'class') WHERE rank <= 10", *_CODE)
 def _(spark, d):
-    docs, asked = _code_docs(spark, d)
-    index = retrieval.StoredIndex(spark, new_folder(spark, "code-index"))
-    index.replace(docs, list(_CODE_BOOSTS), facets=("kind",))
-    return index.search(asked, _CODE_BOOSTS, 10, F.col("kind") == "class").select("query_id", "id", *_long("rank"))
+    index, asked = _code_index(spark, d)
+    return index.search(asked, retrieval.CODE_FIELDS, 10, F.col("kind") == "class").select("query_id", "id", *_long("rank"))
 
 
-_TEXT_BOOSTS = {"title": 2.0, "text": 1.0}
 _EVIDENCE = (
-    "fx AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS stream, lang || ' ' || source AS title, left(text, 400) AS text FROM documents)",
-    f"qx AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('q')})) AS term FROM (SELECT item_id, left(text, 40) || ' en src3' AS q FROM benchmark))",
-    _best_field_sql(_TEXT_BOOSTS),
+    "fx AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS stream, lang || ' ' || source AS title, text FROM documents)",
+    f"qx AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('q')})) AS term FROM (SELECT item_id, text || ' en src3' AS q FROM benchmark))",
+    _best_field_sql(retrieval.EVIDENCE_FIELDS),
 )
 
 
 @register("j02_stream_filtered", "SELECT query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bf JOIN fx USING (id) WHERE stream IN ('src1', 'src3')) WHERE rank <= 10", *_EVIDENCE)
 def _(spark, d):
-    docs = S.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("stream"), F.concat_ws(" ", "lang", "source").alias("title"), F.left("text", F.lit(400)).alias("text"))
-    asked = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.left("text", F.lit(40)), F.lit(" en src3")).alias("text"))
-    index = retrieval.StoredIndex(spark, new_folder(spark, "evidence-index"))
-    index.replace(docs, list(_TEXT_BOOSTS), facets=("stream",))
-    return index.search(asked, _TEXT_BOOSTS, 10, F.col("stream").isin("src1", "src3")).select("query_id", "id", *_long("rank"))
+    docs = S.read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("stream"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
+    asked = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" en src3")).alias("text"))
+    index = InvertedIndex(spark, new_folder(spark, "evidence-index"))
+    index.replace(docs, list(retrieval.EVIDENCE_FIELDS), facets=("stream",))
+    return index.search(asked, retrieval.EVIDENCE_FIELDS, 10, F.col("stream").isin("src1", "src3")).select("query_id", "id", *_long("rank"))
 
 
 @register("b04_stored_postings", f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def _(spark, d):
-    folder = new_folder(spark, "index")
-    index = retrieval.StoredIndex(spark, folder)
+    index = InvertedIndex(spark, new_folder(spark, "index"))
     docs = S.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     index.replace(docs.limit(0), ["text"])
     index.replace(docs, ["text"])
-    return spark.read.parquet(f"{folder}/postings").where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return index.postings().select("term", F.inline("docs")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 _LISTS = "la AS (SELECT c_nationkey AS query_id, c_custkey % 30 AS id, min(c_custkey) AS k FROM customer GROUP BY ALL), l1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY k) AS rank FROM la), l2 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY -k) AS rank FROM la WHERE id % 2 = 0)"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import findings, graph, mining, retrieval, views
+from lodestone.operators import findings, graph, inverted, mining, retrieval, views
 
 
 def edges(spark, *pairs):
@@ -56,7 +56,7 @@ def test_texts_that_contain_items(spark):
 
 def test_stored_postings_are_replaced_and_filtered(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b", "x", "c"), (2, "a a", "y", "c"), (3, "b", "a", "d")], "id long, title string, text string, kind string")
-    index = retrieval.StoredIndex(spark, f"file://{tmp_path}/index")
+    index = inverted.InvertedIndex(spark, f"file://{tmp_path}/index")
     index.replace(docs.limit(1), ["title", "text"], facets=("kind",))
     index.replace(docs, ["title", "text"], facets=("kind",))
     asked = spark.createDataFrame([(0, "a")], "query_id int, text string")
