@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .lineage import new_folder
 from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
 from .operators.inverted import InvertedIndex
+from .operators.vector_index import VectorIndex
 from .sources import python_code, repository, sinks
 from .sources.snapshots import SnapshotTable
 
@@ -34,6 +35,8 @@ class Repository:
     traces: codemap.TraceCache = field(default_factory=codemap.TraceCache)
     #: Where the search's indexes are, or will be.
     folder: str | None = None
+    #: What makes vectors of texts; without it searches go by words alone.
+    embedder: retrieval.Embedder | None = None
 
     @classmethod
     def ingest(cls, spark: SparkSession, path: str, *, url: str = "", repo_id: int = 1, issues: list[str] | None = None, max_commits: int | None = None, model: Model | None = None) -> Repository:
@@ -163,10 +166,25 @@ class Repository:
                 made.replace(self._docs(), list(retrieval.EVIDENCE_FIELDS), facets=("stream",))
         return made
 
+    def vectors(self, name: str) -> VectorIndex:
+        """The stored index of the vectors of code or of evidence; it is made when it is asked for first."""
+        self.folder = self.folder or new_folder(self.spark, "index")
+        made = VectorIndex(self.spark, f"{self.folder}/{name}-vectors")
+        if not made.log.versions():
+            if name == "code":
+                facets = self._code().select("id", "kind")
+                texts = retrieval.symbol_embedding_text(self.symbols).select(F.col("id").cast("string").alias("id"), "text")
+            else:
+                facets = self._docs().select("id", "stream")
+                texts = self._docs().select("id", F.concat_ws("\n", "title", "text").alias("text"))
+            made.replace(retrieval.embed(texts, self.embedder).join(facets, "id"), facets=tuple(c for c in facets.columns if c != "id"))
+        return made
+
     def search_table(self, queries: DataFrame, streams: list[str] | None = None, k: int = 8, kind: str | None = None) -> DataFrame:
         """(query_id, source, id, score, rank): hits of queries(query_id, text) over code and evidence, fused by rank.
 
-        streams: those to look in, all by default; kind: symbols of this kind alone.
+        By words, and by vectors where there is an embedder. streams: those to look in, all by default;
+        kind: symbols of this kind alone.
         """
         lists = []
         if streams is None or "code" in streams:
@@ -174,6 +192,11 @@ class Repository:
             lists.append(found.withColumn("source", F.lit("code")))
         where = None if streams is None else F.col("stream").isin(streams)
         lists.append(self.index("evidence").search(queries, retrieval.EVIDENCE_FIELDS, 15, where).withColumn("source", F.lit("evidence")))
+        if self.embedder is not None:
+            asked = retrieval.embed(queries, self.embedder, key="query_id").select(F.col("id").cast(queries.schema["query_id"].dataType).alias("query_id"), "vector")
+            if streams is None or "code" in streams:
+                lists.append(self.vectors("code").search(asked, 15, None if kind is None else F.col("kind") == kind).withColumn("source", F.lit("code")))
+            lists.append(self.vectors("evidence").search(asked, 15, where).withColumn("source", F.lit("evidence")))
         return retrieval.search_streams(lists, k)
 
     def search(self, text: str, streams: list[str] | None = None, k: int = 8, kind: str | None = None) -> list[dict]:

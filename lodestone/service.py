@@ -17,6 +17,7 @@ from .engine import Repository
 from .functions import paths as P
 from .lineage import new_folder
 from .operators import findings, mining
+from .operators.retrieval import Embedder
 from .sources import repository, sinks
 from .sources.snapshots import SnapshotTable
 
@@ -64,10 +65,11 @@ class Service:
     open_: (url, token) to the local path of a working tree; run: what starts a job's work, at once by
     default. tracker: makes a ticket of a payload and returns its address. model: what answers prompts;
     or models: name to call, of which the first in the usual order (or `preferred`) is taken, tried again
-    when it fails, and its calls kept as rows.
+    when it fails, and its calls kept as rows. embedder: what makes vectors of texts, for searches by them.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, state: str | None = None, open_: Callable[[str, str | None], str] | None = None, run: Callable[[Callable[[], None]], None] | None = None, tracker: Callable[[str], str] | None = None, model: Callable[[str], str] | None = None, models: dict[str, Callable[[str], str] | None] | None = None, preferred: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str, *, state: str | None = None, open_: Callable[[str, str | None], str] | None = None, run: Callable[[Callable[[], None]], None] | None = None, tracker: Callable[[str], str] | None = None, model: Callable[[str], str] | None = None, models: dict[str, Callable[[str], str] | None] | None = None, preferred: str | None = None, embedder: Embedder | None = None):
+        self.embedder = embedder
         self.spark, self.tracker, self.calls = spark, tracker, providers.Calls()
         chosen = ("model", model) if model else providers.resolve(models or {}, preferred)
         self.model = self.calls.watched(chosen[0], providers.retrying(chosen[1]) if model is None else model) if chosen else None
@@ -88,6 +90,7 @@ class Service:
     def _repository(self, info: dict) -> Repository:
         if info["id"] not in self.kept:
             self.kept[info["id"]] = Repository.load(self.spark, self.state, info, self.model)
+            self.kept[info["id"]].embedder = self.embedder
         return self.kept[info["id"]]
 
     def active(self) -> Repository:

@@ -6,6 +6,7 @@ import subprocess
 import pytest
 
 from lodestone import providers
+from lodestone.operators import retrieval
 from lodestone.service import Refused, Service
 
 FILES = {
@@ -144,6 +145,28 @@ def test_operations_of_the_active_repository(service):
     assert hits and {"stream", "citation", "title", "body", "score"} <= set(hits[0])
 
 
+def test_search_by_words_and_vectors(spark, service):
+    """Many questions at once; with an embedder the vectors' lists are fused too, and indexes are made once."""
+    repo = service.active()
+    asked = spark.createDataFrame([(1, "helper twice"), (2, "first commit"), (3, "nothing_like_this")], "query_id int, text string")
+    words = repo.search_table(asked).collect()
+    assert {r["query_id"] for r in words} == {1, 2}
+    one = [(h["citation"], round(h["score"], 9)) for h in repo.search("helper twice")]
+    assert len(one) == sum(r["query_id"] == 1 for r in words)
+    assert {r["id"] for r in repo.search_table(asked, ["code"], kind="class").where("source = 'code'").collect()} <= {str(r["id"]) for r in repo.symbols.where("kind = 'class'").collect()}
+    repo.embedder = retrieval.HashingEmbedder(32)
+    try:
+        both = repo.search_table(asked, k=50)
+        assert {r["query_id"] for r in both.collect()} == {1, 2, 3}
+        ids = {(r["query_id"], r["source"], r["id"]) for r in both.collect()}
+        assert {(r["query_id"], r["source"], r["id"]) for r in words} <= ids
+        made = repo.vectors("code").log.versions()
+        repo.search("helper")
+        assert repo.vectors("code").log.versions() == made == [1] and repo.index("code").log.versions() == [1]
+    finally:
+        repo.embedder = None
+
+
 def test_providers_resolve_in_order_and_try_again():
     calls, waits = [], []
 
