@@ -26,7 +26,7 @@ from .common import locate, new_dir
 
 #: Vectors in a shard, points in a leaf, queries in a block.
 SHARD_ROWS = 20_000
-LEAF = 512
+LEAF = 32
 BLOCK = 512
 #: More than the rounding error of a distance between unit vectors.
 SLACK = 1e-7
@@ -63,11 +63,14 @@ class VPTree:
         self.x, self.ids = vectors[keep], ids[keep]
         self.u = _unit(self.x)
         self.rng = np.random.default_rng(seed)
+        #: Pairs of a query and a vector that were compared, and vantage points.
+        self.scanned = self.vantages = 0
         self.root = self._build(np.arange(len(self.x)))
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= LEAF:
             return rows
+        self.vantages += 1
         vantage = rows[self.rng.integers(len(rows))]
         d = self._distance(self.u[rows] @ self.u[vantage])
         order = np.argsort(d, kind="stable")
@@ -109,6 +112,7 @@ class VPTree:
         self._visit(node, active[bound * self.factor <= worst + SLACK])
 
     def _scan(self, rows: np.ndarray, active: np.ndarray) -> None:
+        self.scanned += len(active) * len(rows)
         near = self.qu[active] @ self.u[rows].T
         a, b = np.nonzero((near >= self.score[active, -1:] - 1e-9) & (self.own[active][:, None] != self.ids[rows][None]))
         if not len(a):

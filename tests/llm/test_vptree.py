@@ -67,6 +67,18 @@ def test_factor_one_is_exact_and_larger_ones_trade_recall(monkeypatch, leaf):
     assert 0.3 < recall <= 1
 
 
+def test_small_shards_have_inner_nodes_too():
+    """A shard of the smallest registered run is a tree, not one leaf, and clustered vectors are pruned."""
+    rng = np.random.default_rng(3)
+    tree = vptree.VPTree(rng.normal(size=(125, 64)), np.arange(125), 6)
+    assert tree.vantages >= 3
+    centres = rng.normal(size=(20, 6))
+    x = centres[rng.integers(0, 20, 1500)] + 0.05 * rng.normal(size=(1500, 6))
+    tree = vptree.VPTree(x, np.arange(1500), 6)
+    tree.search(x[:40], np.arange(40), 5)
+    assert tree.vantages >= 40 and tree.scanned < 0.25 * 40 * 1500
+
+
 def test_equals_sql_on_the_smallest_tables(spark):
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
