@@ -20,8 +20,8 @@ where equal strings are sure to meet:
    these meet by their own hashes, spread over all buckets.
 6. Each frame merges what was found for it.
 
-Equality in steps 2, 3 and 5 is that of 128 bits of hashes of the same bytes (for 10^13 of them, a
-wrong match has a chance below 10^-12); in step 4, of the bytes.
+Equality in steps 2, 3 and 5 is that of XXH3's 128 bits over the bytes of a context or window, whatever
+the anchor's hash is (for 10^13 of them, a wrong match has a chance below 10^-12); in step 4, of the bytes.
 
 Defined results: null text is empty; null doc_ids come first; rows with equal doc_id come in the
 order of their frames and places there; documents shorter than `length` lose nothing; other columns
@@ -80,8 +80,8 @@ class Anchors:
         self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, _MOD), n)
 
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of anchors, their hashes and their contexts' hashes. starts, ends: the documents'."""
-        out: list[list[np.ndarray]] = [[], [], []]
+        """Positions of anchors, their hashes, and 128 bits of their contexts as two columns. starts, ends: the documents'."""
+        out: list[list[np.ndarray]] = [[], []]
         length, k, side = self.length, self.k, self.side
         last_start = ends - length  # a document's windows start at starts..last_start
         for a in range(0, len(data), BLOCK):
@@ -110,17 +110,22 @@ class Anchors:
                 continue
             pick = np.unique((best[:n][ok] & low).astype(np.int64))
             where = pick + a
-            own = np.searchsorted(starts, where, side="right") - 1
-            left, right = np.maximum(starts[own], where - side), np.minimum(ends[own], where + length)
-            context = (prefix[right - lo] - prefix[left - lo]) * self.down[left - lo]
-            context = _mix(context + (where - left).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + (right - where).astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
-            for column, x in zip(out, (where, kmer[pick], context), strict=True):
+            for column, x in zip(out, (where, kmer[pick]), strict=True):
                 column.append(x)
         if not out[0]:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        where, h, c = (np.concatenate(x) for x in out)
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        where, h = (np.concatenate(x) for x in out)
         where, first = np.unique(where, return_index=True)
-        return where, h[first], c[first]
+        own = np.searchsorted(starts, where, side="right") - 1
+        left, right = np.maximum(starts[own], where - side), np.minimum(ends[own], where + length)
+        return where, h[first], digests(data, left, right)
+
+
+def digests(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """128 bits of the bytes of each range, as two columns."""
+    raw = memoryview(data)
+    found = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(left.tolist(), right.tolist(), strict=True)])
+    return np.frombuffer(found, dtype="<u8").reshape(-1, 2)
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -273,7 +278,6 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(run), _FRAME_COLUMNS)
 
 
-_ENTRY = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<i8")]
 _ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("frame", pa.int64()), ("entries", pa.binary())])
 #: Kinds of rows: anchors or windows to compare; places of anchors whose context repeats; places of
 #: anchors whose context is wanted, with the anchor's hash; covered ranges; places of hot anchors,
@@ -299,8 +303,8 @@ def _anchor_rows(buckets: int, length: int, k: int):
                 own = np.searchsorted(starts, where, side="right") - 1
                 turn = np.empty(len(ids), dtype=np.int64)
                 turn[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                order = np.lexsort((where, turn[own], c, h))
-                first = _first_of(h[order], c[order])
+                order = np.lexsort((where, turn[own], c[:, 1], c[:, 0], h))
+                first = _first_of(h[order], c[order, 0], c[order, 1])
                 rows = []
                 if not first.all():
                     rows.append((row["frame"] % buckets, REPEATS, row["frame"], where[order[~first]].astype("<i8").tobytes()))
@@ -311,7 +315,7 @@ def _anchor_rows(buckets: int, length: int, k: int):
                 for part in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(bucket)) + 1) if len(keep) else []:
                     i = np.sort(keep[part])
                     # column by column: so the shuffle's compression sees the documents' runs
-                    entries = h[i].astype("<u8").tobytes() + c[i].astype("<u8").tobytes() + ids[own[i]].astype("<i8").tobytes() + where[i].astype("<u4").tobytes()
+                    entries = _entries(h[i], c[i], ids[own[i]], where[i])
                     rows.append((int(bucket[part[0]]), COMPARE, row["frame"], entries))
                 if rows:
                     yield _rows_batch(rows)
@@ -320,14 +324,18 @@ def _anchor_rows(buckets: int, length: int, k: int):
     return run
 
 
-_BYTES = 28
+_BYTES = 36
+
+
+def _entries(h: np.ndarray, c: np.ndarray, doc: np.ndarray, at: np.ndarray) -> bytes:
+    return b"".join(x.astype(kind).tobytes() for x, kind in ((h, "<u8"), (c[:, 0], "<u8"), (c[:, 1], "<u8"), (doc, "<i8"), (at, "<u4")))
 
 
 def _compare(repeated: int, contexts: bool):
     """A bucket: settle repeated pairs; with contexts, ask for those of anchors that have several."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, h, c, doc, frame, at = [], [], [], [], [], []
+        out, h, c, e, doc, frame, at = [], [], [], [], [], [], []
         for kind, of, blob in zip(table.column("kind").to_pylist(), table.column("frame").to_pylist(), table.column("entries").to_pylist(), strict=True):
             if kind != COMPARE:
                 out.append((kind, of, blob))
@@ -335,8 +343,9 @@ def _compare(repeated: int, contexts: bool):
             n = len(blob) // _BYTES
             h.append(np.frombuffer(blob, "<u8", n))
             c.append(np.frombuffer(blob, "<u8", n, 8 * n))
-            doc.append(np.frombuffer(blob, "<i8", n, 16 * n))
-            at.append(np.frombuffer(blob, "<u4", n, 24 * n).astype(np.int64))
+            e.append(np.frombuffer(blob, "<u8", n, 16 * n))
+            doc.append(np.frombuffer(blob, "<i8", n, 24 * n))
+            at.append(np.frombuffer(blob, "<u4", n, 32 * n).astype(np.int64))
             frame.append(np.full(n, of, dtype=np.int64))
 
         def tell(kind: int, pick: np.ndarray) -> None:
@@ -347,10 +356,10 @@ def _compare(repeated: int, contexts: bool):
                 out.append((kind, int(frame[i[0]]), body))
 
         if h:
-            h, c, doc, frame, at = (np.concatenate(x) for x in (h, c, doc, frame, at))
-            order = np.lexsort((at, frame, doc, c, h))
-            h, c, frame, at = h[order], c[order], frame[order], at[order]
-            first = _first_of(h, c)
+            h, c, e, doc, frame, at = (np.concatenate(x) for x in (h, c, e, doc, frame, at))
+            order = np.lexsort((at, frame, doc, e, c, h))
+            h, c, e, frame, at = h[order], c[order], e[order], frame[order], at[order]
+            first = _first_of(h, c, e)
             tell(repeated, ~first)
             if contexts:  # firsts of hashes that have several contexts
                 h, frame, at = h[first], frame[first], at[first]
@@ -378,17 +387,16 @@ def _window_rows(buckets: int, length: int, k: int):
                 own = np.searchsorted(starts, anchors, side="right") - 1
                 turn = np.empty(len(ids), dtype=np.int64)
                 turn[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-                raw = memoryview(data)
                 for part in np.array_split(np.arange(len(anchors)), len(anchors) // 5_000 + 1):
                     at = (anchors[part, None] + np.arange(-side, 1)).ravel()
                     doc = np.repeat(own[part], side + 1)
                     fits = (at >= starts[doc]) & (at + length <= ends[doc])
                     at, once = np.unique(at[fits], return_index=True)
                     doc = doc[fits][once]
-                    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[a : a + length]) for a in at.tolist()]), dtype="<u8").reshape(-1, 2)
-                    h, c = digest[:, 0], digest[:, 1]
-                    order = np.lexsort((at, turn[doc], c, h))
-                    first = _first_of(h[order], c[order])
+                    c = digests(data, at, at + length)
+                    h = c[:, 0]
+                    order = np.lexsort((at, turn[doc], c[:, 1], h))
+                    first = _first_of(h[order], c[order, 1])
                     again = np.sort(at[order[~first]])
                     rows = [(row["frame"] % buckets, WINDOW, row["frame"], again.astype("<i8").tobytes())] if len(again) else []
                     keep = order[first]
@@ -397,7 +405,7 @@ def _window_rows(buckets: int, length: int, k: int):
                     keep, bucket = keep[by], bucket[by].astype(np.int64)
                     for p in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(bucket)) + 1) if len(keep) else []:
                         i = np.sort(keep[p])
-                        rows.append((int(bucket[p[0]]), COMPARE, row["frame"], h[i].tobytes() + c[i].tobytes() + ids[doc[i]].astype("<i8").tobytes() + at[i].astype("<u4").tobytes()))
+                        rows.append((int(bucket[p[0]]), COMPARE, row["frame"], _entries(h[i], c[i], ids[doc[i]], at[i])))
                     if rows:
                         yield _rows_batch(rows)
         files.close()

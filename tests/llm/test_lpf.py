@@ -130,3 +130,18 @@ def test_smaller_values(values):
     before = [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
     after = [min((j for j in range(i + 1, len(x)) if x[j] < x[i]), default=len(x)) for i in range(len(x))]
     assert lpf.previous_smaller(x).tolist() == before and lpf.next_smaller(x).tolist() == after
+
+
+def test_contexts_are_told_apart_by_their_bytes():
+    """A context's 128 bits are of its bytes alone: one other byte, and nothing of the anchor's hash remains equal."""
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    ends = np.array([2000, 5000])
+    starts = np.r_[0, ends[:-1]]
+    where, h, c = lpf.Anchors().find(data, starts, ends)
+    side = lpf.LENGTH - lpf.ANCHOR
+    for at, own in zip(where.tolist(), c, strict=True):
+        d = int(np.searchsorted(starts, at, side="right")) - 1
+        context = data[max(starts[d], at - side) : min(ends[d], at + lpf.LENGTH)].tobytes()
+        assert own.tobytes() == lpf.xxhash.xxh3_128_digest(context)
+    assert len(where) == len(h) and len(np.unique(c[:, 0])) == len(np.unique(c[:, 1])) == len(where)
