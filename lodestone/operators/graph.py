@@ -31,13 +31,14 @@ def best_edges(candidates: DataFrame) -> DataFrame:
     return candidates.where("src <> dst").groupBy("repo_id", "src", "dst", "edge_type").agg(F.min_by("name", F.struct(-F.col("tenths"), F.col("name"))).alias("name"), F.max("tenths").alias("tenths"))
 
 
-def method_table(symbols: DataFrame, bases: DataFrame, owners: DataFrame | None = None, rounds: int = 32) -> DataFrame:
+def method_table(symbols: DataFrame, bases: DataFrame, owners: DataFrame | None = None, rounds: int = 1000) -> DataFrame:
     """(repo_id, owner, method, id): each class's methods, its own first, then its bases' depth first.
 
     bases: (repo_id, owner, base); owners: (repo_id, owner), those asked for. Bases are tried in order of name. A class sees the methods of a
     base at the base's first place in that order: the least of the paths that lead to it, as arrays.
     Only the least path to each base is kept and followed, so a round's rows are at most one for each
-    pair of classes; a path ends where it would repeat a class. Rounds end when no path improves.
+    pair of classes; a path ends where it would repeat a class. Rounds end when no path improves; if
+    `rounds` are not enough, that is an error, never an unfinished table.
     """
     own = symbols.where("kind = 'method'").withColumn("owner", F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
     own = own.groupBy("repo_id", "owner", F.col("name").alias("method")).agg(F.min("id").alias("id"))
@@ -52,6 +53,8 @@ def method_table(symbols: DataFrame, bases: DataFrame, owners: DataFrame | None
         best = cut(best.unionByName(new).groupBy(*key).agg(F.min(F.struct("path", "round")).alias("b")).select(*key, "b.path", "b.round"))
         if best.where(F.col("round") == i).isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains of bases are not at their end after {rounds} rounds")
     seen = best.join(own.withColumnRenamed("owner", "at"), ["repo_id", "at"])
     return seen.groupBy("repo_id", "owner", "method").agg(F.min_by("id", "path").alias("id"))
 

@@ -62,6 +62,16 @@ def test_method_resolution_is_depth_first_and_ends_in_cycles(spark):
     assert found["C", "k"] == 3 and found["D", "m"] == 2
 
 
+def test_unfinished_method_tables_are_errors(spark):
+    """A chain of 40 classes resolves to its end, and a bound that is too low raises."""
+    s = symbols(spark, (1, "a", "method", "m", "C40.m", ""))
+    bases = spark.createDataFrame([(1, f"C{i}", f"C{i + 1}") for i in range(40)], "repo_id int, owner string, base string")
+    owners = spark.createDataFrame([(1, "C0")], "repo_id int, owner string")
+    assert [(r["owner"], r["id"]) for r in graph.method_table(s, bases, owners).collect()] == [("C0", 1)]
+    with pytest.raises(RuntimeError, match="rounds"):
+        graph.method_table(s, bases, owners, rounds=32)
+
+
 def test_call_path(spark):
     rows = graph.call_path(edges(spark, (1, 2), (2, 3), (3, 1)), 1).collect()
     assert sorted((r["depth"], r["node"]) for r in rows) == [(0, 1), (1, 2), (2, 3)]
