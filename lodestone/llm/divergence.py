@@ -7,7 +7,8 @@ of the language and N the group's occurrences of them; the language as a whole l
 
 The counts come from one sorted stream. Blocks of documents are counted first (a row for each language,
 source and term of a block, so the words of every document shrink before anything moves); the rows are
-dealt by ranges of (lang, term, source, block) and sorted, so a very frequent term spans as many
+dealt by ranges of (lang, term, source, block) and sorted,
+language and term being one string, so a very frequent term spans as many
 partitions as it needs, and one scan over the runs gives document frequencies and counts. A run that a
 partition's border cuts leaves its parts to a small sum by key; every other run is settled where it is
 scanned. A second scan reads the kept runs term by term, after the sizes of the language's groups, and
@@ -46,7 +47,10 @@ LIST_BYTES = 4 << 20
 #: Counts of terms by sources that the second scan holds at a time, and pairs of sources that it sums by itself.
 CELLS = 1 << 20
 
-_BLOCKS = "lang string, term string, source string, block long, df long, n long"
+#: Between a language and a term in the key that both make; no term holds it.
+BETWEEN = "\0"
+
+_BLOCKS = "key string, source string, block long, df long, n long"
 _RUNS = "lang string, term string, source string, df long, n long, whole boolean"
 _FOUND = "lang string, source string, part string, item string, value long"
 
@@ -59,8 +63,11 @@ def terms(text: str) -> tuple[list | Counter, set]:
 
 
 def count_blocks(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
-    """(lang, term, source, block, df, n); a row of null term for each group of a block."""
-    names = ["lang", "term", "source", "block", "df", "n"]
+    """(key, source, block, df, n), key being the language and the term as one sortable string.
+
+    A row for each group of a block has the language alone, without BETWEEN and a term, and how many documents it has.
+    """
+    names = ["key", "source", "block", "df", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
@@ -71,7 +78,8 @@ def count_blocks(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
             for (lang, source), (df, n, k) in held.items():
                 words = list(df)
                 size = len(words) + 1
-                columns = [pa.array([lang] * size), pa.array([None, *[w.decode() for w in words]], pa.string()), pa.array([source] * size), pa.array([block] * size, pa.int64())]
+                head = lang + BETWEEN
+                columns = [pa.array([lang, *[head + w.decode() for w in words]], pa.string()), pa.array([source] * size), pa.array([block] * size, pa.int64())]
                 columns += [pa.array([k, *df.values()], pa.int64()), pa.array([0, *[n[w] for w in words]], pa.int64())]
                 whole = pa.RecordBatch.from_arrays(columns, names=names)
                 yield from (whole.slice(a, 50_000) for a in range(0, size, 50_000))
@@ -105,12 +113,12 @@ def _starts(batch: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, term, source, df, n, whole) of rows in the order of (lang, term, source).
+    """(lang, term, source, df, n, whole) of rows in the order of (key, source).
 
     whole: all of the language's rows of the term are in this partition, and it is kept. Of other
     terms, those that a border may cut are given with what the partition has of them.
     """
-    keys = ["lang", "term", "source"]
+    keys = ["key", "source"]
     schema = pa.schema([*[(k, pa.string()) for k in keys], ("df", pa.int64()), ("n", pa.int64())])
 
     def reduced(table: pa.Table) -> pa.Table:
@@ -120,7 +128,7 @@ def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     def told(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         """The runs of whole terms but for the first and last of the partition, which may go on elsewhere."""
-        at = _starts(table, ["lang", "term"])
+        at = _starts(table, ["key"])
         if not len(at):
             return
         total = np.add.reduceat(table.column("df").to_numpy(), at)
@@ -130,14 +138,16 @@ def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         each = np.diff(np.r_[at, table.num_rows])
         keep = np.repeat(~whole | (total >= least), each)
         out = table.append_column("whole", pa.array(np.repeat(whole, each))).filter(pa.array(keep))
-        yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+        parts = [k.rpartition(BETWEEN) for k in out.column("key").to_pylist()]
+        columns = [pa.array([p[0] for p in parts], pa.string()), pa.array([p[2] for p in parts], pa.string()), *[out.column(c) for c in ("source", "df", "n", "whole")]]
+        yield from pa.table(columns, names=["lang", "term", "source", "df", "n", "whole"]).combine_chunks().to_batches(max_chunksize=50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, True
         for batch in batches:
             table = pa.table([batch.column(c) for c in schema.names], schema=schema)
             table = reduced(pa.concat_tables([held, table]).combine_chunks() if held is not None else table)
-            at = _starts(table, ["lang", "term"])
+            at = _starts(table, ["key"])
             if len(at) > 1:
                 yield from told(table.slice(0, at[-1]), first, False)
                 first = False
@@ -151,9 +161,10 @@ def scan_runs(blocks: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 def kept_runs(docs: DataFrame, least: int = LEAST_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> tuple[DataFrame, DataFrame]:
     """(lang, term, source, n) of kept terms, and the groups (lang, source) that occur."""
     blocks = materialise(count_blocks(docs, block_terms), "divergence-blocks")
-    groups = blocks.where("term is null").select("lang", "source").distinct()
-    order = ["lang", "term", "source", "block"]
-    dealt = blocks.where("term is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    term = F.col("n") > 0
+    groups = blocks.where(~term).select(F.col("key").alias("lang"), "source").distinct()
+    order = ["key", "source", "block"]
+    dealt = blocks.where(term).repartitionByRange(*order).sortWithinPartitions(*order)
     runs = materialise(scan_runs(dealt, least), "divergence-runs")
     cut = runs.where("not whole")
     kept = cut.groupBy("lang", "term").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "term")
