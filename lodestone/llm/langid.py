@@ -326,7 +326,7 @@ def _expect(pieces: list[str], prob: np.ndarray):
 class Scorer:
     """Scores texts; remembers the words it has seen, in bounded memory."""
 
-    def __init__(self, model: LanguageModel, remember: int = 300_000):
+    def __init__(self, model: LanguageModel, remember: int = 150_000):
         self.languages, self.prob, self.remember = model.languages, model.prob, remember
         self.table, self.known, self.rows = Pieces(model.pieces), {}, np.zeros((0, len(model.languages)), dtype=np.float32)
 

@@ -53,7 +53,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]*")
     WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 100_000):
         from tokenizers import Tokenizer
 
         self.library, self.remember = Tokenizer.from_file(path), remember

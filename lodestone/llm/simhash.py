@@ -247,7 +247,7 @@ def forest_links(key: np.ndarray, fp: np.ndarray, radius: int, block: int = 400_
 
 
 #: Bytes of packed shard entries that one task's group should hold.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 
 
 def links(reps: DataFrame, plan: Plan, n: int) -> DataFrame:
