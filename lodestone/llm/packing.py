@@ -30,6 +30,8 @@ from .common import materialise, slices, tidy
 
 WINDOW = 4096
 END = 2
+#: Words whose ids a worker remembers, twice over: about 160 MB.
+REMEMBERED = 400_000
 #: Pieces of one length are ranked in parts of about this many.
 PART_ROWS = 1_000
 
@@ -53,7 +55,7 @@ class WordTokenizer:
     PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ɏ]*")
     WORDS = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str, remember: int = 100_000):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.library, self.remember = Tokenizer.from_file(path), remember
@@ -89,13 +91,13 @@ class WordTokenizer:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_tokenizer(path: str) -> WordTokenizer:
+def worker_tokenizer(path: str, remember: int = REMEMBERED) -> WordTokenizer:
     """One for all tasks of a Python worker: its words stay known from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
+    return WordTokenizer(path, remember)
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, remember: int = REMEMBERED) -> DataFrame:
     """Whole windows and the rest of every document.
 
     (doc_id, start, length, ids_crc32, doc_tokens); a document's rest, if any, comes last.
@@ -105,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_tokenizer(tokenizer)
+        encoder = worker_tokenizer(tokenizer, remember)
         for whole in batches:
             for batch in slices(whole, "text"):
                 out: list[list[int]] = [[], [], [], [], []]
@@ -197,9 +199,9 @@ def rank_in_parts(df: DataFrame, group: str, order: list[Column], counts: DataFr
     return df.withColumn("__own", own).join(starts, [group, part]).withColumn("rank", F.col("__start") + F.col("__own")).drop("__own", "__start")
 
 
-def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, seed: int = 42) -> DataFrame:
+def pack(docs: DataFrame, *, tokenizer: str | None = None, window: int = WINDOW, remember: int = REMEMBERED, seed: int = 42) -> DataFrame:
     """Where every piece of every document goes: the columns of pieces, sequence_id and offset."""
-    cut = materialise(pieces(docs, tokenizer or default_tokenizer(), window), "packing-pieces")
+    cut = materialise(pieces(docs, tokenizer or default_tokenizer(), window, remember), "packing-pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     patterns = minimum_bin_slack({x: n for x, n in histogram.items() if x < window}, window)
     places = _places(patterns)
