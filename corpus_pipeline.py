@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common, langid, mixing, packing, secrets_cnn, simhash
 
+#: Words that the packing stage's workers remember: they are those of the stages before, which hold memory too.
+REMEMBERED = 100_000
 #: A document whose best language has less than this share of a score unit's probability is rejected.
 LEAST_SCORE = 0.4
 
@@ -48,7 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document's pieces in the training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, remember=REMEMBERED)
 
 
 STAGES = [
