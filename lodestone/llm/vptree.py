@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import locate, new_dir
 
-#: Vectors in a shard, points in a leaf, queries in a block.
+#: Vectors in a shard, points in a leaf (or LEAVES leaves, of a larger shard), queries in a block.
 SHARD_ROWS = 20_000
 LEAF = 32
+LEAVES = 16
 BLOCK = 512
 #: More than the rounding error of a distance between unit vectors.
 SLACK = 1e-7
@@ -65,10 +66,11 @@ class VPTree:
         self.rng = np.random.default_rng(seed)
         #: Pairs of a query and a vector that were compared, and vantage points.
         self.scanned = self.vantages = 0
+        self.leaf = max(LEAF, len(self.x) // LEAVES)
         self.root = self._build(np.arange(len(self.x)))
 
     def _build(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
+        if len(rows) <= self.leaf:
             return rows
         self.vantages += 1
         vantage = rows[self.rng.integers(len(rows))]
