@@ -6,8 +6,8 @@ import hashlib
 import os
 import re
 import subprocess
+import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..lineage import cut
 from ..schemas import FILES
+from .masking import mask_token, with_token
+from .readers import HistorySource, git, issue_source
 
 # Directories that are never walked, and the size beyond which content is not kept.
 SKIP_FOLDERS = (
@@ -27,28 +29,6 @@ SKIP_FOLDERS = (
 MAX_CONTENT_BYTES = 1_000_000
 
 
-def with_token(url: str, token: str | None) -> str:
-    """An https URL with the token as its user; other URLs unchanged."""
-    parts = urlsplit(url)
-    if not token or parts.scheme != "https" or not parts.hostname:
-        return url
-    host = parts.hostname + (f":{parts.port}" if parts.port else "")
-    return urlunsplit(parts._replace(netloc=f"x-access-token:{token}@{host}"))
-
-
-def mask_token(text: str, token: str | None) -> str:
-    """A message without the token, and without any credentials in URLs."""
-    out = text.replace(token, "***") if token else text
-    return re.sub(r"(https?://)[^/@\s]+@", r"\1***@", out)
-
-
-def _git(path: str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", path, *args], capture_output=True, text=True, errors="replace")
-    if done.returncode:
-        raise RuntimeError(mask_token(done.stderr.strip(), None))
-    return done.stdout
-
-
 def clone_or_open(url: str, folder: str, token: str | None = None) -> str:
     """The local path of a repository, cloned if it is not there. The token is not kept in its settings."""
     name = re.sub(r"\.git$", "", url.rstrip("/")).rsplit("/", 1)[-1]
@@ -59,14 +39,14 @@ def clone_or_open(url: str, folder: str, token: str | None = None) -> str:
     if done.returncode:
         raise RuntimeError(mask_token(done.stderr.strip(), token))
     if token:
-        _git(path, "remote", "set-url", "origin", url)
+        git(path, "remote", "set-url", "origin", url)
     return path
 
 
 def head_info(path: str) -> tuple[str | None, str]:
     """(branch, sha) of HEAD; the branch is None when it is detached."""
-    branch = _git(path, "rev-parse", "--abbrev-ref", "HEAD").strip()
-    return (None if branch == "HEAD" else branch), _git(path, "rev-parse", "HEAD").strip()
+    branch = git(path, "rev-parse", "--abbrev-ref", "HEAD").strip()
+    return (None if branch == "HEAD" else branch), git(path, "rev-parse", "HEAD").strip()
 
 
 def decode(raw: bytes) -> str | None:
@@ -128,53 +108,19 @@ def read_files(spark: SparkSession, root: str, repo_id: int = 1) -> DataFrame:
     return full.select(*FILES.fieldNames())
 
 
-_FIELD, _RECORD = "\x1f", "\x1e"
-#: Commits that one task asks for.
-HISTORY_ROWS = 500
-_COMMIT = "repo_id int, id int, sha string, author_name string, author_email string, authored_at string, committer_name string, committed_at string, message string, insertions int, deletions int, files_changed int, parents array<string>, changes array<struct<path: string, change_type: string, insertions: int, deletions: int>>"
-
-
-def _log(root: str, shas: list[str], form: str, what: str) -> list[str]:
-    """git's records of these commits, in their order, with what changed against the first parent."""
-    args = ["log", "--no-walk=unsorted", "--stdin", f"--format={_RECORD}{form}{_FIELD}", what, "--diff-merges=first-parent", "--root", "--no-renames"]
-    done = subprocess.run(["git", "-C", root, *args], input="\n".join(shas), capture_output=True, text=True, errors="replace")
-    if done.returncode:
-        raise RuntimeError(mask_token(done.stderr.strip(), None))
-    return done.stdout.split(_RECORD)[1:]
-
-
 def read_history(spark: SparkSession, root: str, repo_id: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(commits, commit_files) of the first-parent differences, newest first, at most `limit` commits.
 
-    The driver lists the commits' names; what they hold is read by tasks, each for a range of them,
-    from a repository that all executors can reach, as read_files does.
+    Tasks list and read a range of commits each, from a repository that all executors can reach, as read_files does.
     """
-    cap = [f"--max-count={limit}"] if limit is not None else []
-    shas = _git(root, "rev-list", *cap, "HEAD").split()
-    asked = spark.createDataFrame([(i, x) for i, x in enumerate(shas, 1)], "id int, sha string").repartitionByRange(len(shas) // HISTORY_ROWS + 1, "id").sortWithinPartitions("id")
+    spark.dataSource.register(HistorySource)
+    asked = spark.read.format(HistorySource.name()).option("path", root).option("repo_id", repo_id)
+    whole = cut((asked if limit is None else asked.option("limit", limit)).load())
+    return history_tables(whole)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            own = part["sha"].tolist()
-            kinds: dict[tuple[str, str], str] = {}
-            for record in _log(root, own, "%H", "--name-status"):
-                sha, _, body = record.partition(_FIELD)
-                for line in body.strip().splitlines():
-                    kind, _, path = line.partition("\t")
-                    kinds[sha, path] = kind[:1] or "M"
-            rows = []
-            form = _FIELD.join(("%H", "%an", "%ae", "%aI", "%cn", "%cI", "%P", "%B"))
-            for number, record in zip(part["id"].tolist(), _log(root, own, form, "--numstat"), strict=True):
-                sha, an, ae, at, cn, ct, parents, message, body = record.split(_FIELD, 8)
-                changes = []
-                for line in body.strip().splitlines():
-                    plus, minus, path = line.split("\t", 2)
-                    changes.append({"path": path, "change_type": kinds.get((sha, path), "M"), "insertions": int(plus) if plus.isdigit() else 0, "deletions": int(minus) if minus.isdigit() else 0})
-                sums = [sum(c[k] for c in changes) for k in ("insertions", "deletions")]
-                rows.append((repo_id, number, sha, an, ae, at, cn, ct, message.rstrip("\n"), *sums, len(changes), parents.split(), changes))
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _COMMIT.split(", changes")[0].split(", ")] + ["changes"])
-
-    whole = cut(asked.mapInPandas(run, _COMMIT))
+
+def history_tables(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(commits, commit_files) of rows of the history's data source, batch or stream."""
     commits = whole.drop("changes").withColumns({x: F.to_timestamp(x) for x in ("authored_at", "committed_at")}).withColumn("n_parents", F.size("parents"))
     each = whole.select("repo_id", F.col("id").alias("commit"), "sha", F.posexplode("changes").alias("i", "c"))
     # a commit's changes are numbered behind each other
@@ -189,15 +135,11 @@ def parse_numstat(log: DataFrame) -> DataFrame:
     return lines.select("sha", part[2].alias("path"), F.coalesce(part[0].try_cast("int"), F.lit(0)).alias("insertions"), F.coalesce(part[1].try_cast("int"), F.lit(0)).alias("deletions"))
 
 
-def fetch_issues(get: Callable[[int], list[str]], limit: int = 500, page_size: int = 100) -> list[str]:
-    """JSON texts of issues from a paged source, newest first; get(page) returns one page's items."""
-    out: list[str] = []
-    for page in range(1, -(-limit // page_size) + 1):
-        items = get(page)
-        out += items
-        if len(items) < page_size:
-            break
-    return out[:limit]
+def read_issues(spark: SparkSession, get: Callable[[int], list[str]], limit: int = 500, page_size: int = 100) -> DataFrame:
+    """raw(json) of issues from a paged source, the newest first; get(page) returns one page's items, in a task."""
+    source = issue_source(get, f"issue_pages_{uuid.uuid4().hex}")
+    spark.dataSource.register(source)
+    return cut(spark.read.format(source.name()).option("limit", limit).option("page_size", page_size).load().select("json"))
 
 
 _ISSUE = "number int, title string, body string, state string, user struct<login: string>, labels array<struct<name: string>>, comments int, created_at string, updated_at string, closed_at string, html_url string, pull_request struct<url: string>"

@@ -82,9 +82,9 @@ def test_tokens():
 
 def test_issues(spark):
     pages = [[json.dumps({"number": i, "title": "T", "state": "open", "user": {"login": "u"}, "labels": [{"name": "l"}], "created_at": "2024-01-02T03:04:05Z", **({"pull_request": {"url": "x"}} if i % 2 else {})}) for i in range(p * 100, p * 100 + n)] for p, n in ((0, 100), (1, 30))]
-    raw = repository.fetch_issues(lambda p: pages[p - 1], limit=120)
-    assert len(raw) == 120
-    rows = repository.parse_issues(spark.createDataFrame([(x,) for x in raw], "json string")).orderBy("number").limit(2).collect()
+    raw = repository.read_issues(spark, lambda p: pages[p - 1], limit=120)
+    assert raw.count() == 120
+    rows = repository.parse_issues(raw).orderBy("number").limit(2).collect()
     assert [r["is_pull_request"] for r in rows] == [False, True]
     assert rows[0]["labels"] == ["l"] and rows[0]["author"] == "u" and rows[0]["created_at"].year == 2024
 
