@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import new_folder
+from .lineage import cut, new_folder
 from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
 from .operators.inverted import InvertedIndex
+from .operators.model_stage import ModelStage
 from .operators.vector_index import VectorIndex
 from .sources import python_code, repository, sinks
 from .sources.snapshots import SnapshotTable
@@ -37,14 +38,16 @@ class Repository:
     folder: str | None = None
     #: What makes vectors of texts; without it searches go by words alone.
     embedder: retrieval.Embedder | None = None
+    #: Where the model's answers about files are kept.
+    answers: str | None = None
 
     @classmethod
-    def ingest(cls, spark: SparkSession, path: str, *, url: str = "", repo_id: int = 1, issues: list[str] | None = None, max_commits: int | None = None, model: Model | None = None) -> Repository:
+    def ingest(cls, spark: SparkSession, path: str, *, url: str = "", repo_id: int = 1, issues: list[str] | DataFrame | None = None, max_commits: int | None = None, model: Model | None = None) -> Repository:
         """Files, history, issues, symbols and the dependency graph of a working tree."""
         branch, sha = repository.head_info(path)
         files = repository.read_files(spark, path, repo_id).cache()
         commits, changes = repository.read_history(spark, path, repo_id, max_commits)
-        raw = spark.createDataFrame([(x,) for x in issues or []], "json string")
+        raw = issues if isinstance(issues, DataFrame) else spark.createDataFrame([(x,) for x in issues or []], "json string")
         order = Window.partitionBy("repo_id").orderBy("file_path", "start_line", "qualified_name", "kind")
         symbols = python_code.symbols(files).withColumn("id", F.row_number().over(order).cast("long")).cache()
         edges, _ = graph.resolve_references(python_code.references(symbols), symbols)
@@ -61,7 +64,7 @@ class Repository:
     def load(cls, spark: SparkSession, folder: str, info: dict, model: Model | None = None) -> Repository:
         """A repository that store kept."""
         tables = {name: SnapshotTable(spark, f"{folder}/{name}").read(values=[info["id"]]) for name in TABLES}
-        return cls(spark, info, **tables, model=model, folder=f"{folder}/index/{info['id']}")
+        return cls(spark, info, **tables, model=model, folder=f"{folder}/index/{info['id']}", answers=f"{folder}/answers")
 
     def status(self) -> dict:
         return {"counts": {n: getattr(self, n).count() for n in ("files", "commits", "issues", "symbols", "edges")}, "model": self.model is not None, "repo": self.info}
@@ -262,16 +265,25 @@ class Repository:
         links = graph.file_graph(self.edges, self.symbols)
         return sinks.graph_html(self.info["name"], graph.file_graph_nodes(links).drop("repo_id"), links.drop("repo_id"))
 
-    def scan(self, scan_all: bool = False, progress: Callable[[int, int], None] | None = None) -> tuple[list[dict], list[str]]:
-        """Findings of the files most worth a look, and what was left out; the model reads one file at a time."""
-        chosen = findings.select_files(self.files, mining.churn(self.commit_files), None if scan_all else findings.MAX_FILES)
-        total = findings.select_files(self.files, mining.churn(self.commit_files), None).count()
-        out, cut, n = [], 0, chosen.count()
-        # one file after the other reaches the driver, since the model reads them one by one
-        for i, r in enumerate(chosen.select("path", "content", "place").orderBy("place").toLocalIterator(), 1):
-            cut += len(r["content"] or "") > findings.MAX_FILE_CHARS
-            out += [{"file_path": r["path"], **f} for f in findings.scan_text(r["path"], r["content"] or "", self.model)]
-            if progress:
-                progress(i, n)
-        out.sort(key=lambda f: (f["file_path"], f["start_line"], f["title"]))
-        return out, findings.cap_notes(n, total, cut, self.model is not None)
+    def scan(self, scan_all: bool = False) -> tuple[DataFrame, list[str]]:
+        """Findings of the files most worth a look, and what was left out.
+
+        Tasks ask the model, and its answers are kept: a file whose path and content were asked about is not
+        asked about again. If a file gets no answer that is an error, and a later scan asks only for the rest.
+        """
+        churn = mining.churn(self.commit_files)
+        chosen = cut(findings.prompts(findings.select_files(self.files, churn, None if scan_all else findings.MAX_FILES)))
+        total = findings.select_files(self.files, churn, None).count()
+        n, long = chosen.agg(F.count("*"), F.count_if("cut")).first()
+        notes = findings.cap_notes(n, total, long, self.model is not None)
+        if self.model is None:
+            return self.spark.createDataFrame([], findings.FOUND), notes
+        self.answers = self.answers or new_folder(self.spark, "answers")
+        stage = ModelStage(self.spark, self.answers, getattr(self.model, "model", "model"), getattr(self.model, "bare", self.model), attempts=1)
+        if hasattr(self.model, "calls"):
+            self.model.calls.kept[stage.path] = stage.calls
+        answered = cut(stage.ask(chosen))
+        failed, error = answered.agg(F.count("error"), F.min("error")).first()
+        if failed:
+            raise RuntimeError(f"{failed} of {n} files got no answer: {error}")
+        return findings.found(answered), notes

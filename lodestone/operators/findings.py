@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ MAX_FILES = 50
 MAX_FILE_CHARS = 8000
 MAX_TITLE, MAX_DESCRIPTION, MAX_FIX = 300, 4000, 2000
 SNIPPET_LINES = 46
+FOUND = "repo_id long, file_path string, category string, severity string, title string, description string, suggested_fix string, start_line long, end_line long"
 
 
 def select_files(files: DataFrame, churn: DataFrame, limit: int | None = MAX_FILES) -> DataFrame:
@@ -69,13 +71,29 @@ def parse_reply(reply: str) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-def scan_text(path: str, content: str, call: Callable[[str], str] | None) -> list[dict]:
-    """Findings of one file; none without a model."""
-    if call is None:
-        return []
-    found = parse_reply(call(f"{path}\n{content[:MAX_FILE_CHARS]}")).get("findings")
-    lines = content.count("\n") + 1
-    return [c for c in (coerce_finding(f, lines) for f in (found if isinstance(found, list) else [])) if c]
+def found_in(reply: str, n_lines: int) -> list[dict]:
+    """The findings in a model's reply about a file of so many lines."""
+    found = parse_reply(reply).get("findings")
+    return [c for c in (coerce_finding(f, n_lines) for f in (found if isinstance(found, list) else [])) if c]
+
+
+def prompts(chosen: DataFrame) -> DataFrame:
+    """What a model is asked about each file: (repo_id, path, prompt, n_lines, cut)."""
+    content = F.coalesce("content", F.lit(""))
+    prompt = F.concat(F.col("path"), F.lit("\n"), F.left(content, F.lit(MAX_FILE_CHARS)))
+    return chosen.select("repo_id", "path", prompt.alias("prompt"), F.size(F.split(content, "\n")).alias("n_lines"), (F.length(content) > MAX_FILE_CHARS).alias("cut"))
+
+
+def found(answered: DataFrame) -> DataFrame:
+    """The findings in answers(repo_id, path, answer, n_lines), one a row; a null answer has none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in FOUND.split(", ")]
+        for part in parts:
+            rows = [{"repo_id": r.repo_id, "file_path": r.path, **f} for r in part.itertuples() for f in found_in(r.answer, r.n_lines)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return answered.where("answer is not null").select("repo_id", "path", "answer", "n_lines").mapInPandas(run, FOUND)
 
 
 def coerce_columns(raw: DataFrame) -> DataFrame:

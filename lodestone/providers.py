@@ -61,9 +61,11 @@ class Calls:
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, float, int, int]] = []
+        #: Tables of the calls that tasks made, by the folder they are kept in.
+        self.kept: dict[str, Callable[[], DataFrame]] = {}
 
     def watched(self, name: str, call: Call) -> Call:
-        """call, with a row for each answer."""
+        """call, with a row for each answer; tasks, whose rows would stay with them, take its `bare`."""
 
         def run(prompt: str) -> str:
             began = time.monotonic()
@@ -71,7 +73,11 @@ class Calls:
             self.rows.append((name, time.monotonic() - began, len(prompt), len(answer)))
             return answer
 
+        run.bare, run.model, run.calls = call, name, self
         return run
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.SCHEMA)
+        out = spark.createDataFrame(self.rows, self.SCHEMA)
+        for kept in self.kept.values():
+            out = out.unionByName(kept())
+        return out

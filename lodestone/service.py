@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import engine, providers
 from .engine import Repository
 from .functions import paths as P
-from .lineage import new_folder
+from .lineage import cut, new_folder
 from .operators import findings, mining
 from .operators.retrieval import Embedder
 from .sources import repository, sinks
@@ -196,16 +196,16 @@ class Service:
 
         def work(job: Job) -> None:
             found, notes = repo.scan(scan_all)
-            names = [x.split()[0] for x in FINDING.split(", ")]
+            found = cut(found)  # numbered as they are now, however often the change is worked out
 
             def change(old: DataFrame) -> DataFrame:
                 number = old.agg(F.max("id")).first()[0] or 0
-                made = [{**f, "id": number + i, "status": "new", "head_sha": repo.info["head_sha"]} for i, f in enumerate(found, 1)]
-                rows = [(*[f.get(c) for c in names], repo.info["id"]) for f in made]
-                return findings.replace_findings(old, self.spark.createDataFrame(rows, STATE["findings"][0]))
+                place = F.row_number().over(Window.partitionBy("repo_id").orderBy("file_path", "start_line", "title"))
+                own = {"id": place.cast("long") + number, "status": F.lit("new"), "jira_url": F.lit(None).cast("string"), "head_sha": F.lit(repo.info["head_sha"])}
+                return findings.replace_findings(old, found.withColumns(own).select(*old.columns))
 
             self.tables["findings"].update(change, [repo.info["id"]], "scan")
-            job.result = {"found": len(found), "notes": notes}
+            job.result = {"found": found.count(), "notes": notes}
 
         return self._start(Job("scan", repo.info["url"]), work)
 
