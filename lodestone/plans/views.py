@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..lineage import new_folder
 from ..operators import evaluation, findings, graph, mining, retrieval, views, wiki
 from ..operators.inverted import InvertedIndex
+from ..operators.model_stage import ModelStage
 from ..sources import repository, sinks
 from ..sources import tables as S
 from .catalogue import COUPLING, DEGREE, ENDS, FILES, GRAPH, HISTORY, HOT, LINKS, START, _files, _recursive, register
@@ -754,6 +755,17 @@ def _(spark, d):
     return views.text_evidence(retrieval.evidence_documents(None, None, issues)).select("id", "title", "citation", "snippet")
 
 
+def _length(prompt: str) -> str:
+    """A model that needs no network."""
+    return str(len(prompt))
+
+
+@register("j12_model_answers", "SELECT doc_id, CAST(length(text) AS VARCHAR) AS answer, CAST(NULL AS VARCHAR) AS error FROM documents")
+def _(spark, d):
+    stage = ModelStage(spark, new_folder(spark, "answers"), "length", _length)
+    return stage.ask(S.read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))).select("doc_id", "answer", "error")
+
+
 @register("j11_embedding_text", "SELECT id, kind || ' ' || qualified_name || chr(10) || 'def ' || name || '(self, ' || lower(p_type) || ': int) -> ' || lower(replace(p_brand, '#', '')) || chr(10) || left(code, 500) AS text FROM symbols JOIN part ON p_partkey = id", S.SYMBOLS_SQL)
 def _(spark, d):
     return retrieval.symbol_embedding_text(S.symbols(spark, d).withColumn("docstring", F.lit(None).cast("string"))).select("id", "text")
