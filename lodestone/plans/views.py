@@ -423,23 +423,23 @@ def _(spark, d):
     return views.inner_pairs(S.edges(spark, d), S.symbols(spark, d).where("id % 10 = 0").select("id"))
 
 
-_STEPS = "pr AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'call' AND src < 300 AND dst < 300), walk AS (SELECT CAST({root} AS BIGINT) AS id, 1 AS step UNION SELECT p.dst, w.step + 1 FROM walk w JOIN pr p ON p.src = w.id WHERE w.step < 12), st AS (SELECT id, min(step) AS step FROM walk GROUP BY id)"
+_STEPS = "pr AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'call'), walk AS (SELECT CAST({root} AS BIGINT) AS id, 1 AS step UNION SELECT p.dst, w.step + 1 FROM walk w JOIN pr p ON p.src = w.id WHERE w.step < 12), st AS (SELECT id, min(step) AS step FROM walk GROUP BY id)"
 
 
-def _few(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pairs = S.edges(spark, d).where("edge_type = 'call' and src < 300 and dst < 300").select("src", "dst").distinct()
-    return pairs, S.symbols(spark, d).where("id < 300").select("id")
+def _calls(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pairs = S.edges(spark, d).where("edge_type = 'call'").select("src", "dst").distinct()
+    return pairs, S.symbols(spark, d).select("id")
 
 
-@register("i08_steps", _recursive(*GRAPH, _STEPS.format(root=START)) + " SELECT id, CAST(coalesce(step, 1) AS BIGINT) AS step FROM symbols LEFT JOIN st USING (id) WHERE id < 300")
+@register("i08_steps", _recursive(*GRAPH, _STEPS.format(root=START)) + " SELECT id, CAST(coalesce(step, 1) AS BIGINT) AS step FROM symbols LEFT JOIN st USING (id)")
 def _(spark, d):
-    pairs, nodes = _few(spark, d)
+    pairs, nodes = _calls(spark, d)
     return views.steps(pairs, nodes, START, depth=11).select("id", *_long("step"))
 
 
-@register("i09_walkthrough", _recursive(*GRAPH, _STEPS.format(root=START)) + " SELECT id, CAST(coalesce(step, (SELECT max(step) + 1 FROM st)) AS BIGINT) AS step FROM symbols LEFT JOIN st USING (id) WHERE id < 300")
+@register("i09_walkthrough", _recursive(*GRAPH, _STEPS.format(root=START)) + " SELECT id, CAST(coalesce(step, (SELECT max(step) + 1 FROM st)) AS BIGINT) AS step FROM symbols LEFT JOIN st USING (id)")
 def _(spark, d):
-    pairs, nodes = _few(spark, d)
+    pairs, nodes = _calls(spark, d)
     return views.steps(pairs, nodes, START, trailing=True, depth=11).select("id", *_long("step"))
 
 
@@ -672,9 +672,9 @@ def _(spark, d):
     return rows.select("id", "direct", mining.risk_reason(F.col("direct"), F.col("test_callers"), F.col("entrypoint")).alias("reason"))
 
 
-@register("g18_codemap_order", "SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY id % 5, qualified_name, id) AS place FROM symbols WHERE id < 300) WHERE place <= 22", S.SYMBOLS_SQL)
+@register("g18_codemap_order", "SELECT id, place FROM (SELECT id, row_number() OVER (ORDER BY id % 5, qualified_name, id) AS place FROM symbols) WHERE place <= 22", S.SYMBOLS_SQL)
 def _(spark, d):
-    nodes = S.symbols(spark, d).where("id < 300").withColumn("step", F.col("id") % 5)
+    nodes = S.symbols(spark, d).withColumn("step", F.col("id") % 5)
     return views.placed(nodes, "step", "qualified_name", "id", limit=22).select("id", "place")
 
 
@@ -897,7 +897,7 @@ def _(spark, d):
 # --- references of all kinds
 
 _OWNER = "ow AS (SELECT id, kind, CASE WHEN kind = 'method' THEN regexp_replace(qualified_name, '\\.[^.]*$', '') END AS owner FROM symbols), mt AS (SELECT owner, s.name, min(s.id) AS id FROM symbols s JOIN ow USING (id) WHERE s.kind = 'method' GROUP BY ALL)"
-_SELF = "sr AS (SELECT DISTINCT e.src, s.name FROM raw_edges e JOIN symbols s ON s.id = e.dst WHERE e.dst IS NOT NULL AND e.src < 1500)"
+_SELF = "sr AS (SELECT DISTINCT e.src, s.name FROM raw_edges e JOIN symbols s ON s.id = e.dst WHERE e.dst IS NOT NULL)"
 
 
 @register(
@@ -922,7 +922,7 @@ def _(spark, d):
 
 def _self_references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     symbols = S.symbols(spark, d)
-    refs = _called(spark, d).where("src < 1500").join(symbols.select(F.col("id").alias("dst"), "name"), "dst")
+    refs = _called(spark, d).join(symbols.select(F.col("id").alias("dst"), "name"), "dst")
     return refs.select(F.lit(1).alias("repo_id"), "src", F.lit("self").alias("kind"), F.lit(None).cast("string").alias("receiver"), "name").distinct(), symbols
 
 
@@ -937,7 +937,7 @@ def _called(spark: SparkSession, d: str) -> DataFrame:
     "i02_receiver_references",
     "SELECT src, dst, edge_type, max(tenths) AS tenths FROM (SELECT r.src, mt.id AS dst, 'call' AS edge_type, 9 AS tenths FROM rr r JOIN cl ON cl.name = r.receiver JOIN mt ON mt.owner = r.receiver AND mt.name = r.name UNION ALL SELECT r.src, s.id, 'call', 5 FROM rr r JOIN few USING (name) JOIN sy s ON s.name = r.name AND s.kind <> 'class' WHERE r.receiver NOT IN (SELECT name FROM cl)) WHERE src <> dst GROUP BY ALL",
     *GRAPH,
-    "sy AS (SELECT id, file_path, CASE WHEN id % 9 = 0 THEN 'class' ELSE 'method' END AS kind, CASE WHEN id % 9 = 0 THEN 'C' || (id % 90) ELSE name || (id % 97) END AS name, CASE WHEN id % 9 = 0 THEN 'C' || (id % 90) ELSE 'C' || (id % 45 // 9 * 9) || '.' || name || (id % 97) END AS qualified_name FROM symbols WHERE id < 1200)",
+    "sy AS (SELECT id, file_path, CASE WHEN id % 9 = 0 THEN 'class' ELSE 'method' END AS kind, CASE WHEN id % 9 = 0 THEN 'C' || (id % 90) ELSE name || (id % 97) END AS name, CASE WHEN id % 9 = 0 THEN 'C' || (id % 90) ELSE 'C' || (id % 45 // 9 * 9) || '.' || name || (id % 97) END AS qualified_name FROM symbols)",
     "cl AS (SELECT DISTINCT name FROM sy WHERE kind = 'class'), mt AS (SELECT regexp_replace(qualified_name, '\\.[^.]*$', '') AS owner, name, min(id) AS id FROM sy WHERE kind = 'method' GROUP BY ALL)",
     "few AS (SELECT name FROM sy WHERE kind = 'method' GROUP BY name HAVING count(*) <= 8)",
     "rr AS (SELECT DISTINCT e.src, CASE WHEN e.src % 4 = 0 THEN 'x' ELSE 'C' || (e.src % 18) END AS receiver, t.name FROM raw_edges e JOIN sy s ON s.id = e.src JOIN sy t ON t.id = e.dst AND t.kind = 'method')",
@@ -946,7 +946,7 @@ def _(spark, d):
     k = F.col("id")
     unique = F.concat("name", (k % 97).cast("string"))
     klass = F.concat(F.lit("C"), (k % 90).cast("string"))
-    symbols = S.symbols(spark, d).where("id < 1200").select("repo_id", "id", "file_path", F.when(k % 9 == 0, "class").otherwise("method").alias("kind"), F.when(k % 9 == 0, klass).otherwise(unique).alias("name"), F.when(k % 9 == 0, klass).otherwise(F.concat(F.lit("C"), (F.floor(k % 45 / 9) * 9).cast("string"), F.lit("."), unique)).alias("qualified_name"))
+    symbols = S.symbols(spark, d).select("repo_id", "id", "file_path", F.when(k % 9 == 0, "class").otherwise("method").alias("kind"), F.when(k % 9 == 0, klass).otherwise(unique).alias("name"), F.when(k % 9 == 0, klass).otherwise(F.concat(F.lit("C"), (F.floor(k % 45 / 9) * 9).cast("string"), F.lit("."), unique)).alias("qualified_name"))
     named = symbols.where("kind = 'method'").select(F.col("id").alias("dst"), "name")
     receiver = F.when(F.col("src") % 4 == 0, "x").otherwise(F.concat(F.lit("C"), (F.col("src") % 18).cast("string")))
     refs = _called(spark, d).join(named, "dst").select(F.lit(1).alias("repo_id"), "src", F.lit("receiver").alias("kind"), receiver.alias("receiver"), "name").distinct()
