@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, new_folder
 from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
 from .operators.inverted import InvertedIndex
 from .operators.model_stage import ModelStage
+from .operators.ordering import numbered
 from .operators.vector_index import VectorIndex
 from .sources import python_code, repository, sinks
 from .sources.snapshots import SnapshotTable
@@ -20,6 +21,11 @@ Model = Callable[[str], str]
 TABLES = ("files", "commits", "commit_files", "issues", "symbols", "edges")
 
 
+def numbered_symbols(found: DataFrame) -> DataFrame:
+    """Symbols with their ids: their places by file and line."""
+    return numbered(found, ("repo_id",), "file_path", "start_line", "qualified_name", "kind").withColumnRenamed("place", "id")
+
+
 @dataclass
 class Repository:
     """Tables of one repository (all with repo_id) and what is asked of them."""
@@ -48,8 +54,7 @@ class Repository:
         files = repository.read_files(spark, path, repo_id).cache()
         commits, changes = repository.read_history(spark, path, repo_id, max_commits)
         raw = issues if isinstance(issues, DataFrame) else spark.createDataFrame([(x,) for x in issues or []], "json string")
-        order = Window.partitionBy("repo_id").orderBy("file_path", "start_line", "qualified_name", "kind")
-        symbols = python_code.symbols(files).withColumn("id", F.row_number().over(order).cast("long")).cache()
+        symbols = numbered_symbols(python_code.symbols(files)).cache()
         edges, _ = graph.resolve_references(python_code.references(symbols), symbols)
         edges = edges.withColumn("confidence", F.col("tenths") / 10).cache()
         info = {"id": repo_id, "url": url, "name": path.rstrip("/").rsplit("/", 1)[-1], "default_branch": branch, "head_sha": sha}
@@ -111,7 +116,7 @@ class Repository:
         return mining.coupling(self.commits, self.commit_files).orderBy(F.desc("strength"), F.desc("co_changes"), "a", "b").limit(limit)
 
     def communities(self) -> DataFrame:
-        return graph.describe_communities(graph.communities(self.edges, self.symbols), self.edges, self.symbols)
+        return graph.describe_communities(graph.merged_communities(self.edges, self.symbols), self.edges, self.symbols)
 
     def call_graph(self, symbol_id: int, depth: int = 3) -> tuple[list, list]:
         return graph.call_flow(self.edges, symbol_id, max(1, min(depth, 5)))

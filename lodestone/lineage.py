@@ -30,3 +30,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Rounds:
+    """Where an operator of many rounds keeps its tables: each is written once and read again.
+
+    A checkpoint remembers the constraints and the size estimate of its plan, which double with each round
+    that renames or joins; a written table has neither, and what it reads is its own files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.folder}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")

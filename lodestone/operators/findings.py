@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .ordering import numbered
 
 # What a finding may be, and how long its texts.
 CATEGORIES = ("logic", "security", "style")
@@ -25,9 +26,11 @@ def select_files(files: DataFrame, churn: DataFrame, limit: int | None = MAX_FIL
     """Code files that are no tests, by churn, lines and path; the first `limit` (None: all)."""
     code = files.where((F.col("category") == "code") & ~P.is_test_file(F.col("path")))
     rows = code.join(churn, ["repo_id", "path"], "left").withColumn("churn", F.coalesce("churn", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("churn"), F.desc("loc"), "path"))
-    out = rows.withColumn("place", place)
-    return out if limit is None else out.where(F.col("place") <= limit)
+    order = (F.desc("churn"), F.desc("loc"), "path")
+    if limit is None:
+        return numbered(rows, ("repo_id",), *order)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def coerce_finding(raw: object, n_lines: int) -> dict | None:
@@ -132,9 +135,8 @@ def set_status(findings: DataFrame, ids: DataFrame, status: str) -> DataFrame:
 
 def listed(findings: DataFrame) -> DataFrame:
     """Findings with their place: by status, severity (both as text), path, line, id."""
-    place = F.row_number().over(Window.partitionBy("repo_id").orderBy("status", "severity", "file_path", "start_line", "id"))
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
-    return findings.withColumn("place", place).withColumn("severity_rank", rank)
+    return numbered(findings, ("repo_id",), "status", "severity", "file_path", "start_line", "id").withColumn("severity_rank", rank)
 
 
 def facets(findings: DataFrame, category: str | None = None, severity: str | None = None) -> DataFrame:

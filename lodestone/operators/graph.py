@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..lineage import cut
+from .communities import merged
 
 # Names too common to mean an edge, and how many definitions are too many.
 STOP_NAMES = (
@@ -255,10 +256,18 @@ def greedy_modularity(edges: list[tuple[int, int, float]]) -> dict[int, int]:
     return {x: root(x) for x in member}
 
 
+def merged_communities(edges: DataFrame, symbols: DataFrame, least: int = 3) -> DataFrame:
+    """(repo_id, community, id) of communities of `least` members or more, found in parallel, whatever the graph's size."""
+    found = merged(weighted_graph(edges, symbols))
+    large = found.groupBy("repo_id", "community").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return found.join(large, ["repo_id", "community"], "left_semi").select("repo_id", "community", "id")
+
+
 def communities(edges: DataFrame, symbols: DataFrame, least: int = 3) -> DataFrame:
-    """(repo_id, community, id) of communities of `least` members or more; one task a repository.
+    """(repo_id, community, id) of communities of `least` members or more by greedy merging; one task a repository.
 
-    The clustering is sequential by nature; a repository's call graph is what a task must hold.
+    One merge depends on the one before it, so a task holds a repository's call graph; where that is too
+    large, merged_communities finds others of like modularity.
     """
     graph = weighted_graph(edges, symbols)
 

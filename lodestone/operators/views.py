@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from . import graph
+from .ordering import numbered
 
 # How much of an evidence's text is shown and kept, and how many lines of a snippet.
 SNIPPET_CHARS, BODY_CHARS = 200, 1500
@@ -19,9 +20,14 @@ CONNECTED = 10
 
 
 def placed(rows: DataFrame, *order: Column | str, limit: int | None = None, by: tuple[str, ...] = ("repo_id",)) -> DataFrame:
-    """rows with `place` (from 1) in their order, the first `limit` of each repository."""
-    out = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    return out if limit is None else out.where(F.col("place") <= limit)
+    """rows with `place` (from 1) in their order, the first `limit` of each repository.
+
+    With a limit each task keeps its first rows alone before any move; without one ranges are numbered apart.
+    """
+    if limit is None:
+        return numbered(rows, by, *order)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    return rows.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: str, limit: int | None = None) -> DataFrame:

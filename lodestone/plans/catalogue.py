@@ -265,6 +265,11 @@ def _(spark, d):
     return graph.describe_communities(graph.communities(edges, symbols), edges, symbols)
 
 
+@register("k10_communities_merged")
+def _(spark, d):
+    return graph.merged_communities(S.edges(spark, d), S.symbols(spark, d))
+
+
 HOT = "hot AS (SELECT coalesce(g.path, c.path) AS path, coalesce(degree, 0) AS degree, coalesce(churn, 0) AS churn FROM degree g FULL JOIN (SELECT path, count(*) AS churn FROM commit_files GROUP BY path) c ON g.path = c.path WHERE starts_with(coalesce(g.path, c.path), 'src/'))"
 
 
