@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, new_folder
-from .operators import agent, codemap, findings, graph, mining, retrieval, views, wiki
+from .operators import agent, codemap, findings, graph, mining, refresh, retrieval, views, wiki
 from .operators.inverted import InvertedIndex
 from .operators.model_stage import ModelStage
 from .operators.ordering import numbered
@@ -18,7 +18,7 @@ from .sources import python_code, repository, sinks
 from .sources.snapshots import SnapshotTable
 
 Model = Callable[[str], str]
-TABLES = ("files", "commits", "commit_files", "issues", "symbols", "edges")
+TABLES = ("files", "commits", "commit_files", "issues", "symbols", "edges", "references")
 
 
 def numbered_symbols(found: DataFrame) -> DataFrame:
@@ -39,6 +39,8 @@ class Repository:
     symbols: DataFrame
     edges: DataFrame
     model: Model | None = None
+    #: What symbols refer to, as their sources say it; a refresh needs it.
+    references: DataFrame | None = None
     traces: codemap.TraceCache = field(default_factory=codemap.TraceCache)
     #: Where the search's indexes are, or will be.
     folder: str | None = None
@@ -55,10 +57,40 @@ class Repository:
         commits, changes = repository.read_history(spark, path, repo_id, max_commits)
         raw = issues if isinstance(issues, DataFrame) else spark.createDataFrame([(x,) for x in issues or []], "json string")
         symbols = numbered_symbols(python_code.symbols(files)).cache()
-        edges, _ = graph.resolve_references(python_code.references(symbols), symbols)
+        references = python_code.references(symbols).cache()
+        edges, _ = graph.resolve_references(references, symbols)
         edges = edges.withColumn("confidence", F.col("tenths") / 10).cache()
         info = {"id": repo_id, "url": url, "name": path.rstrip("/").rsplit("/", 1)[-1], "default_branch": branch, "head_sha": sha}
-        return cls(spark, info, files, commits, changes, repository.parse_issues(raw, repo_id), symbols, edges, model)
+        return cls(spark, info, files, commits, changes, repository.parse_issues(raw, repo_id), symbols, edges, model, references)
+
+    def refreshed(self, path: str, *, repo_id: int | None = None, issues: list[str] | DataFrame | None = None, max_commits: int | None = None) -> Repository:
+        """This repository as its working tree is now, equal to what ingest would make of it.
+
+        Files are compared by content; those that are the same are not parsed again, and only edges that
+        may differ are resolved again. History is read anew, issues where they are given. repo_id: the
+        number of the result, this one's by default.
+        """
+        number = F.lit(self.info["id"] if repo_id is None else repo_id)
+        old = {name: getattr(self, name).withColumn("repo_id", number) for name in ("files", "symbols", "edges", "references", "issues")}
+        branch, sha = repository.head_info(path)
+        repo_id = self.info["id"] if repo_id is None else repo_id
+        files = repository.read_files(self.spark, path, repo_id).cache()
+        commits, changed = repository.read_history(self.spark, path, repo_id, max_commits)
+        changes = cut(refresh.delta(old["files"], files))
+        at = changes.select("repo_id", F.col("path").alias("file_path"))
+        kept = old["symbols"].withColumnRenamed("id", "old_id").join(at, ["repo_id", "file_path"], "left_anti")
+        parsed = python_code.symbols(files.join(changes, ["repo_id", "path"], "left_semi")).withColumn("old_id", F.lit(None).cast("long"))
+        symbols = numbered_symbols(kept.unionByName(parsed)).cache()
+        ids = symbols.where("old_id is not null").select("repo_id", F.col("old_id").alias("src"), "id")
+        known = old["references"].join(ids, ["repo_id", "src"]).drop("src").withColumnRenamed("id", "src")
+        references = known.unionByName(python_code.references(symbols.where("old_id is null"))).cache()
+        edges = refresh.refreshed_edges(old["edges"], old["references"], old["symbols"], references, symbols, changes)
+        edges = edges.withColumn("confidence", F.col("tenths") / 10).cache()
+        if issues is not None:
+            raw = issues if isinstance(issues, DataFrame) else self.spark.createDataFrame([(x,) for x in issues], "json string")
+            old["issues"] = repository.parse_issues(raw, repo_id)
+        info = {**self.info, "id": repo_id, "default_branch": branch, "head_sha": sha}
+        return Repository(self.spark, info, files, commits, changed, old["issues"], symbols.drop("old_id"), edges, self.model, references, embedder=self.embedder)
 
     def store(self, folder: str) -> None:
         """Keep the tables below a folder; each is replaced at once for this repository alone."""

@@ -149,7 +149,11 @@ class Service:
             self._save(job)
             repos = self.tables["repos"]
             number = (repos.read().agg(F.max("id")).first()[0] or 0) + 1
-            made = Repository.ingest(self.spark, path, url=address, repo_id=number, model=self.model)
+            known = repos.read().where(F.col("url") == address).orderBy(F.desc("id")).first()
+            if known is None:
+                made = Repository.ingest(self.spark, path, url=address, repo_id=number, model=self.model)
+            else:
+                made = self._repository(known.asDict()).refreshed(path, repo_id=number)
             made.store(self.state)
             new = self.spark.createDataFrame([tuple(made.info[c] for c in ("id", "url", "name", "default_branch", "head_sha"))], STATE["repos"][0])
             old = [r["id"] for r in repos.read().where(F.col("url") == address).collect()]
@@ -164,7 +168,7 @@ class Service:
         return {**self._start(Job("ingest", address), work, token), "repo_url": address}
 
     def refresh(self, token: str | None = None) -> dict:
-        """Ingest the active repository again."""
+        """The active repository as its tree is now; files that did not change are not parsed again."""
         return self.add(self.active().info["url"], token)
 
     def job(self, job_id: str) -> dict:
