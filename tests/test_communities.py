@@ -95,3 +95,10 @@ def test_places_of_one_group_come_from_many_tasks(spark, monkeypatch):
     sizes = [r["count"] for r in kept[0].where("repo_id = 1").groupBy(F.shiftright("__id", 33)).count().collect()]
     assert len(sizes) >= 7 and max(sizes) < 1000
     assert ordering.numbered(table.where("id < 0"), ("repo_id",), "x").count() == 0
+
+
+def test_parts_are_joined_without_a_broadcast(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 1)], "repo_id int, a long, b long, weight long")
+    merges = spark.createDataFrame([(1, 3, 2)], "repo_id int, x long, hub long")
+    plan = communities._folded(rows, merges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
