@@ -102,3 +102,16 @@ def test_parts_are_joined_without_a_broadcast(spark):
     merges = spark.createDataFrame([(1, 3, 2)], "repo_id int, x long, hub long")
     plan = communities._folded(rows, merges)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_large_graph_is_merged_in_parallel_and_in_no_task(spark, monkeypatch):
+    edges = planted(3, 4, 6, 120)
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    symbols = spark.createDataFrame([(1, x, "function", "src/a.py") for x in nodes], "repo_id int, id long, kind string, file_path string")
+    table = spark.createDataFrame([(1, a, b, "call", w) for a, b, w in edges if a != b], "repo_id int, src long, dst long, edge_type string, tenths long")
+    small = graph.communities(table, symbols, least=1).collect()
+    monkeypatch.setattr(graph, "greedy_modularity", None)
+    large = graph.communities(table, symbols, least=1, most_edges=10).collect()
+    want = communities.merged(graph.weighted_graph(table, symbols)).collect()
+    assert sorted(map(tuple, large)) == sorted(map(tuple, want))
+    assert sorted(r["id"] for r in large) == sorted(r["id"] for r in small)
