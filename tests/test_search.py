@@ -57,3 +57,12 @@ def test_blocks_equal_pairs(spark, monkeypatch):
     for k in (5, 63):
         a, b = (sorted((r["query_id"], r["id"], r["rank"]) for r in f(v, q, k).collect()) for f in (retrieval.knn, retrieval.knn_blocks))
         assert a == b
+
+
+def test_words_are_scored_where_their_document_is(spark):
+    docs = spark.createDataFrame([(i, f"the cat{i % 7} the") for i in range(50)] + [(50, None), (51, "")], "id long, text string")
+    asked = spark.createDataFrame([(0, "The cat3"), (1, "cat5 none"), (2, None)], "query_id int, text string")
+    found = retrieval.bm25(docs, asked)
+    moves = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert any("hashpartitioning(id" in x for x in moves) and not any("hashpartitioning(query_id" in x for x in moves)
+    assert found.where("query_id = 0").count() == 50 and found.where("query_id = 1").count() == 7 and found.count() == 57
