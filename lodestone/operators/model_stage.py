@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, new_folder
 from ..providers import ATTEMPTS, retrying
 from ..sources.snapshots import Log
 
@@ -18,6 +18,10 @@ ANSWER = "key string, model string, answer string, error string, seconds double,
 BATCH = 64
 #: Questions whose answers are written at once, which is what a lost driver loses.
 WAVE = 4096
+#: Waves of one call: with more than WAVE times as many questions waves are larger, not more.
+MOST_WAVES = 64
+#: Answers in one file.
+FILE = 4096
 
 
 class ModelStage:
@@ -86,11 +90,16 @@ class ModelStage:
         # what is asked must not change while answers are being added
         open_ = cut(asked.join(self.kept().where("error is null").select("key"), "key", "left_anti"))
         n = open_.count()
-        waves = -(-n // self.wave)
+        waves = min(-(-n // self.wave), MOST_WAVES)
+        if waves > 1:
+            # a wave reads its own questions alone
+            questions = f"{new_folder(self.spark, 'questions')}/open"
+            open_.withColumn("wave", F.pmod(F.xxhash64("key"), F.lit(waves))).repartition(waves, "wave").write.partitionBy("wave").parquet(questions)
         for i in range(waves):
-            own = open_.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == i)
+            own = open_ if waves == 1 else self.spark.read.schema("key string, prompt string, wave long").parquet(questions).where(F.col("wave") == i).drop("wave")
             tasks = max(1, -(-n // (waves * self.batch)))
-            own.repartition(tasks, "key").mapInPandas(self._asking(tasks), ANSWER).write.mode("append").parquet(self.path)
+            files = max(1, -(-n // (waves * FILE)))
+            own.repartition(tasks, "key").mapInPandas(self._asking(tasks), ANSWER).repartition(files).write.mode("append").parquet(self.path)
         answers = self.kept().select(F.col("key").alias("__key"), "answer", "error")
         return prompts.withColumn("__key", self._key()).join(answers, "__key", "left").drop("__key")
 

@@ -82,3 +82,17 @@ def test_a_scan_asks_only_for_the_rest(spark, tmp_path):
     assert [(r["file_path"], r["start_line"]) for r in rows.orderBy("file_path").collect()] == [("a.py", 2), ("b.py", 2), ("c.py", 1)]
     assert notes == [] and [len(open(f"{tmp_path}/calls/{p}").read()) for p in ("a.py", "b.py", "c.py")] == [1, 2, 1]
     assert findings.found_in("no json", 3) == []
+
+
+def test_many_questions_are_asked_in_a_bounded_number_of_waves(spark, tmp_path, monkeypatch):
+    from lodestone.operators import model_stage
+
+    (tmp_path / "calls").mkdir()
+    monkeypatch.setattr(model_stage, "MOST_WAVES", 3)
+    model = Model(tmp_path / "calls")
+    asked = [f"file {i}" for i in range(60)]
+    stage = ModelStage(spark, f"file://{tmp_path}/kept", "m", model, batch=16, wave=4)
+    rows = stage.ask(table(spark, asked)).orderBy("id").collect()
+    assert [r["answer"] for r in rows] == [str(len(x)) for x in asked] and model.calls() == sorted(asked)
+    # a file a wave, not one a task
+    assert len([n for n in os.listdir(tmp_path / "kept/answers") if n.endswith(".parquet")]) <= 3
