@@ -66,3 +66,10 @@ def test_words_are_scored_where_their_document_is(spark):
     moves = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert any("hashpartitioning(id" in x for x in moves) and not any("hashpartitioning(query_id" in x for x in moves)
     assert found.where("query_id = 0").count() == 50 and found.where("query_id = 1").count() == 7 and found.count() == 57
+
+
+def test_a_worker_is_given_few_pairs_of_blocks(spark):
+    v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "id long, vector array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    retrieval.knn_blocks(v, v.toDF("query_id", "vector"), 1)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == retrieval.BATCH_BYTES
