@@ -54,6 +54,25 @@ def test_edge_tiers(spark):
     assert {r["tier"]: r["references"] for r in counters.collect()} == {"exact": 2, "fuzzy": 2, "receiver": 2, "inherit": 1, "unresolved": 1}
 
 
+def test_edges_to_bases_are_not_moved(spark, monkeypatch):
+    """Pairs of a base's references and classes are no shuffled rows; a class of two names is met once, by the most confident."""
+    monkeypatch.setattr(graph, "BLOCK_REFERENCES", 3)
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)
+    rows = [(i, "a.py", "class", "Same", "", "") for i in range(20)] + [(20, "a.py", "class", "One", "", ""), (21, "b.py", "class", "B", "", ""), (21, "b.py", "class", "A", "", ""), (21, "b.py", "class", "A", "", "")]
+    s = symbols(spark, *rows)
+    refs = spark.createDataFrame([(1, i, "base", None, n) for i in range(20) for n in ("Same", "One", "A", "B", "Missing")], "repo_id int, src long, kind string, receiver string, name string")
+    found, counters = graph.resolve_references(refs, s)
+    got = sorted((r["src"], r["dst"], r["name"], r["tenths"]) for r in found.collect())
+    same = [(i, j, "Same", 6) for i in range(20) for j in range(20) if i != j]
+    assert got == sorted(same + [(i, 20, "One", 10) for i in range(20)] + [(i, 21, "B", 10) for i in range(20)])
+    assert {r["tier"]: r["references"] for r in counters.collect()} == {"inherit": 80}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    direct = [x for x in plan.splitlines() if "Aggregate [repo_id" in x and "src" in x and "edge_type" in x]
+    assert len(direct) == 2  # calls, and classes of several names
+    before = graph.base_edges(refs.select("repo_id", "src", "name"), s.select("repo_id", "name", F.col("id").alias("dst")), s.groupBy("repo_id", "name").agg(F.count("*").alias("n")))
+    assert before.rdd.getNumPartitions() > 40
+
+
 def test_method_resolution_is_depth_first_and_ends_in_cycles(spark):
     s = symbols(spark, (1, "a", "method", "m", "C.m", ""), (2, "a", "method", "m", "D.m", ""), (3, "a", "method", "k", "A.k", ""))
     bases = spark.createDataFrame([(1, "A", "B"), (1, "A", "D"), (1, "B", "C"), (1, "C", "A")], "repo_id int, owner string, base string")
