@@ -162,3 +162,22 @@ def test_characters_beyond_latin_1_have_a_code_of_their_own():
     other, mark = secrets_cnn.OTHER + secrets_cnn.INSIDE, ord("?") - 31 + secrets_cnn.INSIDE
     assert inside.tolist() == [other, other, other, ord("0") - 31 + secrets_cnn.INSIDE, other, other, mark]
     assert codes[secrets_cnn.SIDE - 6] == secrets_cnn.OTHER and codes[secrets_cnn.SIDE - 4] == ord("?") - 31
+
+
+def test_every_document_is_learned_from(spark, documents, monkeypatch):
+    """More examples than the bounded sample had: all are trained or calibrated on, in shares, however the table is divided."""
+    docs = spark.read.parquet(documents(list(enumerate(prose(3300, 11)[0]))) + "/documents.parquet")
+    every = secrets_cnn.examples(docs).distinct().count()
+    assert every > 6600
+    for name, value in (("ROUNDS", 4), ("SHARE", 500)):
+        monkeypatch.setattr(secrets_cnn, name, value, raising=False)
+    net = secrets_cnn.fit(docs)
+    held = net.report["secrets"] + net.report["harmless"]
+    assert abs(held - every / 3) < every / 30 and net.report["secrets"] > 1000
+    assert net.report["found"] >= secrets_cnn.RECALL * net.report["secrets"] - 1
+    assert net.report["taken_for_secrets"] <= 0.05 * net.report["harmless"]
+    trained, kept = [], secrets_cnn.trained
+    monkeypatch.setattr(secrets_cnn, "trained", lambda net, some, *a: (trained.append((some.count(), a[0])), kept(net, some, *a))[1])
+    again = secrets_cnn.fit(docs.repartition(7))
+    assert sum(n for n, _ in trained) + held == every and len(trained) == 4 and trained[0][1] >= 2
+    assert again.packed() == net.packed() and again.threshold == net.threshold
