@@ -31,11 +31,9 @@ def localisation(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """
     first = predicted.groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "item"))
-    wanted = gold.distinct().withColumn("gold", F.lit(True))
-    marked = first.withColumn("place", place).join(wanted, ["query_id", "item"], "left")
-    size = wanted.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    hits = marked.where("gold").groupBy("query_id").agg(F.min("place").alias("best"), *[F.count_if(F.col("place") <= k).alias(f"found_{k}") for k in CUTS])
-    rows = size.join(hits, "query_id", "left")
+    # gold is computed once: what is sought of each query, with its place if it was predicted
+    marked = gold.distinct().join(first.withColumn("place", place), ["query_id", "item"], "left")
+    rows = marked.groupBy("query_id").agg(F.count("*").alias("n_gold"), F.min("place").alias("best"), *[F.count_if(F.col("place") <= k).alias(f"found_{k}") for k in CUTS])
     out = [F.col("query_id"), "n_gold"]
     for k in CUTS:
         found = F.coalesce(F.col(f"found_{k}"), F.lit(0))

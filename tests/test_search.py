@@ -73,3 +73,40 @@ def test_a_worker_is_given_few_pairs_of_blocks(spark):
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
     retrieval.knn_blocks(v, v.toDF("query_id", "vector"), 1)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == retrieval.BATCH_BYTES
+
+
+def test_words_are_cut_once_and_gold_is_found_once(spark):
+    """Texts are read by one scan for scores and by one for gold, and nothing is exploded by word."""
+    plan = catalogue.QUERIES["k25_localization_metrics"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Generate" not in plan
+    assert sum("Relation" in x and "text" in x for x in plan.splitlines()) == 1
+
+
+def test_bm25_of_repeated_rows_and_pruned_rows(spark):
+    rows = [(i % 40, f"cat{i % 3} dog {'cat1 ' * (i % 5)}") for i in range(100)] + [(None, "cat1"), (7, ""), (8, None)] + [(200, "dog dog")] * 2
+    docs = spark.createDataFrame(rows, "id long, text string")
+    asked = spark.createDataFrame([("a", "cat1 dog"), ("b", "cat2"), ("b", "DOG cat2"), ("c", "")], "query_id string, text string")
+    found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.bm25(docs, asked).collect()}
+    texts = [(i, (t or "").lower().split()) for i, t in rows if t]
+    n, avgdl = len(texts), sum(len(w) for _, w in texts) / len(texts)
+    tf = {}
+    for i, words in texts:
+        for w in words:
+            tf[i, len(words), w] = tf.get((i, len(words), w), 0) + 1
+    want = {}
+    for q, t in (("a", "cat1"), ("a", "dog"), ("b", "cat2"), ("b", "dog"), ("b", "cat2")):
+        df = sum(w == t for _, _, w in tf)
+        for (i, dl, w), x in tf.items():
+            if w == t:
+                want[q, i] = want.get((q, i), 0) + np.log(1 + (n - df + 0.5) / (df + 0.5)) * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * dl / avgdl))
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    for k in (1, 3, 500):
+        best = [sorted(tuple(r) for r in retrieval.top_k(s, k).select("query_id", "id", "rank").where("id is not null").collect()) for s in (retrieval.bm25(docs, asked), retrieval.bm25(docs, asked, k=k))]
+        assert best[0] == best[1]
+
+
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "one two\u00a0x three  four five six"), (2, "wone two three four fives"), (3, None), (4, "one")], "id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "three  four five s"), (3, "one"), (4, None), (5, ""), (6, "e two three four f")], "item_id int, item_text string")
+    got = {(r["item_id"], r["id"]) for r in retrieval.containing(docs, items).collect()}
+    assert got == {(1, 2), (2, 1), (3, 1), (3, 2), (3, 4), (5, 1), (5, 2), (5, 4), (6, 2)}
