@@ -11,7 +11,9 @@ chunk is aligned once and remembered (in bounded memory), and new chunks are ali
 text. Documents are taken in blocks of a bounded size. Each block gives its distinct id pairs with the
 number of its documents that link them; Spark sums these by pair, joins the counts and each A id's
 highest count back to the blocks' pairs, and a block's documents read them there. So a very common pair
-moves once a block, never once a document.
+moves once a block, never once a document. A block is one row of about a megabyte at most: what only
+Python reads of it is packed into bytes, and its table has row groups of few blocks, since Spark holds
+the rows of a row group at once.
 
 Defined results: null and empty texts have no tokens, nor have texts whose tokens do not give back their
 bytes (a U+2581, which B reads as a space): all counts 0, digest ''. Rows are documents: repeated ones
@@ -41,16 +43,21 @@ BORDER = re.compile(r"(?<=\S) (?=\S)")
 EVEN = re.compile(r" \S(?:.*\S)?", re.DOTALL)
 SPACE = "▁"
 #: Characters and rows of a block of documents, and characters of a text that are aligned at a time.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 BLOCK_ROWS = 20_000
 #: Characters of new chunks that are aligned as one text.
 LEARNED_CHARS = 256 << 10
 #: Chunks that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Both vocabularies have fewer ids: a pair is A's id times this, and B's.
 IDS = 1 << 24
 
-_BLOCKS = "block long, doc_id array<long>, counts array<array<long>>, digests array<string>, first array<int>, pair array<int>, times array<long>, pairs array<long>, docs array<long>"
+#: What is known of a pair of a block: its place there times this, twice its count, and whether it is the best.
+PLACE = 1 << 36
+#: A row group is closed at this size, though not before its 100th row.
+ROW_GROUP = 8 << 20
+
+_BLOCKS = "block long, doc_id binary, missing binary, counts binary, digests binary, first binary, pair binary, times binary, pairs array<long>, docs array<long>"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -223,6 +230,17 @@ def chunks_of(part: str) -> list[str]:
     return [cut[0], *[" " + c for c in cut[1:]]]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on: the bytes that the largest one needs, then each in as many."""
+    most = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if most >> 8 * w == 0)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 class Block:
     """What a block of documents has: totals, digests, and its distinct pairs with their documents."""
 
@@ -315,9 +333,11 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, *, block_chars: int =
             nonlocal number, chars
             memory.forget()
             b = Block(memory, texts, block_chars)
+            known = np.array([i or 0 for i in ids], dtype="<i8").tobytes()
+            digests = b"".join([bytes.fromhex(x) or bytes(32) for x in b.digests])
             out = pd.DataFrame({
-                "block": [number], "doc_id": [list(ids)], "counts": [b.counts.tolist()], "digests": [b.digests], "first": [b.first.astype(np.int32)],
-                "pair": [b.pair.astype(np.int32)], "times": [b.times], "pairs": [b.pairs], "docs": [b.docs],
+                "block": [number], "doc_id": [known], "missing": [bytes(i is None for i in ids)], "counts": [packed(b.counts.ravel())], "digests": [digests],
+                "first": [packed(b.first)], "pair": [packed(b.pair)], "times": [packed(b.times)], "pairs": [b.pairs], "docs": [b.docs],
             })
             ids.clear()
             texts.clear()
@@ -341,26 +361,25 @@ def blocks(docs: DataFrame, byte_level: str, pieces: str, *, block_chars: int =
 
 
 def per_document(joined: DataFrame) -> DataFrame:
-    """The result rows of blocks with `found`: array of (at, n, best), what is known of their pairs."""
+    """The result rows of blocks with `found`: what is known of each of their pairs, as one number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                first, pair, times = np.asarray(r.first), np.asarray(r.pair), np.asarray(r.times)
-                found = r.found if r.found is not None else []
-                at = np.fromiter((x["at"] for x in found), dtype=np.int64, count=len(found))
+                first, pair, times = unpacked(r.first), unpacked(r.pair), unpacked(r.times)
+                found = np.asarray(r.found if r.found is not None else [], dtype=np.int64)
                 known = np.zeros((2, len(found)), dtype=np.int64)
-                known[0, at] = np.fromiter((x["n"] for x in found), dtype=np.int64, count=len(found))
-                known[1, at] = np.fromiter((x["best"] for x in found), dtype=np.int64, count=len(found))
-                n = len(r.doc_id)
+                known[:, found // PLACE] = found % PLACE // 2, found % 2
+                n = len(r.missing)
                 row = np.repeat(np.arange(n), np.diff(first))
                 sums = np.zeros((2, n), dtype=np.int64)
                 for s, k in zip(sums, known, strict=True):
                     np.add.at(s, row, times * k[pair])
-                counts = np.array(r.counts.tolist(), dtype=np.int64).reshape(n, 4)
+                counts, none = unpacked(r.counts).reshape(n, 4), np.frombuffer(r.missing, dtype=bool)
+                digests = [x.hex() if any(x) else "" for x in (r.digests[i : i + 32] for i in range(0, 32 * n, 32))]
                 yield pd.DataFrame({
-                    "doc_id": pd.array(r.doc_id, dtype="Int64"), "n_a": counts[:, 0], "n_b": counts[:, 1], "n_groups": counts[:, 2], "n_links": counts[:, 3],
-                    "n_best": sums[1], "count_sum": sums[0], "groups_sha256": list(r.digests),
+                    "doc_id": pd.arrays.IntegerArray(np.frombuffer(r.doc_id, dtype="<i8").copy(), none.copy()), "n_a": counts[:, 0], "n_b": counts[:, 1], "n_groups": counts[:, 2], "n_links": counts[:, 3],
+                    "n_best": sums[1], "count_sum": sums[0], "groups_sha256": digests,
                 })
 
     return joined.mapInPandas(run, _RESULT)
@@ -378,10 +397,10 @@ def align(docs: DataFrame, byte_level: str | None = None, pieces: str | None = N
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row of docs(doc_id, text)."""
     shared_dir(docs.sparkSession)
     a, b = default_tokenizers()
-    held = materialise(blocks(docs, byte_level or a, pieces or b, **options), "alignment-blocks")
+    held = materialise(blocks(docs, byte_level or a, pieces or b, **options), "alignment-blocks", **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
     asked = held.select("block", F.posexplode("pairs").alias("at", "pair"))
     known = asked.join(pair_counts(held.select("pairs", "docs")), "pair")
-    found = known.groupBy("block").agg(F.collect_list(F.struct("at", "n", "best")).alias("found"))
+    found = known.groupBy("block").agg(F.collect_list(F.col("at") * F.lit(PLACE) + F.col("n") * 2 + F.col("best")).alias("found"))
     return per_document(held.drop("pairs", "docs").join(found, "block", "left"))
 
 

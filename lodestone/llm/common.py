@@ -106,11 +106,11 @@ class Ranges:
         self.open = {}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them again."""
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder, with options of its writer, and read them again."""
     spark = df.sparkSession
     path = new_dir(spark, name) + "/table"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

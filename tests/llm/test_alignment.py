@@ -117,3 +117,13 @@ def test_very_long_texts_and_an_empty_table(spark, documents):
     docs = spark.read.parquet(documents(rows) + "/documents.parquet")
     assert result(alignment.align(docs)) == plain(rows)
     assert collect(alignment.align(docs.limit(0))) == []
+
+
+def test_blocks_are_small_rows(spark, documents):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choices(words, k=2000))) for i in range(280)]
+    docs = spark.read.parquet(documents(rows) + "/documents.parquet").coalesce(1)
+    made = collect(alignment.blocks(docs, *alignment.default_tokenizers()))
+    sizes = [sum(len(x) * (1 if isinstance(x, (bytes, bytearray)) else 8) for x in r.values() if not isinstance(x, int)) for r in made]
+    assert len(sizes) >= 3 and max(sizes) < 1 << 20  # 2.8 million characters
